@@ -39,3 +39,8 @@ def row_digest(df: DataFrame, ignore: Iterable[str] = ()) -> list[Column]:
         return [F.lit(0).cast("long"), F.lit(0).cast("long")]
     nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])
     return [F.xxhash64(F.lit(seed), nulls, *cols) for seed in (17, 40503)]
+
+
+def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row DataFrame as scalar subqueries (null if it is empty)."""
+    return df.withColumns({c: row.select(c).scalar() for c in row.columns})

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cindertrail.functions.cleaning import with_scalars
 from cindertrail.functions.logcols import LEVELS, is_error, level_ord, normalize_message, ts_ms
 
 #: Range presets: milliseconds and number of buckets.
@@ -159,7 +160,7 @@ def time_windows(events: DataFrame, buckets: int = 10) -> DataFrame:
     span = e.agg(F.min("ms").alias("lo"), F.max("ms").alias("hi")).where("lo is not null")
     span = span.select("lo", F.expr(f"cast(ceil((hi - lo + 1) / {buckets}) as bigint)").alias("width"))
     idx = F.least(F.lit(buckets - 1), F.expr("(ms - lo) div width")).cast("int")
-    filled = e.join(F.broadcast(span), how="cross").groupBy(idx.alias("bucket")).agg(F.count("*").alias("n"), F.count_if("bad").alias("e"))  # span is one row
+    filled = with_scalars(e, span).groupBy(idx.alias("bucket")).agg(F.count("*").alias("n"), F.count_if("bad").alias("e"))
     start = F.col("lo") + F.col("bucket") * F.col("width")
     return _densify(filled, span, buckets, [start.alias("start_ms"), (start + F.col("width") - 1).alias("end_ms"), F.coalesce("n", F.lit(0)).cast("long").alias("events"), F.coalesce("e", F.lit(0)).cast("long").alias("errors")])
 
@@ -179,14 +180,14 @@ def range_buckets(events: DataFrame, from_ms: int, to_ms: int, buckets: int) ->
 def latest_window(events: DataFrame, range_ms: int) -> DataFrame:
     """Rows of the closed window [latest - range, latest], anchored on the data."""
     last = events.agg((F.max(ts_ms()) - range_ms).alias("since"))
-    return events.join(F.broadcast(last), how="cross").where(ts_ms() >= F.col("since")).drop("since")  # one row
+    return events.where(ts_ms() >= last.scalar())
 
 
 def service_activity(events: DataFrame, service: str, hours: int = 24) -> DataFrame:
     """The last ``hours`` hours up to the data's end, by hour, of one service."""
     span = events.agg((F.max(ts_ms()) + 1).alias("stop")).where("stop is not null").withColumn("lo", F.col("stop") - hours * 3_600_000)
     mine = events.where(F.col("service") == service).select(ts_ms().alias("ms"), is_error(F.col("level")).alias("bad"))
-    inside = mine.join(F.broadcast(span), how="cross").where("ms >= lo and ms < stop")  # one row
+    inside = with_scalars(mine, span).where("ms >= lo and ms < stop")
     filled = inside.groupBy(F.expr("cast((ms - lo) div 3600000 as int)").alias("bucket")).agg(F.count("*").alias("n"), F.count_if("bad").alias("e"))
     return _densify(filled, span, hours, [(F.col("lo") + F.col("bucket") * 3_600_000).alias("start_ms"), F.coalesce("n", F.lit(0)).cast("long").alias("events"), F.coalesce("e", F.lit(0)).cast("long").alias("errors")])
 
@@ -235,8 +236,8 @@ def overview(events: DataFrame, range_name: str = "24h", services: int = 6, patt
     status = w.where("status <> 0").groupBy("status").agg(F.count("*").alias("n"))
     span = w.agg((F.max(ts_ms()) - range_ms).alias("lo"))
     width = max(1, range_ms // buckets)
-    idx = F.least(F.lit(buckets - 1), F.expr(f"({'unix_millis(ts)'} - lo) div {width}")).cast("int")
-    line = w.join(F.broadcast(span), how="cross").groupBy(idx.alias("bucket")).agg(F.count("*").alias("n"))  # span is one row
+    idx = F.least(F.lit(buckets - 1), F.expr(f"(unix_millis(ts) - lo) div {width}")).cast("int")
+    line = with_scalars(w, span).groupBy(idx.alias("bucket")).agg(F.count("*").alias("n"))
     crit = recent_critical(w, critical)
     out = part("totals", totals, F.col("k"), F.col("v"))
     for p in (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cindertrail.functions.cleaning import with_scalars
 from cindertrail.functions.logcols import is_error, normalize_message, ts_ms
 
 WINDOW_MS, FACTOR, LEAST, MAX_WINDOWS = 300_000, 3.0, 3, 5000
@@ -25,7 +26,7 @@ def detect_incidents(events: DataFrame, window_ms: int = WINDOW_MS, factor: floa
     """
     errors = events.where(is_error(F.col("level")) & F.col("ts").isNotNull()).select("id", ts_ms().alias("ms"), "service", "message")
     shape = _shape(errors, window_ms, factor, least, max_windows)
-    slotted = errors.join(F.broadcast(shape), how="cross").withColumn("slot", F.least(F.col("windows") - 1, F.expr(f"(ms - origin) div {window_ms}")))  # shape is one row
+    slotted = with_scalars(errors, shape.select("origin", "latest", "windows", "threshold", "baseline")).withColumn("slot", F.least(F.col("windows") - 1, F.expr(f"(ms - origin) div {window_ms}")))
     hot = slotted.groupBy("slot", "origin", "latest", "threshold", "baseline").agg(F.count("*").alias("n")).where("n >= threshold")
     # at most max_windows rows from here: one ordered pass
     island = F.col("slot") - F.row_number().over(Window.partitionBy("origin").orderBy("slot"))
