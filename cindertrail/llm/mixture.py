@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindertrail.functions.cleaning import folded
+from cindertrail.functions.cleaning import folded, with_scalars
 from cindertrail.llm.tokens import VOCABULARY, token_count
 from cindertrail.session import materialise
 
@@ -100,12 +100,12 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = N
     without documents has size 0; a null share is 0, a null or negative cap is 0.
     """
     sizes = sized.groupBy("source").agg(F.sum("tokens").alias("size_tokens"), F.count("*").alias("documents"))
-    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    total = sizes.agg(F.coalesce(F.sum("size_tokens"), F.lit(0)).alias("all_tokens"))
     t = targets.select(
         folded(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats")
     ).where("source is not null")
     wanted = F.col("target_share") * (F.lit(mix_tokens) if mix_tokens is not None else F.col("all_tokens"))
-    plan = t.join(sizes, "source", "left").join(total, how="cross")  # total is one row
+    plan = with_scalars(t.join(sizes, "source", "left"), total)
     plan = plan.withColumn("size_tokens", F.coalesce("size_tokens", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
     plan = plan.withColumn("target_tokens", wanted).withColumn("capped", F.col("size_tokens") * F.col("max_repeats") < F.col("target_tokens"))
     ratio = F.when(F.col("capped") | (F.col("size_tokens") == 0), F.col("max_repeats").cast("double")).otherwise(F.col("target_tokens") / F.nullif(F.col("size_tokens"), F.lit(0)))
@@ -173,8 +173,8 @@ def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:
     got = chosen.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("mix_records"), F.count("*").alias("used_documents"), F.max("copies").alias("most_copies")
     )
-    total = chosen.agg(F.coalesce(F.sum(F.col("tokens") * F.col("copies")), F.lit(0)).alias("all_mixed"))
-    out = plan.join(got, "source", "left").join(total, how="cross")  # total is one row
+    total = got.agg(F.coalesce(F.sum("mix_tokens"), F.lit(0)).alias("all_mixed"))
+    out = with_scalars(plan.join(got, "source", "left"), total)
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("mix_tokens", "mix_records", "used_documents", "most_copies")]
     return out.select(
         "source", "target_share", "max_repeats", "documents", "size_tokens", "target_tokens", *zero,
