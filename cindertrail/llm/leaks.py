@@ -48,11 +48,16 @@ def template_windows(df: DataFrame, key: str, kept: list[str], size: int = WINDO
     # one 64-bit hash per word, so a window's hash reads 13 numbers instead of 13 strings
     base = base.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("ch", F.transform("c", lambda x: F.xxhash64(x)))
     base = base.withColumn("lit", F.transform("c", lambda x: F.when(x.startswith("<"), 0).otherwise(1)))
-    at = base.select("key", "wh", "ch", "lit", F.explode(F.sequence(F.lit(1), F.size("w") - (size - 1))).alias("pos"))
-    own = F.slice("wh", F.col("pos"), size)
-    known = F.aggregate(F.slice("lit", F.col("pos"), size), F.lit(0), lambda a, x: a + x) >= min_wording
-    template = F.when(known, F.xxhash64(F.lit(1), F.slice("ch", F.col("pos"), size))).otherwise(F.xxhash64(F.lit(2), own))
-    return at.select("key", "pos", template.alias("template"), F.xxhash64(F.lit(5), own).alias("slots"))
+
+    def window(i: Column) -> Column:
+        own = F.slice("wh", i, size)
+        known = F.aggregate(F.slice("lit", i, size), F.lit(0), lambda a, x: a + x) >= min_wording
+        template = F.when(known, F.xxhash64(F.lit(1), F.slice("ch", i, size))).otherwise(F.xxhash64(F.lit(2), own))
+        return F.struct(i.alias("pos"), template.alias("template"), F.xxhash64(F.lit(5), own).alias("slots"))
+
+    # hashed in place: a text's arrays are not copied to each of its windows
+    at = base.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), window)).alias("x"))
+    return at.select("key", "x.pos", "x.template", "x.slots")
 
 
 def template_matches(
