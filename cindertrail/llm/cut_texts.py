@@ -7,7 +7,7 @@ what exceeds the fitted density is the posterior that a text of that length was
 The ending is judged against the corpus: the last words of a text, in contexts of up to five
 words, either end sentences and lines elsewhere or always go on, and a last word that never
 follows its two predecessors while longer words with that beginning do is a broken word.
-Counts leave the text's own ending out. What was appended on the same line after a cut
+Counts leave the text's own ending, and that of equal texts, out. What was appended on the same line after a cut
 (dots, a bracketed note, a piece of markup) is set aside and the words before it are judged.
 """
 
@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,124 +25,166 @@ from pyspark.sql import functions as F
 from cindertrail.functions.cleaning import folded
 from cindertrail.session import materialise
 
-WORD = re.compile(r"\d[\w.:,-]*\d|[^\W_]+(?:['’\-][^\W_]+)*")
-TERMINAL = re.compile(r"[\"'”’)\]]*\s?[.!?](?=[\s\"'”’)\]]|$)")
+try:
+    from xxhash import xxh3_64_intdigest as _hash
+except ImportError:
+    from hashlib import blake2b
+
+    def _hash(b: bytes) -> int:
+        return int.from_bytes(blake2b(b, digest_size=8).digest(), "little")
+
+
+#: A word, the end of a line, or a sign that closes a sentence.
+TOKEN = re.compile(r"\d[\w.:,-]*\d|[^\W_]+(?:['’\-][^\W_]+)*|\n|[.!?](?=[\s\"'”’)\]]|$)")
 CLOSED = re.compile(r"[\"'”’)\]]*\s?[.!?][\"'”’)\]]*\s*$")
 DOTS = re.compile(r"\.\.|…")
 MARK = re.compile(r"\s*(?:\[[^\[\]\n]{1,40}\]|\([^()\n]{1,40}\)|<[^<>\n]{0,20}>?|\.{2,}|…|-{2,}[^\n]{1,20}-{2,})\s*$")
 DIGIT = re.compile(r"\d")
-LINE = "¶"  # stands for the start of a line
+PAD, LINE, STOP = 0, 1, 2  # before the text, start of a line, closing sign
 ORDERS = (1, 2, 3, 5)
 TOP = "\U0010ffff"
 #: Share of texts expected to be cut away from any limit; a prior, not a cap.
 TRANSFER_PRIOR = 0.08
 
 
-def words(text: str, start: int = 0) -> list[tuple[str, int, int]]:
-    """(word, start, end); numbers are one word, all the same."""
-    out = []
-    for m in WORD.finditer(text, start):
-        w = m.group().lower()
-        out.append(("0" if DIGIT.search(w) else w, m.start(), m.end()))
-    return out
+class Codes(dict):
+    """Tokens to 64-bit codes; numbers are one word, all the same. Emptied when it grows large."""
+
+    def __missing__(self, token: str) -> int:
+        if token == "\n":
+            code = LINE
+        elif token in ".!?":
+            code = STOP
+        else:
+            word = plain(token)
+            code = max(16, _hash(word.encode("utf-8", "surrogatepass")))
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = code
+        return code
+
+
+def plain(token: str) -> str:
+    return "0" if DIGIT.search(token) else token.lower()
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xBF58476D1CE4E5B9)
+
 
+def grams_of(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """For the codes of texts, each led by PADs and a LINE: (places of words in ``codes``,
+    end flags, context hashes, gram hashes by order).
 
-def with_lines(text: str, found: list[tuple[str, int, int]], at_start: bool = True) -> tuple[list[str], list[int]]:
-    """The words with LINE before the first of each line, and each word's index in that list."""
-    seq, index, prev = [], [], 0
-    for i, (w, a, b) in enumerate(found):
-        if (i == 0 and at_start) or (i and "\n" in text[prev:a]):
-            seq.append(LINE)
-        index.append(len(seq))
-        seq.append(w)
-        prev = b
-    return seq, index
+    A word ends a sentence or line if a closing sign, a line end or nothing follows it.
+    """
+    arr = np.array(codes, dtype=np.uint64)
+    word = np.flatnonzero(arr > STOP)
+    ends = np.ones(len(word), dtype=bool)
+    ends[:-1] = np.diff(word) > 1
+    keep = arr != STOP
+    seq_at = np.flatnonzero(keep)
+    seq = arr[seq_at]
+    single = np.ones(len(seq), dtype=bool)
+    single[1:] = ~((seq[1:] == LINE) & (seq[:-1] == LINE))
+    seq, seq_at = seq[single], seq_at[single]
+    at = np.flatnonzero(seq > STOP)
+    back = [seq[np.maximum(at - i, 0)] for i in range(5)]
+    with np.errstate(over="ignore"):
+        context = mix(back[2], back[1])
+        grams = {1: back[0], 2: mix(back[1], back[0]), 3: mix(context, back[0]), 5: mix(mix(mix(mix(back[4], back[3]), back[2]), back[1]), back[0])}
+    return word, ends, context, grams
 
 
-def ends_there(gap: str, last: bool) -> bool:
-    """Does a word end a sentence, line or text, given what follows it up to the next word?"""
-    return last or "\n" in gap or TERMINAL.match(gap) is not None
+LEAD = [PAD] * 5 + [LINE]
 
 
-def gram(seq: list[str], j: int, k: int) -> str:
-    return " ".join(seq[max(0, j - k + 1) : j + 1])
+def signed(a: np.ndarray) -> np.ndarray:
+    return a.view(np.int64)
 
 
-def last_words(text: str, upto: int, need: int = 8) -> tuple[list[tuple[str, int, int]], bool]:
-    """The last words before ``upto``, read from behind; True if they start the text."""
+def last_tokens(text: str, need: int = 9) -> list[tuple[str, int, int]]:
+    """The last tokens of a text with their places, read from behind; led by None if it starts earlier."""
     span = 400
     while True:
-        start = max(0, upto - span)
-        found = [w for w in words(text, start) if w[2] <= upto]
+        start = max(0, len(text) - span)
+        found = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text, start)]
         if start == 0:
-            return found, True
-        if len(found) > need:
-            return found[1:], False
+            return found
+        if sum(t[0] != "\n" and t[0] not in ".!?" for t in found) > need:
+            return found[1:]
         span *= 4
 
 
-def tails(text: str) -> list[tuple]:
-    """Open endings to judge: (place, grams of ORDERS, context, word, own end count)."""
-    out = []
-    found, whole = last_words(text, len(text))
-    if not found:
-        return out
-    gap = text[found[-1][2] :]
-    closed = CLOSED.match(gap) is not None and not DOTS.search(gap)
-    if not closed:
-        out.append(_tail("end", text, found, whole, True))
+def tails(text: str, codes: Codes) -> list[tuple]:
+    """Open endings to judge: (place, gram hashes of ORDERS, context hash, word, own end count)."""
+    found = last_tokens(text)
+    if found and found[0][1] > 0 and len(text) > 400:
+        lead: list[int] = []
+    else:
+        lead = LEAD
+    words = [i for i, t in enumerate(found) if t[0] != "\n" and t[0] not in ".!?"]
+    if not words:
+        return []
+    asked = []
+    final = words[-1]
+    gap = text[found[final][2] :]
+    if not (CLOSED.match(gap) and not DOTS.search(gap)):
+        asked.append(("end", final))
     if m := MARK.search(text, max(0, len(text) - 80)):
-        before, whole = last_words(text, m.start())
-        if before and not re.search(r"[.!?]", text[before[-1][2] : m.start()]):
-            own_end = ends_there(_gap_after(text, before[-1][2]), before[-1][2] == found[-1][2])
-            out.append(_tail("mark", text, before, whole, own_end))
+        before = [i for i in words if found[i][2] <= m.start()]
+        if before and not re.search(r"[.!?]", text[found[before[-1]][2] : m.start()]):
+            asked.append(("mark", before[-1]))
+    if not asked:
+        return []
+    places, ends, context, grams = grams_of(lead + [codes[t[0]] for t in found])
+    index = {p - len(lead): i for i, p in enumerate(places.tolist())}
+    out = []
+    for place, i in asked:
+        j = index[i]
+        out.append((place, *[int(signed(grams[k])[j]) for k in ORDERS], int(signed(context)[j]), plain(found[i][0]), int(ends[j])))
     return out
 
 
-def _gap_after(text: str, end: int) -> str:
-    m = WORD.search(text, end)
-    return text[end : m.start() if m else len(text)]
-
-
-def _tail(place: str, text: str, found, whole: bool, own_end: bool) -> tuple:
-    seq, index = with_lines(text, found, whole)
-    j = index[-1]
-    return (place, *[gram(seq, j, k) for k in ORDERS], " ".join(seq[max(0, j - 2) : j]), seq[j], int(own_end))
-
-
-def count_grams(documents: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
-    """gram, k, n, ends over the whole corpus; tasks add up before the shuffle."""
+def count_grams(documents: DataFrame, text: str = "text", flush: int = 1_000_000) -> DataFrame:
+    """k, gram, n, ends over the whole corpus, for k = 3 with context and word; tasks add up before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        ends: Counter = Counter()
-
-        def out() -> pd.DataFrame:
-            rows = [(g, k, c, ends.get((k, g), 0)) for (k, g), c in n.items()]
-            n.clear()
-            ends.clear()
-            return pd.DataFrame(rows, columns=["gram", "k", "n", "ends"])
+        codes, flat, tokens = Codes(), [], []
+
+        def out() -> Iterator[pd.DataFrame]:
+            places, ends, context, grams = grams_of(flat)
+            for k in ORDERS:
+                keys, first, inverse, n = np.unique(grams[k], return_index=True, return_inverse=True, return_counts=True)
+                closed = np.bincount(inverse, weights=ends, minlength=len(keys)).astype(np.int64)
+                frame = pd.DataFrame({"k": k, "gram": signed(keys), "n": n, "ends": closed, "context": 0, "word": None})
+                if k == 3:
+                    frame["context"] = signed(context[first])
+                    frame["word"] = [plain(tokens[i]) for i in places[first].tolist()]
+                yield frame
+            flat.clear()
+            tokens.clear()
 
         for batch in batches:
             for t in batch[text]:
-                if not isinstance(t, str):
-                    continue
-                found = words(t)
-                seq, index = with_lines(t, found)
-                final = len(found) - 1
-                for i, (_, _, b) in enumerate(found):
-                    end = ends_there(t[b:] if i == final else t[b : found[i + 1][1]], i == final)
-                    j = index[i]
-                    for k in ORDERS:
-                        key = (k, " ".join(seq[max(0, j - k + 1) : j + 1]))
-                        n[key] += 1
-                        if end:
-                            ends[key] += 1
-                if len(n) > flush:
-                    yield out()
-        yield out()
-
-    return documents.select(text).mapInPandas(count, "gram string, k int, n long, ends long").groupBy("gram", "k").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+                if isinstance(t, str) and t:
+                    found = TOKEN.findall(t)
+                    tokens += [""] * len(LEAD)
+                    tokens += found
+                    flat += LEAD
+                    flat += [codes[x] for x in found]
+                if len(flat) > flush:
+                    yield from out()
+        if flat:
+            yield from out()
+
+    rows = documents.select(text).mapInPandas(count, "k int, gram long, n long, ends long, context long, word string")
+    return rows.groupBy("k", "gram").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.max("context").alias("context"), F.max("word").alias("word"))
+
+
+def _digest(text: str) -> int:
+    h = _hash(text.encode("utf-8", "surrogatepass"))
+    return h - 2**64 if h >= 2**63 else h
 
 
 def open_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,13 +193,14 @@ def open_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     kind = dict(documents.dtypes)[doc_id]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes()
         for batch in batches:
-            rows = [(d, s, len(t), *x) for d, s, t in zip(batch["d"], batch["s"], batch["t"]) if isinstance(t, str) and t.strip() for x in tails(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "length", "place", *[f"g{k}" for k in ORDERS], "context", "word", "own_end"])
+            rows = [(d, s, len(t), _digest(t), *x) for d, s, t in zip(batch["d"], batch["s"], batch["t"]) if isinstance(t, str) and t.strip() for x in tails(t, codes)]
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "length", "digest", "place", *[f"g{k}" for k in ORDERS], "context", "word", "own_end"])
 
-    grams = ", ".join(f"g{k} string" for k in ORDERS)
+    grams = ", ".join(f"g{k} long" for k in ORDERS)
     return documents.select(F.col(doc_id).alias("d"), folded(F.col("source")).alias("s"), F.col(text).alias("t")).mapInPandas(
-        read, f"doc_id {kind}, source string, length int, place string, {grams}, context string, word string, own_end int"
+        read, f"doc_id {kind}, source string, length int, digest long, place string, {grams}, context long, word string, own_end int"
     )
 
 
@@ -167,7 +210,7 @@ def followers(grams: DataFrame, endings: DataFrame) -> DataFrame:
     Per context, followers and asked words are read in alphabetical order with one running
     sum; asked words never meet the followers in pairs.
     """
-    triples = grams.where("k = 3").select(F.regexp_replace("gram", r" ?[^ ]*$", "").alias("context"), F.regexp_extract("gram", r"([^ ]*)$", 1).alias("w"), "n")
+    triples = grams.where("k = 3").select("context", F.col("word").alias("w"), "n")
     asked = endings.select("context", F.col("word").alias("w")).distinct()
     lines = triples.select("context", "w", F.lit(1).alias("at"), "n", F.lit(None).cast("string").alias("probe"))
     for at, suffix, probe in ((0, "", "below"), (2, "", "upto"), (2, TOP, "within")):
@@ -181,20 +224,23 @@ def followers(grams: DataFrame, endings: DataFrame) -> DataFrame:
 
 def wholeness(endings: DataFrame, grams: DataFrame) -> DataFrame:
     """Endings with ``whole``: how much the ending looks like one of a whole text, 0 to 1."""
-    out = endings.withColumn("row", F.monotonically_increasing_id())
-    out = materialise(out, "endings")
-    asked = out.select("row", "own_end", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in ORDERS]), F.array(*[F.col(f"g{k}") for k in ORDERS]))).alias("k", "gram"))
-    seen = asked.join(grams, ["gram", "k"], "left").select("row", "k", (F.coalesce("n", F.lit(1)) - 1).alias("n"), (F.coalesce("ends", F.lit(1)) - F.col("own_end")).alias("e"))
+    out = materialise(endings.withColumn("row", F.monotonically_increasing_id()), "endings")
+    copies = out.groupBy("digest", "place").agg(F.count("*").alias("copies"))
+    out = out.join(copies, ["digest", "place"])
+    asked = out.select("row", "own_end", "copies", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in ORDERS]), F.array(*[F.col(f"g{k}") for k in ORDERS]))).alias("k", "gram"))
+    seen = asked.join(grams.select("k", "gram", "n", "ends"), ["gram", "k"], "left")
+    less = lambda c, own: F.greatest(F.coalesce(c, F.lit(0)) - own, F.lit(0))
+    seen = seen.select("row", "k", less("n", F.col("copies")).alias("n"), less("ends", F.col("copies") * F.col("own_end")).alias("e"))
     by_row = seen.groupBy("row").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in ORDERS for c in ("n", "e")])
     p: Column = F.lit(0.05)
     known: Column = F.lit(True)
     for k in ORDERS:
         known = known & (F.col(f"n{k}") > 0)
         p = F.when(known, (F.col(f"e{k}") + 2 * p) / (F.col(f"n{k}") + 2)).otherwise(p)
-    same = F.greatest(F.coalesce("same", F.lit(1)) - 1, F.lit(0))
+    same = less("same", F.col("copies"))
     longer = F.when(F.col("word") == "0", 0).otherwise(F.coalesce("longer", F.lit(0)))
     share = (same + 0.2) / (same + 0.2 + longer)
-    novelty = F.when(same == 0, F.lit(3.0) / (F.lit(3.0) + F.greatest(F.coalesce("all", F.lit(1)) - 1, F.lit(0)))).otherwise(1.0)
+    novelty = F.when(same == 0, F.lit(3.0) / (F.lit(3.0) + less("all", F.col("copies")))).otherwise(1.0)
     both = out.join(by_row, "row").join(followers(grams, out), ["context", "word"], "left")
     return both.select("doc_id", "source", "length", "place", (p * share * novelty).alias("whole"))
 
