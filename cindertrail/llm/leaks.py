@@ -14,58 +14,134 @@ corpus. Documents are never compared with each other.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+try:
+    from xxhash import xxh3_64_intdigest as _hash
+except ImportError:
+    from hashlib import blake2b
+
+    def _hash(b: bytes) -> int:
+        return int.from_bytes(blake2b(b, digest_size=8).digest(), "little")
+
+
 WINDOW = 13
 #: Unit words.
 UNITS = ("ms", "s", "sec", "second", "seconds", "minute", "minutes", "min", "hour", "hours", "day", "days", "week", "weeks", "beats", "percent", "bytes", "kb", "mb", "gb")
 #: Wording kept as such is read to the driver; beyond this the least used words become names.
 MAX_WORDING = 20_000
+#: Item templates handed to the tasks as a filter (8 bytes each); beyond this all windows go to the join.
+MAX_FILTER = 1_000_000
+WORD = re.compile(r"[^\W_]+")
+NUMERIC = re.compile(r"\d")
+BASE = 0x9E3779B97F4A7C15
 
 
-def words_of(text: Column) -> Column:
+def words_of(text: str | None) -> list[str]:
     """Runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return WORD.findall(text.lower()) if isinstance(text, str) else []
+
+
+def words(text: Column | str) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([words_of(t) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def wording(items: DataFrame, name_max_items: int, text: str = "text") -> list[str]:
     """Words of more than ``name_max_items`` items: the wording shared by the questions."""
-    used = items.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("w")).groupBy("w").agg(F.count("*").alias("items"))
+    used = items.select(F.explode(F.array_distinct(words(F.col(text)))).alias("w")).groupBy("w").agg(F.count("*").alias("items"))
     rows = used.where(F.col("items") > name_max_items).orderBy(F.desc("items"), "w").limit(MAX_WORDING).collect()
     return [r.w for r in rows]
 
 
-def template_windows(df: DataFrame, key: str, kept: list[str], size: int = WINDOW, min_wording: int = 4, text: str = "text") -> DataFrame:
-    """key, pos, template, slots: hashes of every window's template and of what fills its slots."""
-    units = list(UNITS)
+class Shapes(dict):
+    """Words to (hash, hash of the canonical word, 1 if it is wording). Emptied when it grows large."""
+
+    def __init__(self, kept: list[str]):
+        super().__init__()
+        self.kept = frozenset(kept)
+
+    def __missing__(self, word: str) -> tuple[int, int, int]:
+        if NUMERIC.search(word):
+            shape = "<num>"
+        elif word in UNITS:
+            shape = "<unit>"
+        else:
+            shape = word if word in self.kept else "<name>"
+        if len(self) > 500_000:
+            self.clear()
+        own = _hash(word.encode("utf-8", "surrogatepass"))
+        self[word] = found = (own, own if shape == word else _hash(shape.encode()), int(shape == word))
+        return found
 
-    def shape(w: Column) -> Column:
-        return F.when(w.rlike(r"\p{N}"), F.lit("<num>")).when(w.isin(*units), F.lit("<unit>")).when(w.isin(*kept) if kept else F.lit(False), w).otherwise(F.lit("<name>"))
 
-    base = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), words_of(F.col(text)).alias("w")).where(F.size("w") >= size)
-    base = base.withColumn("c", F.transform("w", shape))
-    # one 64-bit hash per word, so a window's hash reads 13 numbers instead of 13 strings
-    base = base.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("ch", F.transform("c", lambda x: F.xxhash64(x)))
-    base = base.withColumn("lit", F.transform("c", lambda x: F.when(x.startswith("<"), 0).otherwise(1)))
+def rolling(codes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of every window of ``size`` codes, in place of ``size`` strings."""
+    n = len(codes) - size + 1
+    with np.errstate(over="ignore"):
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(size):
+            h = h * np.uint64(BASE) + codes[i : i + n]
+        h ^= h >> np.uint64(31)
+        return h * np.uint64(0xBF58476D1CE4E5B9)
 
-    def window(i: Column) -> Column:
-        own = F.slice("wh", i, size)
-        known = F.aggregate(F.slice("lit", i, size), F.lit(0), lambda a, x: a + x) >= min_wording
-        template = F.when(known, F.xxhash64(F.lit(1), F.slice("ch", i, size))).otherwise(F.xxhash64(F.lit(2), own))
-        return F.struct(i.alias("pos"), template.alias("template"), F.xxhash64(F.lit(5), own).alias("slots"))
 
-    # hashed in place: a text's arrays are not copied to each of its windows
-    at = base.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), window)).alias("x"))
-    return at.select("key", "x.pos", "x.template", "x.slots")
+def template_windows(df: DataFrame, key: str, kept: list[str], size: int = WINDOW, min_wording: int = 4, text: str = "text", only: np.ndarray | None = None) -> DataFrame:
+    """key, pos (from 1), template, slots: hashes of every window's template and of its words.
+
+    ``only``: sorted template hashes; windows of other templates are left out.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = Shapes(kept)
+        for batch in batches:
+            keys, sizes, found = [], [], []
+            for k, t in zip(batch["key"], batch["text"]):
+                w = words_of(t)
+                if len(w) >= size:
+                    keys.append(k)
+                    sizes.append(len(w))
+                    found += [shapes[x] for x in w]
+            if not keys:
+                continue
+            own, canon, kept_word = (np.array(c, dtype=np.uint64) for c in zip(*found))
+            doc = np.repeat(np.arange(len(keys)), sizes)
+            n = len(doc) - size + 1
+            inside = doc[:n] == doc[size - 1 :]
+            slots = rolling(own, size)
+            upto = np.concatenate(([0], np.cumsum(kept_word.astype(np.int64))))
+            shared = upto[size:] - upto[:-size] >= min_wording
+            template = np.where(shared, rolling(canon, size), slots ^ np.uint64(BASE)).view(np.int64)
+            if only is not None:
+                place = np.searchsorted(only, template)
+                place[place == len(only)] = 0
+                inside &= only[place] == template if len(only) else False
+            at = np.flatnonzero(inside)
+            first = np.concatenate(([0], np.cumsum(sizes)))[doc[at]]
+            yield pd.DataFrame({"key": np.array(keys, dtype=object)[doc[at]], "pos": at - first + 1, "template": template[at], "slots": slots.view(np.int64)[at]})
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInPandas(scan, f"key {kind}, pos int, template long, slots long")
 
 
 def template_matches(
     documents: DataFrame, items: DataFrame, name_max_items: int = 8, size: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id"
 ) -> tuple[DataFrame, DataFrame]:
+    """Windows of the documents (those of item templates only, if these are few) and of the items."""
     kept = wording(items, name_max_items)
-    docs = template_windows(documents, doc_id, kept, size).withColumnsRenamed({"key": doc_id, "pos": "doc_pos", "slots": "doc_slots"})
     evals = template_windows(items, item_id, kept, size).withColumnsRenamed({"key": item_id, "pos": "item_pos", "slots": "item_slots"})
+    some = [r.template for r in evals.select("template").distinct().limit(MAX_FILTER + 1).collect()]
+    only = np.sort(np.array(some, dtype=np.int64)) if len(some) <= MAX_FILTER else None
+    docs = template_windows(documents, doc_id, kept, size, only=only).withColumnsRenamed({"key": doc_id, "pos": "doc_pos", "slots": "doc_slots"})
     return docs, evals
 
 
@@ -99,8 +175,8 @@ def variants(
         F.count("*").alias("windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos"), F.count_if(F.col("doc_slots") == F.col("item_slots")).alias("same")
     )
     runs = runs.where((F.col("windows") >= min_windows) & (F.col("same") == 0))
-    doc_words = documents.select(F.col(doc_id), words_of(F.col("text")).alias("dw"))
-    item_words = items.select(F.col(item_id), words_of(F.col("text")).alias("iw"))
+    doc_words = documents.join(runs.select(doc_id).distinct(), doc_id).select(doc_id, words("text").alias("dw"))
+    item_words = items.select(item_id, words("text").alias("iw"))
     both = runs.join(item_words, item_id).join(doc_words, doc_id)
     n = F.col("to_pos") - F.col("from_pos") + size
     pairs = F.arrays_zip(F.slice("iw", F.col("from_pos"), n).alias("a"), F.slice("dw", F.col("from_pos") + F.col("shift"), n).alias("b"))
