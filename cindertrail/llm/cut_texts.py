@@ -154,7 +154,7 @@ def count_grams(documents: DataFrame, text: str = "text", flush: int = 1_000_000
 
         def out() -> Iterator[pd.DataFrame]:
             places, ends, context, grams = grams_of(flat)
-            for k in ORDERS:
+            for k in ORDERS if len(places) else ():
                 keys, first, inverse, n = np.unique(grams[k], return_index=True, return_inverse=True, return_counts=True)
                 closed = np.bincount(inverse, weights=ends, minlength=len(keys)).astype(np.int64)
                 frame = pd.DataFrame({"k": k, "gram": signed(keys), "n": n, "ends": closed, "context": 0, "word": None})
