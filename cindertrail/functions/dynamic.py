@@ -118,7 +118,7 @@ class Tree:
         for u in self.order:
             for v, w in self.near[u]:
                 if v != self.parent[u]:
-                    if len(self.order) >= n:
+                    if v == 0 or self.parent[v] >= 0:
                         raise ValueError("not a tree")
                     self.parent[v], self.up[v] = u, w
                     self.order.append(v)
