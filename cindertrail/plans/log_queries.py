@@ -14,6 +14,8 @@ from cindertrail.operators import parallel as P
 from cindertrail.search import engine as S
 from cindertrail.search.query import parse
 from cindertrail.session import table
+from cindertrail.sources import demo, simulation
+from cindertrail.streaming.detector import batch_readings
 
 FROM_MS, TO_MS = 1_646_870_400_000, 1_646_956_800_000  # 10 March 2022 in UTC
 PHRASE, NEAR = "timed out after", "reply sent wth 100 byts"
@@ -35,6 +37,11 @@ def _hits(spark: SparkSession, d: str, query: str) -> DataFrame:
     return S.search(logs(spark, d), query).select("id", "matches", "snippet")
 
 
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    e = simulation.simulate(spark, "traffic-surge", table(spark, d, "service_nodes").select("service", "base_share"))
+    return e.groupBy("tick", "phase").agg(F.count("*").alias("events"), F.count_if(L.is_error(F.col("level"))).alias("errors"), F.avg("response_ms").alias("avg_ms"))
+
+
 QUERIES = {
     "severity_distribution": lambda s, d: A.severity_distribution(logs(s, d)),
     "frequency_analysis": lambda s, d: A.frequency_analysis(logs(s, d)),
@@ -97,4 +104,7 @@ QUERIES = {
     "reduce_max": lambda s, d: P.reduce_column(logs(s, d), "MAX", F.col("response_ms")),
     "reduce_error_count": lambda s, d: P.reduce_column(logs(s, d), "ERROR_COUNT", F.col("status"), 500),
     "sort_latencies": lambda s, d: P.sorted_rows(logs(s, d).select("id", "response_ms").where("response_ms is not null"), ["response_ms", "id"]),
+    "demo_events": lambda s, d: demo.demo_events(s).groupBy("service", "level").agg(F.count("*").alias("events")),
+    "simulation_ticks": _ticks,
+    "detector_readings": lambda s, d: batch_readings(logs(s, d)),
 }

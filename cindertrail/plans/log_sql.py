@@ -206,4 +206,16 @@ SELECT batch, count(*) AS events, arg_min(id, (ms, id)) AS first_id, arg_max(id,
     "reduce_max": "SELECT max(response_ms) AS result FROM log_events",
     "reduce_error_count": "SELECT count(*) AS result FROM log_events WHERE status = 500",
     "sort_latencies": "SELECT id, response_ms FROM log_events WHERE response_ms IS NOT NULL ORDER BY 2, 1",
+    "overview": f"""
+WITH s AS (SELECT max(epoch_ms(ts)) - 86400000 AS lo FROM log_events),
+w AS (SELECT e.*, epoch_ms(ts) AS ms, lo, {BAD} AS bad FROM log_events e, s WHERE epoch_ms(ts) >= lo),
+t AS (SELECT count(*) AS n, count(*) FILTER (bad) AS e, count(*) FILTER (level = 'WARN') AS wa, count(DISTINCT service) AS sv, count(DISTINCT host) AS h FROM w)
+SELECT 'totals' AS section, 'events' AS key, n::DOUBLE AS value FROM t UNION ALL SELECT 'totals', 'errors', e FROM t UNION ALL SELECT 'totals', 'warnings', wa FROM t
+UNION ALL SELECT 'totals', 'services', sv FROM t UNION ALL SELECT 'totals', 'hosts', h FROM t UNION ALL SELECT 'totals', 'events_per_minute', n / 1440.0 FROM t
+UNION ALL SELECT 'severity', l, count(id) FROM (VALUES ('TRACE'), ('DEBUG'), ('INFO'), ('WARN'), ('ERROR'), ('FATAL')) v(l) LEFT JOIN w ON level = l GROUP BY l
+UNION ALL (SELECT 'service', coalesce(service, '(unknown)'), count(*) FROM w GROUP BY 2 ORDER BY 3 DESC, min(id) LIMIT 6)
+UNION ALL (SELECT 'pattern', {TEMPLATE}, count(*) FROM w WHERE message IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, min(id) LIMIT 8)
+UNION ALL SELECT 'status', cast(status AS VARCHAR), count(*) FROM w WHERE status <> 0 GROUP BY 2
+UNION ALL SELECT 'timeline', cast(least(23, (ms - lo) // 3600000) AS VARCHAR), count(*) FROM w GROUP BY 2
+UNION ALL (SELECT 'critical', cast(id AS VARCHAR), ms FROM w WHERE bad ORDER BY ts DESC, id DESC LIMIT 12)""",
 }

@@ -99,18 +99,24 @@ def stream_readings(events: DataFrame, key: str = "service", lateness: str = "0
 def batch_readings(events: DataFrame, key: str = "service") -> DataFrame:
     """The same readings of a bounded table: buckets are aggregated first, then stepped in order."""
     e = _prepared(events, key)
-    rt = F.when(F.col("response_ms") > 0, F.least(F.lit(BINS - 1), F.expr(f"cast(response_ms div {BIN_MS} as int)")))
-    cells = e.groupBy("key", "bucket").agg(F.count("*").alias("events"), F.count_if("error").alias("errors"), *[F.count_if(rt == i).alias(f"h{i}") for i in range(BINS)])
+    rt = F.when(F.col("response_ms") > 0, F.least(F.lit(BINS - 1), F.expr(f"cast(response_ms div {BIN_MS} as int)"))).otherwise(-1)
+    bins = e.groupBy("key", "bucket", rt.alias("bin")).agg(F.count("*").alias("n"), F.count_if("error").alias("bad"))
+    cells = bins.groupBy("key", "bucket").agg(
+        F.sum("n").alias("events"), F.sum("bad").alias("errors"), F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts")
+    )  # at most BINS + 1 entries a list
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, d = None, Detector()
         for b in batches:
             out = []
-            hist = b[[f"h{i}" for i in range(BINS)]].to_numpy().tolist()
-            for k, bucket, ev, er, h in zip(b["key"], b["bucket"], b["events"], b["errors"], hist):
+            for k, bucket, ev, er, held, counts in zip(b["key"], b["bucket"], b["events"], b["errors"], b["bins"], b["counts"]):
                 if k != now:
                     now, d = k, Detector()
-                out.append((k, *d.close(int(bucket), int(ev), int(er), h)))
+                hist = [0] * BINS
+                for i, n in zip(held, counts):
+                    if i >= 0:
+                        hist[i] = int(n)
+                out.append((k, *d.close(int(bucket), int(ev), int(er), hist)))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     return cells.repartition("key").sortWithinPartitions("key", "bucket").mapInPandas(run, SCHEMA)
