@@ -1,0 +1,15 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import oracle  # noqa: E402
+from cindertrail.llm.queries import QUERIES  # noqa: E402
+from cindertrail.llm.sql import SQL  # noqa: E402
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query(spark, sf, name):
+    oracle.compare(spark, sf, QUERIES[name], SQL.get(name))
