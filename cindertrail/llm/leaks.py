@@ -164,22 +164,26 @@ def variants(
 ) -> DataFrame:
     """doc_id, item_id, windows: re-parameterised questions.
 
-    At least ``min_windows`` windows in a row have the item's template, not its words, and the
-    words in the slots map one to one onto the item's along the whole stretch.
+    At least ``min_windows`` windows in a row have the item's templates, the words along this
+    stretch are not the item's own, and those that differ map one to one onto the item's.
+    Items of one template sequence are matched as one class and told apart only at the end,
+    by their words, so a question asked of many names costs one match.
     """
     docs, evals = template_matches(documents, items, name_max_items, size, doc_id, item_id)
-    hits = docs.join(evals, "template").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
-    line = Window.partitionBy(doc_id, item_id, "shift").orderBy("item_pos")
+    members = evals.groupBy(item_id).agg(F.sort_array(F.collect_list(F.struct("item_pos", "template"))).alias("t"))  # as long as an item
+    members = members.select(item_id, F.xxhash64(F.lit(11), "t").alias("class"), "t")
+    shapes = members.groupBy("class").agg(F.first("t").alias("t")).select("class", F.explode("t").alias("x")).select("class", "x.item_pos", "x.template")
+    hits = docs.join(shapes, "template").select(doc_id, "class", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
+    line = Window.partitionBy(doc_id, "class", "shift").orderBy("item_pos")
     hits = hits.withColumn("island", F.col("item_pos") - F.row_number().over(line))
-    runs = hits.groupBy(doc_id, item_id, "shift", "island").agg(
-        F.count("*").alias("windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos"), F.count_if(F.col("doc_slots") == F.col("item_slots")).alias("same")
-    )
-    runs = runs.where((F.col("windows") >= min_windows) & (F.col("same") == 0))
+    runs = hits.groupBy(doc_id, "class", "shift", "island").agg(F.count("*").alias("windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos"))
+    runs = runs.where(F.col("windows") >= min_windows)
     doc_words = documents.join(runs.select(doc_id).distinct(), doc_id).select(doc_id, words("text").alias("dw"))
-    item_words = items.select(item_id, words("text").alias("iw"))
-    both = runs.join(item_words, item_id).join(doc_words, doc_id)
     n = F.col("to_pos") - F.col("from_pos") + size
-    pairs = F.arrays_zip(F.slice("iw", F.col("from_pos"), n).alias("a"), F.slice("dw", F.col("from_pos") + F.col("shift"), n).alias("b"))
-    both = both.withColumn("pairs", F.array_distinct(pairs))
+    runs = runs.join(doc_words, doc_id).select(doc_id, "class", "windows", "from_pos", n.alias("n"), F.slice("dw", F.col("from_pos") + F.col("shift"), n).alias("dw"))
+    item_words = items.select(item_id, words("text").alias("iw")).distinct()
+    both = runs.join(members.select(item_id, "class"), "class").join(item_words, item_id)
+    pairs = F.array_distinct(F.arrays_zip(F.slice("iw", F.col("from_pos"), F.col("n")).alias("a"), F.col("dw").alias("b")))
+    both = both.select(doc_id, item_id, "windows", pairs.alias("pairs")).where(F.exists("pairs", lambda p: p["a"] != p["b"]))
     one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
     return both.where(one("a") & one("b")).groupBy(doc_id, item_id).agg(F.sum("windows").cast("long").alias("windows"))
