@@ -16,6 +16,15 @@ def ts_ms(ts: Column | None = None) -> Column:
     return F.unix_millis((F.col("ts") if ts is None else ts).cast("timestamp"))
 
 
+def in_ms(from_ms: Column | int, to_ms: Column | int | None = None, closed: bool = False) -> Column:
+    """ts in [from, to) or, if ``closed``, [from, to] by whole milliseconds, as bounds on ``ts`` a scan can use."""
+    at = lambda v: F.timestamp_millis(v if isinstance(v, Column) else F.lit(v))
+    cond = F.col("ts") >= at(from_ms)
+    if to_ms is not None:
+        cond = cond & (F.col("ts") < at(to_ms + 1 if closed else to_ms))
+    return cond
+
+
 def level_ord(level: Column) -> Column:
     out = F.lit(-1)
     for i, name in enumerate(LEVELS):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindertrail.functions.cleaning import with_scalars
-from cindertrail.functions.logcols import LEVELS, is_error, level_ord, normalize_message, ts_ms
+from cindertrail.functions.logcols import LEVELS, in_ms, is_error, level_ord, normalize_message, ts_ms
 
 #: Range presets: milliseconds and number of buckets.
 RANGES = {"5m": (300_000, 10), "15m": (900_000, 10), "1h": (3_600_000, 12), "6h": (21_600_000, 24), "24h": (86_400_000, 24)}
@@ -169,7 +169,7 @@ def range_buckets(events: DataFrame, from_ms: int, to_ms: int, buckets: int) ->
     """Buckets of [from, to], ``to`` included; what the width leaves over goes to the last one."""
     spark = events.sparkSession
     width = max(1, (to_ms - from_ms) // buckets)
-    e = events.select(ts_ms().alias("ms"), is_error(F.col("level")).alias("bad")).where(F.col("ms").between(from_ms, to_ms))
+    e = events.where(in_ms(from_ms, to_ms, closed=True)).select(ts_ms().alias("ms"), is_error(F.col("level")).alias("bad"))
     idx = F.least(F.lit(buckets - 1), F.expr(f"(ms - {from_ms}) div {width}")).cast("int")
     filled = e.groupBy(idx.alias("bucket")).agg(F.count("*").alias("n"), F.count_if("bad").alias("e"))
     shape = spark.createDataFrame([(from_ms, width)], "lo long, width long")
@@ -180,7 +180,7 @@ def range_buckets(events: DataFrame, from_ms: int, to_ms: int, buckets: int) ->
 def latest_window(events: DataFrame, range_ms: int) -> DataFrame:
     """Rows of the closed window [latest - range, latest], anchored on the data."""
     last = events.agg((F.max(ts_ms()) - range_ms).alias("since"))
-    return events.where(ts_ms() >= last.scalar())
+    return events.where(in_ms(last.scalar()))
 
 
 def service_activity(events: DataFrame, service: str, hours: int = 24) -> DataFrame:

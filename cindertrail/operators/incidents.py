@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindertrail.functions.cleaning import with_scalars
-from cindertrail.functions.logcols import is_error, normalize_message, ts_ms
+from cindertrail.functions.logcols import in_ms, is_error, normalize_message, ts_ms
 
 WINDOW_MS, FACTOR, LEAST, MAX_WINDOWS = 300_000, 3.0, 3, 5000
 
@@ -52,7 +52,7 @@ def events_in_window(events: DataFrame, from_ms: int, to_ms: int, limit: int = 1
     """Rows of all levels in [from, to) in order of id, at most 1000."""
     if from_ms > to_ms:
         raise ValueError("from is after to")
-    return events.where((ts_ms() >= from_ms) & (ts_ms() < to_ms)).orderBy("id").offset(max(0, offset)).limit(max(1, min(1000, limit)))
+    return events.where(in_ms(from_ms, to_ms)).orderBy("id").offset(max(0, offset)).limit(max(1, min(1000, limit)))
 
 
 def incident_evidence(events: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def predicate(q: Query) -> Column:
     """Cheap structured predicates first, the text last."""
     cond = F.lit(True)
     if q.levels:
-        cond = cond & F.upper("level").isin(*[v.upper() for v in q.levels if v.upper() in LEVELS] or [""])
+        cond = cond & F.col("level").isin(*[v.upper() for v in q.levels if v.upper() in LEVELS] or [""])  # stored in upper case
     for name, value in q.exact.items():
         col = F.col(EXACT[name])
         if name == "status":
