@@ -19,6 +19,24 @@ SELECT m AS mask, coalesce(v, 0) AS value FROM range(128) r(m) LEFT JOIN (
     WHERE request_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1) GROUP BY 1) ON mask = m"""
 _TEXT = "(SELECT string_agg(service, '|' ORDER BY service) AS t FROM service_nodes)"
 
+_DAY_EDGES = """
+SELECT day, source, target, count(*) AS weight FROM (
+  SELECT strftime(timezone('UTC', ts), '%Y-%m-%d') AS day, service AS target, lag(service) OVER (PARTITION BY request_id ORDER BY epoch_ms(ts), id) AS source
+  FROM log_events WHERE request_id IS NOT NULL AND service IS NOT NULL)
+WHERE source IS NOT NULL AND source <> target GROUP BY 1, 2, 3"""
+#: The least cut over all sets of services, by the max-flow min-cut theorem the largest flow.
+_CUTS = f"""
+WITH e AS ({_DAY_EDGES}), v AS (SELECT service, row_number() OVER (ORDER BY service) - 1 AS i FROM service_nodes),
+b AS (SELECT e.day, a.i AS u, z.i AS w, weight FROM e JOIN v a ON a.service = source JOIN v z ON z.service = target),
+m AS (SELECT mask FROM range(1024) r(mask), v a, v z WHERE a.service = 'edge-proxy' AND z.service = 'ledger-db' AND (mask >> a.i) & 1 = 1 AND (mask >> z.i) & 1 = 0)
+SELECT day, cast(min(cut) AS BIGINT) AS {{name}} FROM (
+  SELECT day, mask, sum(CASE WHEN (mask >> u) & 1 = 1 AND (mask >> w) & 1 = 0 THEN weight ELSE 0 END) AS cut FROM b, m GROUP BY 1, 2) GROUP BY 1"""
+_FLOW = _CUTS.format(name="max_flow")
+_GAPS = """
+SELECT n_regionkey AS region, n_name AS name, avg(c_acctbal) AS b FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2"""
+_SUPPLIERS = """
+SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS node, cast(round(abs(s_acctbal) * 100) AS BIGINT) AS weight FROM supplier"""
+
 SQL: dict[str, str] = {
     "pattern_positions": _STARTS,
     "pattern_positions_arrow": _STARTS,
@@ -35,4 +53,33 @@ SQL: dict[str, str] = {
 SELECT cast(sum(n) AS BIGINT) AS keys, cast(sum(n - 1) AS BIGINT) AS collisions, max(n) AS largest, sum(n) / 64.0 AS load
 FROM (SELECT count(DISTINCT id) AS n FROM log_events GROUP BY {_SLOT})""",
     "perfect_hash_membership": "SELECT id, status FROM log_events WHERE status IN (500, 502, 503, 504, 599)",
+    "border_arrays": f"""
+SELECT level, a, string_agg(cast(l AS VARCHAR), ',' ORDER BY i) AS lps, string_agg(cast(z AS VARCHAR), ',' ORDER BY i) AS z FROM (
+  SELECT level, a, i, (SELECT coalesce(max(k), 0) FROM range(1, 400) r(k) WHERE k < i AND substring(a, 1, k) = substring(a, i - k + 1, k)) AS l,
+         CASE WHEN i = 1 THEN 0 ELSE (SELECT coalesce(max(k), 0) FROM range(1, 400) r(k) WHERE k <= length(a) - i + 1 AND substring(a, 1, k) = substring(a, i, k)) END AS z
+  FROM ({_TEMPLATES}), range(1, 400) q(i) WHERE i <= length(a)) GROUP BY 1, 2""",
+    "rolling_hash": """
+SELECT service, cast(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(service, ''), lambda c: ord(c)::HUGEINT)),
+  lambda h, c: (h * 911382323 + c) % 1000000007) AS BIGINT) AS hash FROM (SELECT DISTINCT service FROM log_events WHERE service IS NOT NULL)""",
+    "suffix_arrays": f"""
+SELECT a, start, CASE WHEN p IS NULL THEN 0 ELSE (SELECT coalesce(max(k), 0) FROM range(1, 400) r(k) WHERE k <= length(suf) AND substring(suf, 1, k) = substring(p, 1, k) AND k <= length(p)) END AS lcp
+FROM (SELECT a, start, suf, lag(suf) OVER (PARTITION BY a ORDER BY suf) AS p FROM ({_SUFFIX}))""",
+    "edit_scripts": f"SELECT level, a, b, levenshtein(a, b) AS edits FROM ({_TEMPLATES})",
+    "max_flow_dinic": _FLOW,
+    "max_flow_edmonds_karp": _FLOW,
+    "max_flow_ford_fulkerson": _FLOW,
+    "min_cut": _CUTS.format(name="capacity"),
+    "tsp": f"""
+WITH g AS ({_GAPS}), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY name) AS i FROM g),
+d AS (SELECT a.region, a.i AS x, b.i AS y, cast(round(abs(a.b - b.b) * 100) AS BIGINT) AS w FROM k a JOIN k b ON a.region = b.region AND a.i <> b.i)
+SELECT p.region, min(p.w + q.w + r.w + s.w + t.w) AS length FROM d p JOIN d q ON q.region = p.region AND q.x = p.y JOIN d r ON r.region = p.region AND r.x = q.y
+JOIN d s ON s.region = p.region AND s.x = r.y JOIN d t ON t.region = p.region AND t.x = s.y AND t.y = p.x
+WHERE p.x = 1 AND len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5 GROUP BY 1""",
+    "tree_metrics": f"""
+WITH RECURSIVE s AS ({_SUPPLIERS}), e AS (
+  SELECT nation, node AS a, (node - 1) // 2 AS b, weight FROM s WHERE node > 0 UNION ALL SELECT nation, (node - 1) // 2, node, weight FROM s WHERE node > 0),
+w AS (SELECT nation, node AS a, node AS b, -1::BIGINT AS came, 0::BIGINT AS d FROM s
+      UNION ALL SELECT w.nation, w.a, e.b, w.b, w.d + e.weight FROM w JOIN e ON e.nation = w.nation AND e.a = w.b AND e.b <> w.came)
+SELECT nation, cast(count(DISTINCT a) AS INTEGER) AS vertices, max(d) AS diameter, (SELECT min(t) FROM (SELECT sum(d) AS t FROM w z WHERE z.nation = w.nation GROUP BY a)) AS least_sum
+FROM w GROUP BY nation""",
 }
