@@ -106,20 +106,20 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def digest(*parts: str) -> str:
+def digest(*parts: str | bytes) -> bytes:
     h = hashlib.blake2b(digest_size=16)
     for p in parts:
-        raw = p.encode("utf-8", "surrogatepass")
+        raw = p if isinstance(p, bytes) else p.encode("utf-8", "surrogatepass")
         h.update(len(raw).to_bytes(8, "big"))
         h.update(raw)
-    return h.hexdigest()
+    return h.digest()
 
 
 def shred(payload: str | None, rels: tuple[Rel, ...] = FRAME_RELS):
     """(root hash, nodes) of a payload, or None if it isn't one complete JSON object.
 
-    A node is (occ, parent occ, rel, ordinal, hash, parent hash, label, body); the record
-    itself is occurrence 0. Ordinals count the children of one member from 0.
+    A node is [occ, parent occ, rel, ordinal, hash, label, body]; the record itself is
+    occurrence 0. Ordinals count the children of one member from 0.
     """
     try:
         record = json.loads(payload) if payload else None
@@ -129,8 +129,8 @@ def shred(payload: str | None, rels: tuple[Rel, ...] = FRAME_RELS):
         return None
     nodes: list[list] = []
 
-    def visit(owner: dict, owner_rel: str | None, occ: int) -> tuple[list[str], set[str]]:
-        hashes: list[str] = []
+    def visit(owner: dict, owner_rel: str | None, occ: int) -> tuple[list[bytes], set[str]]:
+        hashes: list[bytes] = []
         taken: set[str] = set()
         for rel in rels:
             if rel.parent != owner_rel:
@@ -144,35 +144,31 @@ def shred(payload: str | None, rels: tuple[Rel, ...] = FRAME_RELS):
                 continue
             for ordinal, child in enumerate(children(holder.get(rel.member), rel.label)):
                 own = len(nodes) + 1
-                node = [own, occ, rel.name, ordinal, "", "", name_of(child, rel), ""]
+                node = [own, occ, rel.name, ordinal, b"", name_of(child, rel), ""]
                 nodes.append(node)
-                below: list[str] = []
+                below: list[bytes] = []
                 body = child
                 if isinstance(child, dict):
                     below, inner = visit(child, rel.name, own)
                     body = {k: v for k, v in child.items() if k not in inner}
-                node[7] = canonical(body)
-                node[4] = digest(rel.name, node[7], *below)
+                node[6] = canonical(body)
+                node[4] = digest(rel.name, node[6], *below)
                 hashes.append(node[4])
         return hashes, taken
 
     below, taken = visit(record, None, 0)
     root_body = canonical({k: v for k, v in record.items() if k not in taken})
-    root = digest("record", root_body, *below)
-    by_occ = {n[0]: n[4] for n in nodes}
-    by_occ[0] = root
-    for n in nodes:
-        n[5] = by_occ[n[1]]
-    return root, root_body, nodes
+    return digest("record", root_body, *below), root_body, nodes
 
 
-NODE = "struct<occ:int,parent_occ:int,rel:string,ordinal:int,hash:string,parent_hash:string,label:string,body:string>"
+NODE = "struct<occ:int,parent_occ:int,rel:string,ordinal:int,hash:binary>"
+OBJECT = "struct<hash:binary,rel:string,label:string,body:string>"
 
 
 @dataclass
 class Shredded:
     """objects(hash, rel, label, body): each distinct object once.
-    bridge(<keys>, occ, parent_occ, rel, ordinal, hash, parent_hash): each occurrence.
+    bridge(<keys>, occ, parent_occ, rel, ordinal, hash): each occurrence under its parent's.
     frames(<keys>, hash): the records themselves."""
 
     frames: DataFrame
@@ -199,30 +195,25 @@ def shred_frames(
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, told = [], set()  # an object is told once a batch; the group-by below leaves one
             for *key, ver, raw in batch.itertuples(index=False, name=None):
                 if (found := shred(raw if isinstance(raw, str) else None, rels)) is not None:
                     root, body, nodes = found
-                    out.append((*key, ver, root, body, [tuple(n) for n in nodes]))
-            yield pd.DataFrame(out, columns=[*keys, "version", "root", "root_body", "nodes"])
+                    fresh = [(n[4], n[2], n[5], n[6]) for n in nodes] + [(root, "record", "", body)]
+                    fresh = [o for o in {o[0]: o for o in fresh}.values() if o[0] not in told]
+                    told.update(o[0] for o in fresh)
+                    out.append((*key, ver, root, [tuple(n[:5]) for n in nodes], fresh))
+            yield pd.DataFrame(out, columns=[*keys, "version", "root", "nodes", "fresh"])
 
     parsed = frames.select(*keys, F.col(version).alias("version"), payload).mapInPandas(
-        read, f"{key_schema}, version {kinds[version]}, root string, root_body string, nodes array<{NODE}>"
-    )
-    once = (
-        parsed.groupBy(*keys)
-        .agg(F.min_by(F.struct("root", "root_body", "nodes"), "version").alias("r"))
-        .select(*keys, "r.*")
-    )
-    kept = materialise(once, "frames")
-    bridge = kept.select(*keys, F.explode("nodes").alias("n")).select(*keys, "n.occ", "n.parent_occ", "n.rel", "n.ordinal", "n.hash", "n.parent_hash")
-    objects = (
-        kept.select(F.explode("nodes").alias("n"))
-        .select("n.hash", "n.rel", "n.label", "n.body")
-        .unionByName(kept.select(F.col("root").alias("hash"), F.lit("record").alias("rel"), F.lit("").alias("label"), F.col("root_body").alias("body")))
-        .groupBy("hash")
-        .agg(F.first("rel").alias("rel"), F.first("label").alias("label"), F.first("body").alias("body"))
+        read, f"{key_schema}, version {kinds[version]}, root binary, nodes array<{NODE}>, fresh array<{OBJECT}>"
     )
+    parsed = materialise(parsed, "frames")
+    stands = parsed.groupBy(*keys).agg(F.min("version").alias("version"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "version")]
+    kept = parsed.select(*keys, "version", "root", "nodes").alias("a").join(stands.alias("b"), same, "left_semi")
+    bridge = kept.select(*keys, F.explode("nodes").alias("n")).select(*keys, "n.*")
+    objects = parsed.select(F.explode("fresh").alias("o")).select("o.*").groupBy("hash").agg(F.first("rel").alias("rel"), F.first("label").alias("label"), F.first("body").alias("body"))
     return Shredded(kept.select(*keys, F.col("root").alias("hash")), objects, bridge, keys)
 
 
