@@ -19,3 +19,27 @@ SELECT user_id, min(us) AS start_us, max(us) AS end_us, max(us) - min(us) AS dur
 FROM numbered GROUP BY user_id, n"""
 SQL["p1_sessions"] = _SESSIONS
 SQL["p1_found"] = f"SELECT user_id, start_us, end_us FROM ({_SESSIONS})"
+
+_PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_NUMBER = "'[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d{1,2})?'"
+_INT = "CASE WHEN regexp_full_match(v, '[+-]?\\d{1,3}(,\\d{3})+([.eE].*)?') THEN replace(v, ',', '') ELSE v END"
+_DEC = "CASE WHEN regexp_full_match(v, '[+-]?\\d*,\\d+([eE][+-]?\\d+)?') THEN replace(v, ',', '.') ELSE v END"
+_NOTHING = "('', '-', '--', '---', '?', 'none', 'null', 'nil', 'nan', 'n/a', 'na', 'n.a.', '#n/a', 'undefined', '(none)', '(null)', '<none>', '<null>', '\\n', '–', '—')"
+_CELLS = f"""
+WITH c AS (SELECT DISTINCT attr_name AS name, attr_type AS kind, {_PLAIN.format('attr_name')} AS k FROM attr_catalog),
+r AS (SELECT event_id, rec_no, name, kind, trim(attr_value, E' \\t\\n\\r') AS v FROM event_attributes JOIN c ON k = {_PLAIN.format('attr_name')}
+      WHERE event_id IS NOT NULL AND rec_no IS NOT NULL AND attr_value IS NOT NULL),
+n AS (SELECT *, CASE WHEN kind = 'int' THEN {_INT} WHEN kind = 'dec' THEN {_DEC} END AS num FROM r WHERE lower(v) NOT IN {_NOTHING}),
+p AS (SELECT *, CASE WHEN regexp_full_match(num, {_NUMBER}) THEN try_cast(num AS DECIMAL(38, 12)) END AS x, CASE
+  WHEN kind <> 'time' THEN NULL
+  WHEN regexp_full_match(v, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?') THEN epoch_ms(try_cast(v || 'Z' AS TIMESTAMPTZ))
+  WHEN regexp_full_match(v, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)') THEN epoch_ms(try_cast(v AS TIMESTAMPTZ))
+  WHEN regexp_full_match(v, '\\d{{8}}T\\d{{6}}Z') THEN epoch_ms(try_strptime(v, '%Y%m%dT%H%M%SZ'))
+  WHEN regexp_full_match(v, '\\d\\d/[A-Za-z]{{3}}/\\d{{4}}:\\d\\d:\\d\\d:\\d\\d [+-]\\d{{4}}') THEN epoch_ms(try_strptime(v, '%d/%b/%Y:%H:%M:%S %z'))
+  WHEN regexp_full_match(v, '\\d{{1,15}}') THEN CASE WHEN v::BIGINT < 100000000000 THEN v::BIGINT * 1000 ELSE v::BIGINT END END AS ms FROM n),
+t AS (SELECT event_id, rec_no, name, CASE kind WHEN 'text' THEN v
+  WHEN 'bool' THEN CASE WHEN lower(v) IN ('true', 't', 'yes', 'y', 'on', '1') THEN 'true' WHEN lower(v) IN ('false', 'f', 'no', 'n', 'off', '0') THEN 'false' END
+  WHEN 'int' THEN CASE WHEN x = floor(x) THEN cast(cast(x AS HUGEINT) AS VARCHAR) END
+  WHEN 'dec' THEN cast(cast(x AS DECIMAL(38, 3)) AS VARCHAR) WHEN 'time' THEN cast(ms AS VARCHAR) END AS value FROM p)
+SELECT event_id, name AS attr_name, arg_max(value, rec_no) AS attr_value FROM t WHERE value IS NOT NULL GROUP BY 1, 2"""
+SQL["p3_found"] = _CELLS
