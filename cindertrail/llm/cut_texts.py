@@ -45,6 +45,8 @@ ORDERS = (1, 2, 3, 5)
 TOP = "\U0010ffff"
 #: Share of texts expected to be cut away from any limit; a prior, not a cap.
 TRANSFER_PRIOR = 0.08
+#: What a length at a limit can say at most: texts end there by chance as well.
+LIMIT_TRUST = 0.9
 
 
 class Codes(dict):
@@ -130,7 +132,7 @@ def tails(text: str, codes: Codes) -> list[tuple]:
     final = words[-1]
     gap = text[found[final][2] :]
     if not (CLOSED.match(gap) and not DOTS.search(gap)):
-        asked.append(("end", final))
+        asked.append(("hanging" if gap.rstrip()[-1:] in (",", ";") else "end", final))
     if m := MARK.search(text, max(0, len(text) - 80)):
         before = [i for i in words if found[i][2] <= m.start()]
         if before and not re.search(r"[.!?]", text[found[before[-1]][2] : m.start()]):
@@ -242,7 +244,8 @@ def wholeness(endings: DataFrame, grams: DataFrame) -> DataFrame:
     share = (same + 0.2) / (same + 0.2 + longer)
     novelty = F.when(same == 0, F.lit(3.0) / (F.lit(3.0) + less("all", F.col("copies")))).otherwise(1.0)
     both = out.join(by_row, "row").join(followers(grams, out), ["context", "word"], "left")
-    return both.select("doc_id", "source", "length", "place", (p * share * novelty).alias("whole"))
+    hanging = F.when(F.col("place") == "hanging", 0.2).otherwise(1.0)  # nothing whole ends with a comma
+    return both.select("doc_id", "source", "length", "place", (p * share * novelty * hanging).alias("whole"))
 
 
 def length_limits(documents: DataFrame, text: str = "text", least: int = 5, excess: float = 10.0) -> DataFrame:
@@ -311,7 +314,7 @@ def cut_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     endings = wholeness(open_endings(documents, doc_id, text), materialise(count_grams(documents, text), "grams"))
     limits = length_limits(documents, text).select(F.col("source").alias("ls"), F.col("length").alias("ll"), "censored")
     both = endings.join(limits, F.col("source").eqNullSafe(F.col("ls")) & (F.col("length") == F.col("ll")), "left")
-    q = F.greatest(F.coalesce("censored", F.lit(0.0)), F.lit(prior))
+    q = F.greatest(F.least(F.coalesce("censored", F.lit(0.0)), F.lit(LIMIT_TRUST)), F.lit(prior))
     odds = F.log(q / (1 - q)) + F.log((F.lit(1.005) - F.col("whole")) / (F.col("whole") + 0.005))
     judged = both.select("doc_id", "source", "length", (F.coalesce("censored", F.lit(0.0)) > 0.5).alias("at_limit"), odds.alias("log_odds")).where("log_odds > 0")
     return judged.groupBy("doc_id", "source", "length", "at_limit").agg(F.max("log_odds").alias("log_odds")).withColumnRenamed("doc_id", doc_id)

@@ -36,6 +36,9 @@ def corpus(seed=10, n=1500, limit=300):
             if t[at - 1] not in ". " and t[at] != ".":
                 cut.add(i)
                 t = t[:at] + rng.choice(["", "", "...", " [truncated]"])
+        elif how < 0.06:
+            t += " Restarting basket helped,"
+            cut.add(i)
         elif how < 0.15:
             t = t[:-1]
         elif how < 0.3:
