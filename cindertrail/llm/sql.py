@@ -47,3 +47,10 @@ SELECT doc_id, item_id, count(DISTINCT p) AS windows, min(p) - 1 AS first_word,
 FROM d JOIN i USING (g) GROUP BY doc_id, item_id"""
 SQL["p8_leaks"] = _LEAKS
 SQL["p8_found"] = f"SELECT doc_id, item_id FROM ({_LEAKS})"
+
+#: Sizes in characters: which sources fall short doesn't hang on the unit.
+SQL["p9_found"] = """
+WITH d AS (SELECT lower(trim(source, E' \\t\\n\\r')) AS source, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT source, sum(n) AS size FROM d GROUP BY 1)
+SELECT t.source FROM (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM mix_targets) t LEFT JOIN s ON s.source = t.source
+WHERE coalesce(size, 0) * max_repeats < target_share * (SELECT sum(n) FROM d)"""
