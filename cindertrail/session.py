@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -73,6 +74,9 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
 
 def _forget_all() -> None:
     for spark, path in _paths:
+        if path.startswith("file:/"):  # also once the session has been stopped
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+            continue
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
