@@ -160,12 +160,14 @@ def leaks(documents: DataFrame, items: DataFrame, name_max_items: int = 8, size:
 
 
 def variants(
-    documents: DataFrame, items: DataFrame, name_max_items: int = 8, size: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id", min_windows: int = 3
+    documents: DataFrame, items: DataFrame, name_max_items: int = 8, size: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id", min_windows: int = 1
 ) -> DataFrame:
     """doc_id, item_id, windows: re-parameterised questions.
 
     At least ``min_windows`` windows in a row have the item's templates, the words along this
     stretch are not the item's own, and those that differ map one to one onto the item's.
+    A single window counts, as in ``leaks``: the one-to-one map is the filter, and ``windows``
+    tells how much matched.
     Items of one template sequence are matched as one class and told apart only at the end,
     by their words, so a question asked of many names costs one match.
     """

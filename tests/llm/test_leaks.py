@@ -62,5 +62,16 @@ def test_reparameterised_questions(spark):
     assert {d for d, _ in got} == {1, 4} and (4, 0) not in got and len([x for x in got if x[0] == 1]) == 12
 
 
+def test_reparameterised_passages_of_one_and_two_windows(spark):
+    names = ("alpha", "beta", "gamma", "delta", "epsilon")
+    items = [(n, re.sub("|".join(names), lambda m, n=n: m.group() + "abcdefghijkl"[n], ITEM)) for n in range(12)]
+    w = words(ITEM.replace("alpha", "omicron").replace("gamma", "sigma"))
+    twice = ["omicron" if x == "sigma" else x for x in w]  # two slots, one filler
+    docs = [(1, " ".join(w[:13])), (2, " ".join(w[2:16])), (3, " ".join(w[:12])), (4, " ".join(twice[:13])), (5, " ".join(words(items[0][1])[:13]))]
+    got = {(r.doc_id, r.item_id, r.windows) for r in variants(*frames(spark, docs, items)).collect()}
+    every = {(d, n, k) for d, k in ((1, 1), (2, 2), (5, 1)) for n in range(12)}
+    assert got == every - {(5, 0, 1)}
+
+
 def test_empty(spark):
     assert found(spark, [], [(1, ITEM)]) == set() and found(spark, [(1, ITEM)], []) == set()
