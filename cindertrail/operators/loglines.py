@@ -6,8 +6,8 @@ and leading tokens, and merged with the most similar template of their leaf. Eac
 is then mapped once: which token positions hold time, level, component and message, or that
 the template opens no entry. Trees are grown per task, their templates merged by route, and
 the merged templates (at most MAX_TEMPLATES, whatever the input) are given to all tasks,
-which extract the fields by position. A line of no kept template is mapped by its own
-tokens, so the bound drops nothing.
+which extract the fields by position. A line of no kept template, and a line of MAX_TOKENS
+or more tokens, is mapped by its own tokens, so neither bound drops anything.
 
 Entries may span lines. Line to entry is a running maximum of opening line numbers, taken
 in two levels (within blocks of a stream, then over its blocks), so that one stream with a
@@ -129,15 +129,17 @@ class TemplateTree:
                 return 0.0
         return same / max(1, len(a))
 
-    def add(self, tokens: list[str], count: int = 1) -> None:
+    def add(self, tokens: list[str], count: int = 1, opens: bool | None = None) -> None:
+        """``opens``: whether the uncut line opens an entry; templates that differ in it are kept apart."""
+        opens = map_fields(tokens) is not None if opens is None else opens
         tokens = tokens[:MAX_TOKENS]
         leaf = self.leaves.setdefault(self.route(tokens), [])
-        best = max(leaf, key=lambda t: self.likeness(t[0], tokens), default=None)
+        best = max((t for t in leaf if t[2] == opens), key=lambda t: self.likeness(t[0], tokens), default=None)
         if best is not None and self.likeness(best[0], tokens) >= SIMILAR:
             best[0] = [x if x == y else "<*>" for x, y in zip(best[0], tokens)]
             best[1] += count
         elif self.size < self.limit:
-            leaf.append([list(tokens), count])
+            leaf.append([list(tokens), count, opens])
             self.size += 1
 
     def find(self, tokens: list[str]) -> list[str] | None:
@@ -287,7 +289,7 @@ def _clean(raw) -> str:
 
 
 def local_templates(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
-    """Each task's template tree: route, tokens, n."""
+    """Each task's template tree: route, tokens, n, opens."""
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = TemplateTree()
@@ -299,29 +301,28 @@ def local_templates(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
                     shapes[tuple(tokenize(line)[0])] += 1
             for tokens, n in shapes.items():
                 tree.add(list(tokens), n)
-        rows = [(route_of(t), t, n) for leaf in tree.leaves.values() for t, n in leaf]
-        yield pd.DataFrame(rows, columns=["route", "tokens", "n"])
+        rows = [(route_of(t), t, n, opens) for leaf in tree.leaves.values() for t, n, opens in leaf]
+        yield pd.DataFrame(rows, columns=["route", "tokens", "n", "opens"])
 
-    return lines.select(raw).mapInPandas(grow, "route string, tokens array<string>, n long")
+    return lines.select(raw).mapInPandas(grow, "route string, tokens array<string>, n long, opens boolean")
 
 
 def merged_templates(local: DataFrame, limit: int = MAX_TEMPLATES) -> DataFrame:
-    """The tasks' templates merged route by route: tokens, n."""
+    """The tasks' templates merged route by route: tokens, n, opens."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = TemplateTree(limit)
-        for tokens, n in pdf.sort_values("n", ascending=False)[["tokens", "n"]].itertuples(index=False):
-            tree.add(list(tokens), int(n))
-        return pd.DataFrame([(t, n) for leaf in tree.leaves.values() for t, n in leaf], columns=["tokens", "n"])
+        for tokens, n, opens in pdf.sort_values("n", ascending=False)[["tokens", "n", "opens"]].itertuples(index=False):
+            tree.add(list(tokens), int(n), bool(opens))
+        return pd.DataFrame([tuple(t) for leaf in tree.leaves.values() for t in leaf], columns=["tokens", "n", "opens"])
 
-    return local.groupBy("route").applyInPandas(merge, "tokens array<string>, n long")
+    return local.groupBy("route").applyInPandas(merge, "tokens array<string>, n long, opens boolean")
 
 
 def template_table(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
     """template, lines, opens_entry: what the tree learned (lines that start with a blank or brace aside)."""
-    opens = F.udf(lambda t: map_fields(list(t)) is not None, "boolean")
     return merged_templates(local_templates(lines, raw)).select(
-        F.array_join("tokens", " ").alias("template"), F.col("n").alias("lines"), opens("tokens").alias("opens_entry")
+        F.array_join("tokens", " ").alias("template"), F.col("n").alias("lines"), F.col("opens").alias("opens_entry")
     )
 
 
@@ -336,7 +337,7 @@ def parse_lines(lines: DataFrame, stream: str = "stream", order: str = "line_no"
 
     ``raw`` is kept of lines that can be part of a printed object, the fields of openers.
     """
-    kept = merged_templates(local_templates(lines, raw)).orderBy(F.desc("n"), "tokens").limit(MAX_TEMPLATES).collect()
+    kept = merged_templates(local_templates(lines, raw)).where(F.size("tokens") < MAX_TOKENS).orderBy(F.desc("n"), "tokens").limit(MAX_TEMPLATES).collect()
     templates = [(list(r.tokens), r.n) for r in kept]  # bounded by MAX_TEMPLATES x MAX_TOKENS
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,7 +366,8 @@ def parse_lines(lines: DataFrame, stream: str = "stream", order: str = "line_no"
                         if shape not in maps:
                             if len(maps) > 100_000:
                                 maps.clear()
-                            maps[shape] = map_fields(tree.find(tokens) or tokens)
+                            template = tree.find(tokens) if len(tokens) < MAX_TOKENS else None
+                            maps[shape] = map_fields(template or tokens)
                         fm = maps[shape]
                         fields = extract(line, spans, fm) if fm else None
                 kept_raw = value if line and line.lstrip()[:1] in JSON_STARTS else None

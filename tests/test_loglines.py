@@ -81,3 +81,14 @@ def test_template_table(spark):
     df = spark.createDataFrame([(i, "s", i, x) for i, x in enumerate(LINES)], SCHEMA)
     t = L.template_table(df).collect()
     assert len(t) == 8 and all(r.opens_entry for r in t)  # the JSON line is no template
+
+
+def test_fields_after_the_templates_last_token(spark):
+    pairs = " ".join(f"k{i}=v{i}" for i in range(20))
+    ids = "2022-03-14T01:23:21.147Z | dbg | mailer | 192.0.2.1 | GET | /v1/items?ids=" + ",".join(map(str, range(25))) + " | 200 | 7 | req-1 | - | a | b"
+    late = [f'ts={T} {pairs} level=warn msg="late {w}" service=basket' for w in ("one", "two", "three")]
+    got = entries(spark, [("s", i, x) for i, x in enumerate([*late, ids, f"ts={T} {pairs} note=x"])])
+    assert [g[4:] for g in got] == [*[("WARN", "basket", f"late {w}") for w in ("one", "two", "three")], ("DEBUG", "mailer", "a | b")]
+    assert got[-1][1:3] == (3, 4)
+    df = spark.createDataFrame([(i, "s", i, x) for i, x in enumerate([*late, ids, f"ts={T} {pairs} note=x"])], SCHEMA)
+    assert sorted((r.lines, r.opens_entry) for r in L.template_table(df).collect()) == [(1, False), (1, True), (3, True)]
