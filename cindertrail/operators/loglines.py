@@ -49,6 +49,9 @@ LEVEL_KEYS = ("level", "lvl", "severity", "severityNumber", "loglevel")
 COMPONENT_KEYS = ("service", "component", "app", "logger", "source")
 MESSAGE_KEYS = ("message", "msg")
 
+#: Masked tokens a layout is told by (``map_fields`` looks at no others); templates never merge them.
+LAYOUT = frozenset({"<TS>", "<LVL>", "[", "]", "|", "\t", "-", ":", "=", *TIME_KEYS, *LEVEL_KEYS, *COMPONENT_KEYS, *MESSAGE_KEYS})
+
 ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
 TOKEN = re.compile(
     r"(?P<TS>\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?(?![\w])"
@@ -120,12 +123,15 @@ class TemplateTree:
 
     @staticmethod
     def likeness(a: list[str], b: list[str]) -> float:
-        """Share of equal tokens; 0 if a time or level meets something else."""
+        """Share of equal tokens; 0 if a token of the layout meets something else.
+
+        So a template maps as each of its lines does.
+        """
         same = 0
         for x, y in zip(a, b):
             if x == y:
                 same += 1
-            elif x in ("<TS>", "<LVL>") or y in ("<TS>", "<LVL>"):
+            elif x in LAYOUT or y in LAYOUT:
                 return 0.0
         return same / max(1, len(a))
 

@@ -92,3 +92,18 @@ def test_fields_after_the_templates_last_token(spark):
     assert got[-1][1:3] == (3, 4)
     df = spark.createDataFrame([(i, "s", i, x) for i, x in enumerate([*late, ids, f"ts={T} {pairs} note=x"])], SCHEMA)
     assert sorted((r.lines, r.opens_entry) for r in L.template_table(df).collect()) == [(1, False), (1, True), (3, True)]
+
+
+def test_layout_tokens_are_never_merged(spark):
+    time, text = "2022-03-14T01:23:21.147Z", "peer closed the channel early"
+    lines = [f"{time} WARN [w-9] catalog {sep} {text}" for sep in "-:"]
+    lines += [f'ts={T} {key}=warn component=basket msg="x"' for key in ("lvl", "level", "severity")]
+    lines += [f"[{time}][INFO][edge {sep} {text} x] y" for sep in ("]", "a")]  # the second opens no entry
+    got = entries(spark, [("s", i, x) for i, x in enumerate(lines)])
+    assert [g[4:] for g in got] == [*[("WARN", "catalog", text)] * 2, *[("WARN", "basket", "x")] * 3, ("INFO", "edge", f"{text} x] y")]
+    for line in lines:
+        tree = L.TemplateTree()
+        for other in lines:
+            tree.add(L.tokenize(other)[0])
+        tokens = L.tokenize(line)[0]
+        assert L.map_fields(tree.find(tokens)) == L.map_fields(tokens)
