@@ -116,21 +116,32 @@ def _plain(value) -> str | None:
     return "" if isinstance(value, (dict, list)) else json.dumps(value)
 
 
+def _object(record: str) -> dict | None:
+    """The one JSON object of a record; None if it is anything else."""
+    try:
+        o = json.loads(record, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
+    except (ValueError, RecursionError):
+        return None
+    return o if isinstance(o, dict) else None
+
+
+def _others(o: dict) -> str | None:
+    """The members beyond the known fields as JSON text."""
+    rest = {k: v for k, v in o.items() if k not in FIELDS}
+    return json.dumps(rest, sort_keys=True, ensure_ascii=False) if rest else None
+
+
 def diagnose(record: str, kind: str) -> tuple[str | None, tuple | None]:
     """(reason, None) or (None, values of a loaded row) of one record, strictly."""
     record = record.strip()
     delimited = kind != "jsonl"
     extra = None
     if kind == "jsonl":
-        try:
-            o = json.loads(record, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
-        except (ValueError, RecursionError):
-            return "json", None
-        if not isinstance(o, dict):
+        o = _object(record)
+        if o is None:
             return "json", None
         f = {k: o.get(k) for k in FIELDS}
-        rest = {k: v for k, v in o.items() if k not in FIELDS}
-        extra = json.dumps(rest, sort_keys=True, ensure_ascii=False) if rest else None
+        extra = _others(o)
     else:
         parts = split_csv(record) if kind == "csv" else record.split(" | ")
         if parts is None:
@@ -212,9 +223,20 @@ def _columns(records: pa.Array, kind: str) -> tuple[dict[str, pa.Array], pa.Arra
     others = [c for c in got.column_names if c not in FIELDS]
     extra = None
     if others:
-        rows = got.select(others).to_pylist()
-        kept = [{k: v for k, v in r.items() if v is not None} for r in rows]
-        extra = pa.array([json.dumps(r, sort_keys=True, ensure_ascii=False, default=str) if r else None for r in kept], pa.string())
+        table = got.select(others)
+        plain = all(pa.types.is_int64(c.type) or pa.types.is_boolean(c.type) for c in table.columns)
+        null = pc.match_substring(trimmed, "null").to_pylist()  # a null member and an absent one look alike in columns
+        texts = []
+        for r, record, doubtful in zip(table.to_pylist(), trimmed.to_pylist(), null):
+            if plain and not doubtful:
+                kept = {k: v for k, v in r.items() if v is not None}
+                texts.append(json.dumps(kept, sort_keys=True, ensure_ascii=False) if kept else None)
+            else:  # as written: inferred types and merged structs aren't
+                o = _object(record)
+                if o is None:
+                    raise Refused
+                texts.append(_others(o))
+        extra = pa.array(texts, pa.string())
     return {n: got[n].chunk(0) if got[n].num_chunks else pa.array([], schema.field(n).type) for n in FIELDS}, extra
 
 

@@ -85,3 +85,18 @@ def test_report_and_split(spark):
     assert I.loaded(parsed).count() == 1 and I.rejected(parsed).first().reason == "columns"
     r = I.reject_report(parsed).first()
     assert (r.rows, r.rejected, r.reject_share) == (2, 1, 0.5)
+
+
+@pytest.mark.parametrize(
+    "members",
+    [{"at": "2022-03-17T18:12:20Z"}, {"o": {"a": 1}}, {"o": {"b": [None, {}]}}, {"n": None}, {"n": 1}, {"n": 1.5, "m": "x"}, {"n": 10**30}, {"ok": True, "no": None}],
+)
+def test_attributes_are_as_written_on_both_paths(members):
+    import pyarrow as pa
+
+    records = [jsonl(**members), jsonl(o={"a": 2}), jsonl(n=2), jsonl()] * 30
+    alone = [jsonl(**members)] * 100
+    for block in (records, alone):
+        strict = I._strict(pa.array(block), "jsonl")[1][-1].to_pylist()
+        assert I.bulk(pa.array(block), "jsonl")[-1].to_pylist() == strict
+        assert strict[0] == json.dumps(members, sort_keys=True)
