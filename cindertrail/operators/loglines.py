@@ -419,9 +419,9 @@ def log_entries(
 
     Lines before a stream's first entry belong to none; trailing blank lines of an entry
     don't count. Null lines are blank; rows without stream or line number are in no stream.
-    Of a printed JSON object of more than ``max_object_lines`` lines the members at its
-    outer indent in that many lines are read; its extent is not cut. Extra columns are
-    ignored; an empty table has no entries.
+    A printed JSON object of more than ``max_object_lines`` lines is read by the member lines
+    at its outer indent, wherever they stand (of the lines beyond that many, the last of each
+    field name and indent is kept). Extra columns are ignored; an empty table has no entries.
     """
     parsed = materialise(parse_lines(lines, stream, order, raw), "lines")
     mark = F.when(F.col("kind") > 0, F.struct(F.col("line_no").alias("at"), "kind"))
@@ -430,11 +430,15 @@ def log_entries(
     owned = running_max(slim, "stream", "line_no", {"owner": (mark, False), "closed": (close, True)}, block).where("owner is not null")
     owned = owned.withColumn("first", F.col("owner.at"))
     inside = (F.col("owner.kind") == OBJECT) & (F.coalesce(F.col("closed.at"), F.lit(-(2**62))) < F.col("first"))
-    objects = (
-        owned.where(inside & (F.col("line_no") < F.col("first") + max_object_lines))
-        .groupBy("stream", "first")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "raw"))), lambda s: F.coalesce(s["raw"], F.lit(""))), "\n").alias("text"))
-    )
+    plain = F.regexp_replace(F.coalesce("raw", F.lit("")), ANSI.pattern, "")
+    slot = F.regexp_extract(plain, r'^(\s*"(?:' + "|".join(TIME_KEYS + LEVEL_KEYS + COMPONENT_KEYS + MESSAGE_KEYS) + r')")\s*:', 1)
+    slot = F.when(F.col("line_no") >= F.col("first") + max_object_lines, slot)
+    picked = owned.where(inside).select("stream", "first", slot.alias("slot"), F.struct("line_no", "raw").alias("line")).where("slot is null or slot != ''")
+    slots = picked.repartition("stream", "first").groupBy("stream", "first", "slot")  # both aggregates in one shuffle
+    slots = slots.agg(F.collect_list(F.when(F.col("slot").isNull(), F.col("line"))).alias("early"), F.max("line").alias("last"))
+    slots = slots.select("stream", "first", F.when(F.col("slot").isNull(), F.col("early")).otherwise(F.array("last")).alias("lines"))
+    text = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("lines"))), lambda s: F.coalesce(s["raw"], F.lit(""))), "\n")
+    objects = slots.groupBy("stream", "first").agg(text.alias("text"))
 
     @F.pandas_udf("ok boolean, ts_ms long, level string, component string, msg string")
     def read_object(texts: pd.Series) -> pd.DataFrame:

@@ -107,3 +107,16 @@ def test_layout_tokens_are_never_merged(spark):
             tree.add(L.tokenize(other)[0])
         tokens = L.tokenize(line)[0]
         assert L.map_fields(tree.find(tokens)) == L.map_fields(tokens)
+
+
+def test_members_after_the_most_object_lines(spark):
+    ctx = {"message": "in", "ts": 1, "steps": [{"msg": i, "level": "fatal"} for i in range(20)]}
+    late = {"ctx": ctx, "timestamp": "2022-03-14T01:23:21.147Z", "level": "Info", "service": "billing", "message": "late", "more": ctx}
+    twice = json.dumps(late, indent=2).replace('"more": {', '"message": "later",\n  "more": {')
+    early = {"timestamp": "2022-03-14T01:23:22.147Z", "message": "early", "ctx": ctx}
+    none = {"ctx": ctx, "note": 1}
+    texts = [json.dumps(late, indent=2), twice, json.dumps(early, indent=2), json.dumps(none, indent=2)]
+    lines = "\n".join(texts).split("\n")
+    got = entries(spark, [("s", i, x) for i, x in enumerate(lines)], max_object_lines=5)
+    assert [g[4:] for g in got] == [("INFO", "billing", "late"), ("INFO", "billing", "later"), (None, None, "early")]
+    assert got == entries(spark, [("s", i, x) for i, x in enumerate(lines)]) and got[-1][2] == len(lines) - 1
