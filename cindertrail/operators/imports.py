@@ -27,8 +27,8 @@ LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 REASONS = ("format", "json", "quoting", "columns", "timestamp", "level", "method", "status", "latency", "message")
 MAX_LONG = 2**63 - 1
-#: A refused block of this many records is read strictly: that costs what one more fast pass would.
-LEAF = 64
+#: A refused block of this many records is read strictly.
+LEAF = 1
 
 STAMP = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:\.(\d+))?Z", re.ASCII)
 WHOLE = re.compile(r"[+-]?\d+", re.ASCII)
@@ -289,14 +289,14 @@ def parse_block(records: pa.Array, kind: str, leaf: int = LEAF) -> list[tuple[pa
     """(reasons, columns) pieces of a block in order, bisecting where the fast path refuses."""
     if len(records) == 0:
         return []
-    if len(records) > leaf:
-        try:
-            cols = bulk(records, kind)
-            return [(pa.nulls(len(records), pa.string()), cols)]
-        except Refused:
-            half = len(records) // 2
-            return parse_block(records.slice(0, half), kind, leaf) + parse_block(records.slice(half), kind, leaf)
-    return [_strict(records, kind)]
+    try:
+        cols = bulk(records, kind)
+        return [(pa.nulls(len(records), pa.string()), cols)]
+    except Refused:
+        if len(records) <= leaf:
+            return [_strict(records, kind)]
+        half = len(records) // 2
+        return parse_block(records.slice(0, half), kind, leaf) + parse_block(records.slice(half), kind, leaf)
 
 
 def load_rows(rows: DataFrame, block: int = 512) -> DataFrame:

@@ -100,3 +100,14 @@ def test_attributes_are_as_written_on_both_paths(members):
         strict = I._strict(pa.array(block), "jsonl")[1][-1].to_pylist()
         assert I.bulk(pa.array(block), "jsonl")[-1].to_pylist() == strict
         assert strict[0] == json.dumps(members, sort_keys=True)
+
+
+@pytest.mark.parametrize("kind, good", [("txt", txt(variant())), ("csv", csv(variant())), ("jsonl", jsonl())])
+def test_only_refused_records_are_read_strictly(monkeypatch, kind, good):
+    import pyarrow as pa
+
+    strict, seen = I._strict, []
+    monkeypatch.setattr(I, "_strict", lambda records, kind: seen.extend(records.to_pylist()) or strict(records, kind))
+    records = [f"bad {i}" if i in (0, 7, 8, 60, 99) else good for i in range(100)]
+    reasons = [r for piece, _ in I.parse_block(pa.array(records), kind) for r in piece.to_pylist()]
+    assert [i for i, r in enumerate(reasons) if r] == [0, 7, 8, 60, 99] and seen == [r for r in records if r != good]
