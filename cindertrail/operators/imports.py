@@ -1,10 +1,11 @@
 """Rows that fail to parse, set apart with the reason while the valid rows are loaded.
 
 Blocks of records are parsed on a fast columnar path (Arrow kernels over whole columns,
-accepting only what is certainly valid). A block with a record it refuses is halved, again
+accepting only what is certainly valid). A block with a record it refuses is bisected, again
 and again, until the refused records stand alone; these are diagnosed strictly, one by one,
-in the order of REASONS. A record the fast path refuses but the strict reading accepts is
-loaded like any other.
+in the order of REASONS. Kernels judge every record of a block they can read, so its halves
+aren't parsed anew; a block that can't be read (broken JSON) is split and its parts are read
+again. A record the fast path refuses but the strict reading accepts is loaded like any other.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.json as pj
@@ -27,8 +29,6 @@ LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 REASONS = ("format", "json", "quoting", "columns", "timestamp", "level", "method", "status", "latency", "message")
 MAX_LONG = 2**63 - 1
-#: A refused block of this many records is read strictly.
-LEAF = 1
 
 STAMP = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:\.(\d+))?Z", re.ASCII)
 WHOLE = re.compile(r"[+-]?\d+", re.ASCII)
@@ -48,10 +48,22 @@ DDL = (
     "endpoint string, status int, response_ms long, request_id string, user_id string, message string, attributes string"
 )
 VALUES = LOADED.names[4:]
+#: Times the kernels vouch for: any day but 29 February, years from 1000.
+PLAIN_STAMP = (
+    r"^[1-9]\d{3}-(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
+    r"T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,6})?Z$"
+)
+#: A number of a JSON record that isn't written as a whole number.
+NO_INTEGER = r'"(?:statusCode|responseTime)"\s*:\s*(?:["\[{tf]|-?\d+[.eE]|-?\d{19})'
+AT_ROW = re.compile(r"in row (\d+)$")
 
 
 class Refused(Exception):
-    """The fast path can't vouch for every record of the block."""
+    """The columnar reader can't read the block; ``at``: the record it stopped at, if it says so."""
+
+    def __init__(self, at: int | None = None):
+        super().__init__(at)
+        self.at = at
 
 
 def stamp_us(value) -> int | None:
@@ -178,25 +190,22 @@ def diagnose(record: str, kind: str) -> tuple[str | None, tuple | None]:
     )
 
 
-def _all(mask) -> bool:
-    return pc.all(mask, min_count=0).as_py() is not False
+def _sure(mask) -> np.ndarray:
+    """A kernel's verdict on each record; null is no."""
+    return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
 
 
-def _need(mask) -> None:
-    if pc.any(pc.is_null(mask), min_count=0).as_py() or not _all(mask):
-        raise Refused
-
-
-def _columns(records: pa.Array, kind: str) -> tuple[dict[str, pa.Array], pa.Array | None]:
-    trimmed = pc.utf8_trim_whitespace(records)
+def _fields(records: pa.Array, kind: str) -> tuple[np.ndarray, dict[str, pa.Array], pa.Array | None]:
+    """(places of the records with the right shape, their fields, their further members); Refused if one can't be read."""
     if kind == "txt":
-        parts = pc.split_pattern(trimmed, " | ")
-        _need(pc.equal(pc.list_value_length(parts), len(FIELDS)))
-        return {name: pc.list_element(parts, i) for i, name in enumerate(FIELDS)}, None
+        parts = pc.split_pattern(records, " | ")
+        at = np.flatnonzero(_sure(pc.equal(pc.list_value_length(parts), len(FIELDS))))
+        parts = parts.take(pa.array(at))
+        return at, {name: pc.list_element(parts, i) for i, name in enumerate(FIELDS)}, None
     if kind == "csv":
-        found = pc.extract_regex(trimmed, CSV_RECORD)
-        if found.null_count:
-            raise Refused
+        found = pc.extract_regex(records, CSV_RECORD)
+        at = np.flatnonzero(_sure(found.is_valid()))
+        found = found.take(pa.array(at))
         out = {}
         for i, name in enumerate(FIELDS):
             col = pc.struct_field(found, i)
@@ -205,18 +214,23 @@ def _columns(records: pa.Array, kind: str) -> tuple[dict[str, pa.Array], pa.Arra
                 bare = pc.replace_substring(pc.utf8_slice_codeunits(col, 1, -1), '""', '"')
                 col = pc.if_else(quoted, bare, col)
             out[name] = col
-        return out, None
-    _need(pc.and_(pc.starts_with(trimmed, "{"), pc.ends_with(trimmed, "}")))
-    _need(pc.invert(pc.match_substring_regex(trimmed, r"[\x00-\x1f]")))
+        return at, out, None
+    whole = pc.and_(pc.starts_with(records, "{"), pc.ends_with(records, "}"))
+    odd = pc.or_(pc.match_substring_regex(records, r"[\x00-\x1f]"), pc.match_substring_regex(records, NO_INTEGER))
+    at = np.flatnonzero(_sure(pc.and_not(whole, odd)))
+    records = records.take(pa.array(at))
     schema = pa.schema([(n, pa.int64() if n in ("statusCode", "responseTime") else pa.string()) for n in FIELDS])
+    if not len(at):
+        return at, {n: pa.array([], schema.field(n).type) for n in FIELDS}, None
     try:
         got = pj.read_json(
-            io.BytesIO("\n".join(trimmed.to_pylist()).encode()),
+            io.BytesIO("\n".join(records.to_pylist()).encode()),
             read_options=pj.ReadOptions(use_threads=False),
             parse_options=pj.ParseOptions(explicit_schema=schema, unexpected_field_behavior="infer"),
         )
     except pa.ArrowInvalid as e:
-        raise Refused from e
+        row = AT_ROW.search(str(e))
+        raise Refused(int(at[int(row[1])]) if row and int(row[1]) < len(at) else None) from e
     if got.num_rows != len(records):
         raise Refused
     got = got.combine_chunks()
@@ -225,59 +239,59 @@ def _columns(records: pa.Array, kind: str) -> tuple[dict[str, pa.Array], pa.Arra
     if others:
         table = got.select(others)
         plain = all(pa.types.is_int64(c.type) or pa.types.is_boolean(c.type) for c in table.columns)
-        null = pc.match_substring(trimmed, "null").to_pylist()  # a null member and an absent one look alike in columns
+        null = pc.match_substring(records, "null").to_pylist()  # a null member and an absent one look alike in columns
         texts = []
-        for r, record, doubtful in zip(table.to_pylist(), trimmed.to_pylist(), null):
+        for i, (r, record, doubtful) in enumerate(zip(table.to_pylist(), records.to_pylist(), null)):
             if plain and not doubtful:
                 kept = {k: v for k, v in r.items() if v is not None}
                 texts.append(json.dumps(kept, sort_keys=True, ensure_ascii=False) if kept else None)
             else:  # as written: inferred types and merged structs aren't
                 o = _object(record)
                 if o is None:
-                    raise Refused
+                    raise Refused(int(at[i]))
                 texts.append(_others(o))
         extra = pa.array(texts, pa.string())
-    return {n: got[n].chunk(0) if got[n].num_chunks else pa.array([], schema.field(n).type) for n in FIELDS}, extra
+    return at, {n: got[n].chunk(0) for n in FIELDS}, extra
 
 
-def bulk(records: pa.Array, kind: str) -> list[pa.Array]:
-    """The loaded columns of a block, or Refused."""
-    f, extra = _columns(records, kind)
+def survey(records: pa.Array, kind: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """(places of the records that are certainly valid, their loaded columns) of a trimmed block, or Refused."""
+    at, f, extra = _fields(records, kind)
     delimited = kind != "jsonl"
-    _need(pc.match_substring_regex(f["timestamp"], r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?Z$"))
-    try:
-        ts = pc.cast(f["timestamp"], pa.timestamp("us", tz="UTC"))
-    except pa.ArrowInvalid as e:
-        raise Refused from e
+    fine = _sure(pc.match_substring_regex(f["timestamp"], PLAIN_STAMP))
     level, method = (pc.utf8_upper(pc.utf8_trim_whitespace(f[n])) for n in ("level", "httpMethod"))
     for col, allowed in ((level, LEVELS), (method, METHODS)):
         known = pc.is_in(col, value_set=pa.array(allowed))
-        _need(known if delimited else pc.or_(known, pc.is_null(col)))
+        fine &= _sure(known if delimited else pc.or_(known, pc.is_null(col)))
+    status, latency = f["statusCode"], f["responseTime"]
     if delimited:
-        _need(pc.match_substring_regex(f["statusCode"], r"^\d{1,3}$"))
-        _need(pc.match_substring_regex(f["responseTime"], r"^\d{1,18}$"))
-        status, latency = (pc.cast(f[n], pa.int64()) for n in ("statusCode", "responseTime"))
-    else:
-        status, latency = (pc.fill_null(f[n], 0) for n in ("statusCode", "responseTime"))
-    _need(pc.or_(pc.equal(status, 0), pc.and_(pc.greater_equal(status, 100), pc.less_equal(status, 599))))
-    _need(pc.greater_equal(latency, 0))
-    _need(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(f["message"])), 0))
+        fine &= _sure(pc.match_substring_regex(status, r"^\d{1,3}$")) & _sure(pc.match_substring_regex(latency, r"^\d{1,18}$"))
+    fine &= _sure(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(f["message"])), 0))
+    keep = pa.array(np.flatnonzero(fine))
+    at, f, level, method = at[fine], {n: c.take(keep) for n, c in f.items()}, level.take(keep), method.take(keep)
+    extra = pa.nulls(len(at), pa.string()) if extra is None else extra.take(keep)
+    status, latency = (pc.cast(f[n], pa.int64()) if delimited else pc.fill_null(f[n], 0) for n in ("statusCode", "responseTime"))
+    numbers = pc.or_(pc.equal(status, 0), pc.and_(pc.greater_equal(status, 100), pc.less_equal(status, 599)))
+    numbers = _sure(pc.and_(numbers, pc.greater_equal(latency, 0)))
     user = pc.if_else(pc.fill_null(pc.equal(f["userId"], "-"), False), pa.scalar(None, pa.string()), f["userId"])
-    extra = extra if extra is not None else pa.nulls(len(records), pa.string())
-    return [
-        ts, level, f["service"], f["ipAddress"], method, f["endpoint"], pc.cast(status, pa.int32()), latency,
-        f["requestId"], user, f["message"], extra,
+    cols = [
+        pc.cast(f["timestamp"], pa.timestamp("us", tz="UTC")), level, f["service"], f["ipAddress"], method, f["endpoint"],
+        pc.cast(pc.if_else(pa.array(numbers), status, 0), pa.int32()), latency, f["requestId"], user, f["message"], extra,
     ]
+    if not numbers.all():
+        keep = pa.array(np.flatnonzero(numbers))
+        at, cols = at[numbers], [c.take(keep) for c in cols]
+    return at, cols
 
 
-def _strict(records: pa.Array, kind: str) -> tuple[pa.Array, list[pa.Array]]:
+def _strict(records: list[str], kind: str) -> tuple[pa.Array, list[pa.Array]]:
     reasons, rows = [], []
-    for r in records.to_pylist():
+    for r in records:
         reason, values = diagnose(r, kind)
         reasons.append(reason)
         rows.append(values or (None,) * len(VALUES))
     cols = []
-    for name, col in zip(VALUES, zip(*rows)):
+    for name, col in zip(VALUES, zip(*rows) if rows else [()] * len(VALUES)):
         if name == "ts":
             cols.append(pa.array(col, pa.int64()).cast(pa.timestamp("us")).cast(pa.timestamp("us", tz="UTC")))
         else:
@@ -285,21 +299,53 @@ def _strict(records: pa.Array, kind: str) -> tuple[pa.Array, list[pa.Array]]:
     return pa.array(reasons, pa.string()), cols
 
 
-def parse_block(records: pa.Array, kind: str, leaf: int = LEAF) -> list[tuple[pa.Array, list[pa.Array]]]:
-    """(reasons, columns) pieces of a block in order, bisecting where the fast path refuses."""
-    if len(records) == 0:
-        return []
-    try:
-        cols = bulk(records, kind)
-        return [(pa.nulls(len(records), pa.string()), cols)]
-    except Refused:
-        if len(records) <= leaf:
-            return [_strict(records, kind)]
-        half = len(records) // 2
-        return parse_block(records.slice(0, half), kind, leaf) + parse_block(records.slice(half), kind, leaf)
+def isolate(upto: np.ndarray, lo: int, hi: int) -> Iterator[int]:
+    """The refused records in [lo, hi) by bisection; ``upto[i]`` refused records stand before record i."""
+    if upto[hi] == upto[lo]:
+        return
+    if hi - lo == 1:
+        yield lo
+        return
+    half = (lo + hi) // 2
+    yield from isolate(upto, lo, half)
+    yield from isolate(upto, half, hi)
 
 
-def load_rows(rows: DataFrame, block: int = 512) -> DataFrame:
+def parse_block(records: pa.Array, kind: str) -> list[tuple[np.ndarray, pa.Array, list[pa.Array]]]:
+    """(places, reasons, columns) pieces of a block, in any order; every record is in one of them.
+
+    A block the columnar reader can't read is split at the record it stopped at, or halved, and
+    its parts are read again. A block it can read is bisected on the kernels' verdicts. Either
+    way single records remain, and these alone are diagnosed.
+    """
+    trimmed = pc.utf8_trim_whitespace(records)
+    out, alone = [], []
+    todo = [(0, len(records))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi == lo:
+            continue
+        try:
+            at, cols = survey(trimmed.slice(lo, hi - lo), kind)
+        except Refused as e:
+            if e.at is None and hi - lo > 1:
+                half = (lo + hi) // 2
+                todo += [(lo, half), (half, hi)]
+            else:
+                cut = lo + (e.at or 0)
+                alone.append(cut)
+                todo += [(lo, cut), (cut + 1, hi)]
+            continue
+        out.append((at + lo, pa.nulls(len(at), pa.string()), cols))
+        refused = np.ones(hi - lo, dtype=np.int64)
+        refused[at] = 0
+        alone += [lo + i for i in isolate(np.concatenate(([0], np.cumsum(refused))), 0, hi - lo)]
+    if alone:
+        out.append((np.array(alone), *_strict(records.take(pa.array(alone, pa.int64())).to_pylist(), kind)))
+    return out
+
+
+def load_rows(rows: DataFrame, block: int = 2048) -> DataFrame:
     """All rows with ``reason`` (null: loaded) and the fields of a log event.
 
     The suffix of ``batch`` names the format; other suffixes and null batches are rejected
@@ -317,15 +363,16 @@ def load_rows(rows: DataFrame, block: int = 512) -> DataFrame:
                 at = pc.indices_nonzero(mask)
                 for lo in range(0, len(at), block):
                     take = at.slice(lo, block)
-                    head = [b.column(c).take(take) for c in ("row_id", "batch", "row_no")]
                     if kind:
                         pieces = parse_block(raw.take(take), kind)
                     else:
                         blank = [pa.nulls(len(take), LOADED.field(n).type) for n in VALUES]
-                        pieces = [(pa.array(["format"] * len(take), pa.string()), blank)]
-                    reason = pa.concat_arrays([p[0] for p in pieces])
-                    cols = [pa.concat_arrays([_flat(p[1][i]).cast(LOADED.field(n).type) for p in pieces]) for i, n in enumerate(VALUES)]
-                    yield pa.RecordBatch.from_arrays([*[h.cast(t.type) for h, t in zip(head, LOADED)], reason, *cols], schema=LOADED)
+                        pieces = [(np.arange(len(take)), pa.array(["format"] * len(take), pa.string()), blank)]
+                    for places, reason, values in pieces:
+                        rows_at = take.take(pa.array(places))
+                        head = [b.column(c).take(rows_at).cast(LOADED.field(c).type) for c in ("row_id", "batch", "row_no")]
+                        cols = [_flat(v).cast(LOADED.field(n).type) for n, v in zip(VALUES, values)]
+                        yield pa.RecordBatch.from_arrays([*head, reason, *cols], schema=LOADED)
 
     return rows.select("row_id", "batch", "row_no", "raw_message").mapInArrow(read, DDL)
 

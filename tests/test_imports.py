@@ -69,9 +69,14 @@ def test_good_block_takes_the_fast_path():
     import pyarrow as pa
 
     for kind, record in (("txt", txt(GOOD)), ("csv", csv(GOOD)), ("jsonl", jsonl())):
-        assert len(I.bulk(pa.array([record] * 5), kind)) == len(I.VALUES)
-        with pytest.raises(I.Refused):
-            I.bulk(pa.array([record] * 5 + ["x"]), kind)
+        at, cols = I.survey(pa.array([record] * 5 + ["x"]), kind)
+        assert at.tolist() == [0, 1, 2, 3, 4] and len(cols) == len(I.VALUES) and {len(c) for c in cols} == {5}
+
+
+def test_bisection_isolates():
+    upto = [0, 1, 1, 1, 2, 3, 3]
+    assert list(I.isolate(upto, 0, 6)) == [0, 3, 4]
+    assert list(I.isolate(upto, 1, 3)) == []
 
 
 def test_odd_inputs(spark):
@@ -97,8 +102,8 @@ def test_attributes_are_as_written_on_both_paths(members):
     records = [jsonl(**members), jsonl(o={"a": 2}), jsonl(n=2), jsonl()] * 30
     alone = [jsonl(**members)] * 100
     for block in (records, alone):
-        strict = I._strict(pa.array(block), "jsonl")[1][-1].to_pylist()
-        assert I.bulk(pa.array(block), "jsonl")[-1].to_pylist() == strict
+        strict = I._strict(block, "jsonl")[1][-1].to_pylist()
+        assert I.survey(pa.array(block), "jsonl")[1][-1].to_pylist() == strict
         assert strict[0] == json.dumps(members, sort_keys=True)
 
 
@@ -107,7 +112,19 @@ def test_only_refused_records_are_read_strictly(monkeypatch, kind, good):
     import pyarrow as pa
 
     strict, seen = I._strict, []
-    monkeypatch.setattr(I, "_strict", lambda records, kind: seen.extend(records.to_pylist()) or strict(records, kind))
+    monkeypatch.setattr(I, "_strict", lambda records, kind: seen.extend(records) or strict(records, kind))
     records = [f"bad {i}" if i in (0, 7, 8, 60, 99) else good for i in range(100)]
-    reasons = [r for piece, _ in I.parse_block(pa.array(records), kind) for r in piece.to_pylist()]
-    assert [i for i, r in enumerate(reasons) if r] == [0, 7, 8, 60, 99] and seen == [r for r in records if r != good]
+    reasons = {i: r for at, piece, _ in I.parse_block(pa.array(records), kind) for i, r in zip(at.tolist(), piece.to_pylist())}
+    assert sorted(reasons) == list(range(100)) and [i for i in range(100) if reasons[i]] == [0, 7, 8, 60, 99]
+    assert sorted(seen) == sorted(r for r in records if r != good)
+
+
+def test_broken_json_is_set_apart_where_the_reader_stops(monkeypatch):
+    import pyarrow as pa
+
+    strict, seen = I._strict, []
+    monkeypatch.setattr(I, "_strict", lambda records, kind: seen.extend(records) or strict(records, kind))
+    broken = jsonl()[:-5] + ",}"
+    records = [broken if i in (0, 31, 32, 99) else jsonl(shard=i) for i in range(100)]
+    got = {i: r for at, piece, _ in I.parse_block(pa.array(records), "jsonl") for i, r in zip(at.tolist(), piece.to_pylist())}
+    assert [i for i in range(100) if got[i] == "json"] == [0, 31, 32, 99] and len(seen) <= 8
