@@ -29,17 +29,16 @@ def p2_objects(spark: SparkSession, d: str) -> DataFrame:
 
 def _wide(spark: SparkSession, d: str):
     attrs = attributes.catalogue(table(spark, d, "attr_catalog"))
-    return attributes.wide_delta(table(spark, d, "event_attributes"), attrs), attrs
+    deltas = attributes.wide_delta(table(spark, d, "event_attributes"), attrs, batch=attributes.batch_of(F.col("rec_no")))
+    return attributes.compact(deltas), attrs
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    run, attrs = _wide(spark, d)
-    return attributes.filled_cells(attributes.compact(run), attrs)
+    return attributes.filled_cells(*_wide(spark, d))
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    run, attrs = _wide(spark, d)
-    return attributes.typed_wide(attributes.compact(run), attrs)
+    return attributes.typed_wide(*_wide(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

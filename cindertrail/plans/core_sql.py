@@ -43,3 +43,18 @@ t AS (SELECT event_id, rec_no, name, CASE kind WHEN 'text' THEN v
   WHEN 'dec' THEN cast(cast(x AS DECIMAL(38, 3)) AS VARCHAR) WHEN 'time' THEN cast(ms AS VARCHAR) END AS value FROM p)
 SELECT event_id, name AS attr_name, arg_max(value, rec_no) AS attr_value FROM t WHERE value IS NOT NULL GROUP BY 1, 2"""
 SQL["p3_found"] = _CELLS
+
+#: The catalogue's attributes and their types, in name order, as typed columns.
+_ATTRIBUTES = (
+    ("build_tag", "VARCHAR"), ("cache_hit", "BOOLEAN"), ("cpu_load", "DECIMAL(38, 3)"), ("deployed_at", "TIMESTAMP"), ("first_seen", "TIMESTAMP"), ("flag_set", "VARCHAR"),
+    ("is_canary", "BOOLEAN"), ("payload_bytes", "DECIMAL(38, 0)"), ("queue_depth", "DECIMAL(38, 0)"), ("region_code", "VARCHAR"), ("retry_count", "DECIMAL(38, 0)"),
+    ("sample_rate", "DECIMAL(38, 3)"), ("shard_no", "DECIMAL(38, 0)"), ("tenant_tier", "VARCHAR"),
+)
+
+
+def _typed(name: str, kind: str) -> str:
+    cell = f"max(CASE WHEN attr_name = '{name}' THEN attr_value END)"
+    return f"epoch_ms({cell}::BIGINT) AS {name}" if kind == "TIMESTAMP" else f"cast({cell} AS {kind}) AS {name}"
+
+
+SQL["p3_wide"] = f"SELECT event_id, {', '.join(_typed(*a) for a in _ATTRIBUTES)} FROM ({_CELLS}) GROUP BY event_id"

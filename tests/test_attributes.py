@@ -57,12 +57,33 @@ def test_runs_merge_in_any_order(spark):
     assert key(A.compact(*parts)) == key(whole) == key(A.compact(A.compact(*parts[:2]), A.compact(*parts[2:])))
 
 
+def test_batches_are_merged_by_compaction(spark):
+    """Deltas of batches hold what their own rows say; only compaction finds the newest."""
+    df = spark.createDataFrame([(10, 1, "retry_count", "1"), (20, 1, "retry count", "2"), (30, 1, "retryCount", "?"), (15, 1, "build_tag", "x"), (21, 2, "build_tag", "y")], SCHEMA)
+    deltas = A.wide_delta(df, CAT, batch=F.floor(F.col("rec_no") / 10))
+    by_batch = {(r.batch, r.event_id): {k: (c.version, c.value) for k, c in r.cells.items()} for r in deltas.collect()}
+    assert by_batch == {(1, 1): {"retrycount": (10, "1"), "buildtag": (15, "x")}, (2, 1): {"retrycount": (20, "2")}, (2, 2): {"buildtag": (21, "y")}}
+    got = {(r.event_id, r.attr_name, r.attr_value) for r in A.filled_cells(A.compact(deltas), CAT).collect()}
+    assert got == {(1, "retry_count", "2"), (1, "build_tag", "x"), (2, "build_tag", "y")}
+
+
+def test_found_goes_through_compaction(spark, sf, monkeypatch):
+    from cindertrail.plans import core_queries
+
+    whole = core_queries.p3_found(spark, sf)
+    monkeypatch.setattr(A, "BATCH", 20)  # many batches an entity, the same cells
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(core_queries.p3_found(spark, sf)) == key(whole)
+    monkeypatch.setattr(A, "newer", lambda a, b: a)  # a compaction that keeps the wrong cells
+    assert key(core_queries.p3_found(spark, sf)) != key(whole)
+
+
 def test_typed_columns_and_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     wide = A.typed_wide(A.compact(A.wide_delta(df, CAT)), CAT)
     assert wide.collect() == [] and dict(wide.dtypes)["first_seen"] == "timestamp" and dict(wide.dtypes)["is_canary"] == "boolean"
     clash = spark.createDataFrame([(1, 1, "build_tag", "x", "y")], SCHEMA + ", version string")
-    assert A.typed_wide(A.wide_delta(clash, CAT), CAT).first().build_tag == "x"
+    assert A.typed_wide(A.compact(A.wide_delta(clash, CAT)), CAT).first().build_tag == "x"
 
 
 def test_catalogue_is_checked(spark):
