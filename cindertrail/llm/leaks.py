@@ -4,8 +4,9 @@ Texts become words (runs of letters and digits, lower case). Each word is canoni
 words with a digit to <num>, units to <unit>, words that few evaluation items use to <name>;
 the rest, the wording of the questions, stays. Every window of 13 canonical words is a
 template; its slots are the words behind the placeholders. Documents and items are joined by
-the hash of the template. Equal slots mean the very same passage; slots that map one to one
-onto others all along the match mean the question with other names and numbers put in.
+the hash of the template, and their slots are checked: slots with the item's own fillers mean
+the very same passage; slots that map one to one onto others all along the match mean the
+question with other names and numbers put in.
 
 A window with too little wording to be a template (under ``min_wording`` kept words) is
 keyed by its words themselves, so that no passage is lost and no key is shared by the whole
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ except ImportError:
 WINDOW = 13
 #: Unit words.
 UNITS = ("ms", "s", "sec", "second", "seconds", "minute", "minutes", "min", "hour", "hours", "day", "days", "week", "weeks", "beats", "percent", "bytes", "kb", "mb", "gb")
-#: Wording kept as such is read to the driver; beyond this the least used words become names.
-MAX_WORDING = 20_000
-#: Item templates handed to the tasks as a filter (8 bytes each); beyond this all windows go to the join.
+#: Wording is read to the driver and broadcast; more words than this are refused (ask for a higher ``name_max_items``).
+MAX_WORDING = 1_000_000
+#: Item templates broadcast to the tasks as a filter (8 bytes each); beyond this all windows go to the join, with the same result.
 MAX_FILTER = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 NUMERIC = re.compile(r"\d")
@@ -59,16 +61,18 @@ def words(text: Column | str) -> Column:
 def wording(items: DataFrame, name_max_items: int, text: str = "text") -> list[str]:
     """Words of more than ``name_max_items`` items: the wording shared by the questions."""
     used = items.select(F.explode(F.array_distinct(words(F.col(text)))).alias("w")).groupBy("w").agg(F.count("*").alias("items"))
-    rows = used.where(F.col("items") > name_max_items).orderBy(F.desc("items"), "w").limit(MAX_WORDING).collect()
+    rows = used.where(F.col("items") > name_max_items).limit(MAX_WORDING + 1).collect()
+    if len(rows) > MAX_WORDING:
+        raise ValueError(f"more than {MAX_WORDING} words in over {name_max_items} items")
     return [r.w for r in rows]
 
 
 class Shapes(dict):
     """Words to (hash, hash of the canonical word, 1 if it is wording). Emptied when it grows large."""
 
-    def __init__(self, kept: list[str]):
+    def __init__(self, kept: frozenset[str]):
         super().__init__()
-        self.kept = frozenset(kept)
+        self.kept = kept
 
     def __missing__(self, word: str) -> tuple[int, int, int]:
         if NUMERIC.search(word):
@@ -95,15 +99,17 @@ def rolling(codes: np.ndarray, size: int) -> np.ndarray:
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def template_windows(df: DataFrame, key: str, kept: list[str], size: int = WINDOW, min_wording: int = 4, text: str = "text", only: np.ndarray | None = None) -> DataFrame:
-    """key, pos (from 1), template, slots: hashes of every window's template and of its words.
+def template_windows(df: DataFrame, key: str, wording: Broadcast, size: int = WINDOW, min_wording: int = 4, text: str = "text", only: Broadcast | None = None) -> DataFrame:
+    """key, pos (from 1), template, slots: hashes of every window's template and of its slots' fillers.
 
-    ``only``: sorted template hashes; windows of other templates are left out.
+    The slots of a window without a template are empty: its words are its key. ``only``: sorted
+    template hashes; windows of other templates are left out.
     """
     kind = dict(df.dtypes)[key]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = Shapes(kept)
+        shapes = Shapes(wording.value)
+        some = only.value if only is not None else None
         for batch in batches:
             keys, sizes, found = [], [], []
             for k, t in zip(batch["key"], batch["text"]):
@@ -118,14 +124,15 @@ def template_windows(df: DataFrame, key: str, kept: list[str], size: int = WINDO
             doc = np.repeat(np.arange(len(keys)), sizes)
             n = len(doc) - size + 1
             inside = doc[:n] == doc[size - 1 :]
-            slots = rolling(own, size)
             upto = np.concatenate(([0], np.cumsum(kept_word.astype(np.int64))))
             shared = upto[size:] - upto[:-size] >= min_wording
-            template = np.where(shared, rolling(canon, size), slots ^ np.uint64(BASE)).view(np.int64)
-            if only is not None:
-                place = np.searchsorted(only, template)
-                place[place == len(only)] = 0
-                inside &= only[place] == template if len(only) else False
+            template = np.where(shared, rolling(canon, size), rolling(own, size) ^ np.uint64(BASE)).view(np.int64)
+            if some is not None:
+                place = np.searchsorted(some, template)
+                place[place == len(some)] = 0
+                inside &= some[place] == template if len(some) else False
+            fillers = rolling(np.where(kept_word > 0, np.uint64(0), own), size)  # by place; the wording counts nothing
+            slots = np.where(shared, fillers, np.uint64(0))
             at = np.flatnonzero(inside)
             first = np.concatenate(([0], np.cumsum(sizes)))[doc[at]]
             yield pd.DataFrame({"key": np.array(keys, dtype=object)[doc[at]], "pos": at - first + 1, "template": template[at], "slots": slots.view(np.int64)[at]})
@@ -137,14 +144,21 @@ def template_matches(
     documents: DataFrame, items: DataFrame, name_max_items: int = 8, size: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Windows of the documents (those of item templates only, if these are few) and of the items."""
-    kept = wording(items, name_max_items)
+    context = documents.sparkSession.sparkContext
+    kept = context.broadcast(frozenset(wording(items, name_max_items)))
     evals = template_windows(items, item_id, kept, size).withColumnsRenamed({"key": item_id, "pos": "item_pos", "slots": "item_slots"})
     some = [r.template for r in evals.select("template").distinct().limit(MAX_FILTER + 1).collect()]
-    only = np.sort(np.array(some, dtype=np.int64)) if len(some) <= MAX_FILTER else None
+    only = context.broadcast(np.sort(np.array(some, dtype=np.int64))) if len(some) <= MAX_FILTER else None
     docs = template_windows(documents, doc_id, kept, size, only=only).withColumnsRenamed({"key": doc_id, "pos": "doc_pos", "slots": "doc_slots"})
     return docs, evals
 
 
+def held_passages(docs: DataFrame, evals: DataFrame, doc_id: str, item_id: str) -> DataFrame:
+    """Windows of a document with an item's template whose slots hold the item's own fillers."""
+    evals = evals.select("template", "item_slots", item_id).distinct()
+    return docs.join(evals, (docs["template"] == evals["template"]) & (docs["doc_slots"] == evals["item_slots"])).select(doc_id, item_id, "doc_pos")
+
+
 def leaks(documents: DataFrame, items: DataFrame, name_max_items: int = 8, size: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """doc_id, item_id, windows, words of every document and item that share ``size`` words in a row.
 
@@ -152,40 +166,69 @@ def leaks(documents: DataFrame, items: DataFrame, name_max_items: int = 8, size:
     document. The item side is spread to all tasks only while Spark finds it under its
     broadcast threshold; larger sets of items are joined by shuffling window hashes.
     """
-    docs, evals = template_matches(documents, items, name_max_items, size, doc_id, item_id)
-    evals = evals.select("template", F.col("item_slots").alias("doc_slots"), item_id).distinct()
-    hits = docs.join(evals, ["template", "doc_slots"])
+    hits = held_passages(*template_matches(documents, items, name_max_items, size, doc_id, item_id), doc_id, item_id)
     spans = hits.groupBy(doc_id, item_id).agg(F.count_distinct("doc_pos").alias("windows"), F.min("doc_pos").alias("first_word"), F.max("doc_pos").alias("last"))
     return spans.select(doc_id, item_id, "windows", (F.col("first_word") - 1).alias("first_word"), (F.col("last") + (size - 2)).alias("last_word"))
 
 
+def pattern_of(row: list | None) -> list[int] | None:
+    """Which places hold the same word: for each the first place of its word."""
+    first: dict[str, int] = {}
+    return None if row is None else [first.setdefault(w, i) for i, w in enumerate(row)]
+
+
+def pattern(row: Column) -> Column:
+    @F.pandas_udf("array<int>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([pattern_of(r) for r in rows], dtype=object)
+
+    return run(row)
+
+
+def _members(evals: DataFrame, item_id: str) -> DataFrame:
+    """item_id, class_id, t: items of one template sequence are a class, named by its smallest item."""
+    seen = evals.groupBy(item_id).agg(F.sort_array(F.collect_set(F.struct("item_pos", "template"))).alias("t"))  # as long as an item
+    seen = seen.withColumn("key", F.xxhash64(F.lit(11), "t"))
+    return seen.join(seen.groupBy("key").agg(F.min(item_id).alias("class_id")), "key").select(item_id, "class_id", "t")
+
+
+def item_classes(items: DataFrame, name_max_items: int = 8, size: int = WINDOW, item_id: str = "item_id") -> DataFrame:
+    """item_id, class_id: which items are one question with other names and numbers (shorter ones than ``size`` words are in none)."""
+    kept = items.sparkSession.sparkContext.broadcast(frozenset(wording(items, name_max_items)))
+    return _members(template_windows(items, item_id, kept, size).withColumnsRenamed({"key": item_id, "pos": "item_pos"}), item_id).drop("t")
+
+
 def variants(
-    documents: DataFrame, items: DataFrame, name_max_items: int = 8, size: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id", min_windows: int = 1
+    documents: DataFrame, items: DataFrame, name_max_items: int = 8, size: int = WINDOW, doc_id: str = "doc_id", item_id: str = "item_id"
 ) -> DataFrame:
-    """doc_id, item_id, windows: re-parameterised questions.
-
-    At least ``min_windows`` windows in a row have the item's templates, the words along this
-    stretch are not the item's own, and those that differ map one to one onto the item's.
-    A single window counts, as in ``leaks``: the one-to-one map is the filter, and ``windows``
-    tells how much matched.
-    Items of one template sequence are matched as one class and told apart only at the end,
-    by their words, so a question asked of many names costs one match.
+    """doc_id, class_id, windows, share, links, exact: re-parameterised questions, one row per document and class.
+
+    A run of windows with the templates of a class counts for those of its items whose slots map
+    one to one onto the document's all along the run. ``links`` is the number of such items (those
+    held word for word among them), ``exact`` how many items of the class the document holds word
+    for word, ``windows`` the windows of the runs, ``share`` the part of the question's windows in
+    the longest run. A single window counts; questions often share a clause, and ``share`` tells
+    such a passage from the whole question. ``item_classes`` names the members; documents are never paired with them one by one: whether slots map one to one
+    depends only on which places hold the same word, so items alike in this are checked once.
     """
     docs, evals = template_matches(documents, items, name_max_items, size, doc_id, item_id)
-    members = evals.groupBy(item_id).agg(F.sort_array(F.collect_list(F.struct("item_pos", "template"))).alias("t"))  # as long as an item
-    members = members.select(item_id, F.xxhash64(F.lit(11), "t").alias("class"), "t")
-    shapes = members.groupBy("class").agg(F.first("t").alias("t")).select("class", F.explode("t").alias("x")).select("class", "x.item_pos", "x.template")
-    hits = docs.join(shapes, "template").select(doc_id, "class", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
-    line = Window.partitionBy(doc_id, "class", "shift").orderBy("item_pos")
+    members = _members(evals, item_id)
+    long = members.groupBy("class_id").agg(F.max(F.size("t")).alias("whole"))
+    shapes = members.select("class_id", F.explode("t").alias("x")).select("class_id", "x.item_pos", "x.template").distinct()
+    hits = docs.join(shapes, "template").select(doc_id, "class_id", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
+    line = Window.partitionBy(doc_id, "class_id", "shift").orderBy("item_pos")
     hits = hits.withColumn("island", F.col("item_pos") - F.row_number().over(line))
-    runs = hits.groupBy(doc_id, "class", "shift", "island").agg(F.count("*").alias("windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos"))
-    runs = runs.where(F.col("windows") >= min_windows)
+    runs = hits.groupBy(doc_id, "class_id", "shift", "island").agg(F.count("*").alias("windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos"))
     doc_words = documents.join(runs.select(doc_id).distinct(), doc_id).select(doc_id, words("text").alias("dw"))
     n = F.col("to_pos") - F.col("from_pos") + size
-    runs = runs.join(doc_words, doc_id).select(doc_id, "class", "windows", "from_pos", n.alias("n"), F.slice("dw", F.col("from_pos") + F.col("shift"), n).alias("dw"))
-    item_words = items.select(item_id, words("text").alias("iw")).distinct()
-    both = runs.join(members.select(item_id, "class"), "class").join(item_words, item_id)
-    pairs = F.array_distinct(F.arrays_zip(F.slice("iw", F.col("from_pos"), F.col("n")).alias("a"), F.col("dw").alias("b")))
-    both = both.select(doc_id, item_id, "windows", pairs.alias("pairs")).where(F.exists("pairs", lambda p: p["a"] != p["b"]))
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    return both.where(one("a") & one("b")).groupBy(doc_id, item_id).agg(F.sum("windows").cast("long").alias("windows"))
+    runs = runs.join(doc_words, doc_id).select(doc_id, "class_id", "windows", "from_pos", n.alias("n"), pattern(F.slice("dw", F.col("from_pos") + F.col("shift"), n)).alias("dp"))
+    texts = items.groupBy(item_id).agg(F.first("text").alias("text")).select(item_id, pattern(words("text")).alias("ip"))
+    alike = members.select(item_id, "class_id").join(texts, item_id).groupBy("class_id", "ip").agg(F.count("*").alias("items"))
+    both = runs.join(alike, "class_id").select(doc_id, "class_id", "windows", "items", "ip", F.slice("ip", F.col("from_pos"), F.col("n")).alias("part"), "dp")
+    same = both.where(pattern(F.col("part").cast("array<string>")) == F.col("dp"))
+    per = same.groupBy(doc_id, "class_id", "ip").agg(F.sum("windows").alias("windows"), F.max("windows").alias("run"), F.max("items").alias("items"))
+    found = per.groupBy(doc_id, "class_id").agg(F.max("windows").cast("long").alias("windows"), F.max("run").alias("run"), F.sum("items").cast("long").alias("links"))
+    found = found.join(long, "class_id").select(doc_id, "class_id", "windows", (F.col("run") / F.col("whole")).alias("share"), "links")
+    held = held_passages(docs, evals, doc_id, item_id).select(doc_id, item_id).distinct().join(members.select(item_id, "class_id"), item_id)
+    held = held.groupBy(doc_id, "class_id").agg(F.count("*").alias("exact"))
+    return found.join(held, [doc_id, "class_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(0)).cast("long"))

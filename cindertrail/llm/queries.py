@@ -51,6 +51,10 @@ def p8_variants(spark: SparkSession, d: str) -> DataFrame:
     return leaks.variants(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.item_classes(table(spark, d, "eval_items"))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -79,7 +83,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_percentiles, p6_merged_days, p7_found, p7_runs, p8_found, p8_leaks, p8_variants,
+        p6_found, p6_percentiles, p6_merged_days, p7_found, p7_runs, p8_found, p8_leaks, p8_variants, p8_classes,
         p9_found, p9_mix, p9_shares, p10_found, p10_report,
     )
 }

@@ -1,7 +1,8 @@
 import random
 import re
+from collections import Counter
 
-from cindertrail.llm.leaks import leaks, variants
+from cindertrail.llm.leaks import UNITS, item_classes, leaks, variants
 
 ITEM = "When the alpha relay drops its beta lease during a gamma handover, which delta counter should the operator read before the epsilon queue is drained after 44 beats?"
 
@@ -53,24 +54,79 @@ def test_repeats_count_places(spark):
     assert r.windows == 2 * (len(words(ITEM)) - 12) and r.first_word == 0
 
 
+NAMES = ("alpha", "beta", "gamma", "delta", "epsilon")
+
+
+def family(n):
+    return [(i, re.sub("|".join(NAMES), lambda m, i=i: m.group() + "abcdefghijkl"[i], ITEM)) for i in range(n)]
+
+
+def linked(spark, docs, items):
+    return {r.doc_id: (r.class_id, r.windows, r.links, r.exact) for r in variants(*frames(spark, docs, items)).collect()}
+
+
 def test_reparameterised_questions(spark):
-    names = ("alpha", "beta", "gamma", "delta", "epsilon")
-    items = [(n, re.sub("|".join(names), lambda m, n=n: m.group() + "abcdefghijkl"[n], ITEM)) for n in range(12)]
+    items, n = family(12), len(words(ITEM)) - 12
     other = ITEM.replace("alpha", "omicron").replace("gamma", "sigma").replace("44", "7")
     mixed = other.replace("sigma handover", "omicron handover")  # two slots, one filler: not one to one
-    got = {(r.doc_id, r.item_id) for r in variants(*frames(spark, [(1, other), (2, "x " * 40), (3, mixed), (4, items[0][1])], items)).collect()}
-    assert {d for d, _ in got} == {1, 4} and (4, 0) not in got and len([x for x in got if x[0] == 1]) == 12
+    got = linked(spark, [(1, other), (2, "x " * 40), (3, mixed), (4, items[5][1])], items)
+    assert got == {1: (0, n, 12, 0), 4: (0, n, 12, 1)}
+    assert {(r.item_id, r.class_id) for r in item_classes(frames(spark, [], items)[1]).collect()} == {(i, 0) for i in range(12)}
 
 
 def test_reparameterised_passages_of_one_and_two_windows(spark):
-    names = ("alpha", "beta", "gamma", "delta", "epsilon")
-    items = [(n, re.sub("|".join(names), lambda m, n=n: m.group() + "abcdefghijkl"[n], ITEM)) for n in range(12)]
+    items = family(12)
     w = words(ITEM.replace("alpha", "omicron").replace("gamma", "sigma"))
     twice = ["omicron" if x == "sigma" else x for x in w]  # two slots, one filler
     docs = [(1, " ".join(w[:13])), (2, " ".join(w[2:16])), (3, " ".join(w[:12])), (4, " ".join(twice[:13])), (5, " ".join(words(items[0][1])[:13]))]
-    got = {(r.doc_id, r.item_id, r.windows) for r in variants(*frames(spark, docs, items)).collect()}
-    every = {(d, n, k) for d, k in ((1, 1), (2, 2), (5, 1)) for n in range(12)}
-    assert got == every - {(5, 0, 1)}
+    assert linked(spark, docs, items) == {1: (0, 1, 12, 0), 2: (0, 2, 12, 0), 5: (0, 1, 12, 1)}
+
+
+def test_items_alike_in_their_slots_are_counted_together(spark):
+    """Two items use one name twice, the others two names: a document links to its own kind only."""
+    items = family(12)
+    doubled = [(20 + i, t.replace("beta", "alpha")) for i, t in items[:2]]
+    own = ITEM.replace("alpha", "omicron").replace("beta", "sigma")
+    docs = [(1, own), (2, own.replace("sigma", "omicron"))]
+    got = linked(spark, docs, items + doubled)
+    assert {d: (c, links) for d, (c, _, links, _) in got.items()} == {1: (0, 12), 2: (0, 2)}
+
+
+def test_planted_variants_are_found(spark, sf):
+    """Recall and precision over every family of the test items, with new names and numbers put in."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect()]
+    plain = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    classes = {r.item_id: r.class_id for r in item_classes(frames(spark, [], items)[1]).collect()}
+    sizes = Counter(classes.values())
+    used = Counter(w for _, t in items for w in set(words(t)))
+    rng, docs, truth = random.Random(3), [], {}
+    for n, (i, t) in enumerate(x for x in items if sizes[classes.get(x[0])] > 1):
+        new = {}
+        fresh = lambda w: new.setdefault(w, str(rng.randrange(10**6)) if re.search(r"\d", w) else "q" + "".join(rng.choice("bcdfgklm") for _ in range(9)))
+        filled = " ".join(fresh(w) if re.search(r"\d", w) or used[w] <= 8 else w for w in words(t))
+        docs.append((1_000_000 + n, f"{rng.choice(plain)[1]} {filled} {rng.choice(plain)[1]}"))
+        truth[1_000_000 + n] = classes[i]
+    rows = variants(*frames(spark, docs, items)).collect()
+    got = {(r.doc_id, r.class_id) for r in rows if r.share == 1}
+    hit = sum(p in got for p in truth.items())
+    assert len(truth) > 20 and hit / len(truth) >= 0.9, (hit, len(truth))
+    # Some questions are parts of others: by brute force, every question that stands in a text with other words put in.
+    slot = lambda w: "<num>" if re.search(r"\d", w) else "<unit>" if w in UNITS else w if used[w] > 8 else "<name>"
+    by_class = {}
+    for i, t in items:
+        by_class.setdefault(classes.get(i), []).append(words(t))
+
+    def stands(w, c):
+        for q in by_class[c]:
+            for at in range(len(w) - len(q) + 1):
+                pairs = set(zip(w[at : at + len(q)], q))
+                if all(slot(x) == slot(y) for x, y in pairs) and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs):
+                    return True
+        return False
+
+    real = {(d, c) for d, t in docs for c in by_class if c is not None and stands(words(t), c)}
+    print(f"planted {len(truth)}, found {hit}; questions in the texts {len(real)}, reported {len(got)}, right {len(got & real)}")
+    assert len(got & real) >= 0.9 * len(real) and len(got & real) >= 0.9 * len(got)
 
 
 def test_empty(spark):
