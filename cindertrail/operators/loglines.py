@@ -2,12 +2,16 @@
 
 A fixed-depth template tree learns the layouts. Lines are split into tokens with their
 variables masked (times, levels, addresses, numbers, quoted text), routed by token count
-and leading tokens, and merged with the most similar template of their leaf. Each template
-is then mapped once: which token positions hold time, level, component and message, or that
-the template opens no entry. Trees are grown per task, their templates merged by route, and
-the merged templates (at most MAX_TEMPLATES, whatever the input) are given to all tasks,
-which extract the fields by position. A line of no kept template, and a line of MAX_TOKENS
-or more tokens, is mapped by its own tokens, so neither bound drops anything.
+and the kinds of their leading tokens, and merged with the most similar template of their
+leaf; positions that differ become variables. Trees are grown per task and merged in levels.
+
+The templates then decide where the fields are. A line's *core* is what surely is header: its
+time, its level, bracketed groups and the words between them. What follows is settled by all
+templates of a core together, each weighed by its lines: a sign that stands at one place after
+the core ends the header (``name - text``, ``name: text``, ``name] text``), a word that varies
+while the words behind it stay is a component, the usual number of separators tells the last
+field of separated lines. Key=value lines are read by their keys. A line of an unknown core is
+settled by itself, so that no bound drops anything.
 
 Entries may span lines. Line to entry is a running maximum of opening line numbers, taken
 in two levels (within blocks of a stream, then over its blocks), so that one stream with a
@@ -27,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cindertrail.functions.logcols import SEVERITY_NUMBERS as SEVERITY
 from cindertrail.functions.timestamps import epoch_ms
 from cindertrail.session import materialise
 
@@ -41,30 +46,40 @@ LEVEL_WORDS = {
 }
 LEVEL_OF = {w: lvl for lvl, words in LEVEL_WORDS.items() for w in words}
 LETTERS = {lvl[0]: lvl for lvl in LEVEL_WORDS}
-#: The severity number of each level.
-SEVERITY = {"TRACE": 1, "DEBUG": 5, "INFO": 9, "WARN": 13, "ERROR": 17, "FATAL": 21}
 
 TIME_KEYS = ("timestamp", "ts", "time", "@timestamp", "datetime")
 LEVEL_KEYS = ("level", "lvl", "severity", "severityNumber", "loglevel")
 COMPONENT_KEYS = ("service", "component", "app", "logger", "source")
 MESSAGE_KEYS = ("message", "msg")
 
-#: Masked tokens a layout is told by (``map_fields`` looks at no others); templates never merge them.
-LAYOUT = frozenset({"<TS>", "<LVL>", "[", "]", "|", "\t", "-", ":", "=", *TIME_KEYS, *LEVEL_KEYS, *COMPONENT_KEYS, *MESSAGE_KEYS})
+KEYS = frozenset((*TIME_KEYS, *LEVEL_KEYS, *COMPONENT_KEYS, *MESSAGE_KEYS))
+#: Masked tokens a layout is told by; templates never merge them with others.
+LAYOUT = frozenset({"<TS>", "<LVL>", "[", "]", "|", "\t", "-", ":", "=", *KEYS})
 
 ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
 TOKEN = re.compile(
     r"(?P<TS>\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?(?![\w])"
     r"|\d\d/[A-Za-z]{3}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4}"
+    r"|(?<!\S)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d \d\d:\d\d:\d\d(?!\S)"
+    r"|^\d{10}(?:\.\d{1,9})?(?=\s)"
     r"|(?<![\w.])\d{13}(?![\w.]))"
     r'|(?P<QUOTED>"(?:[^"\\]|\\.)*")'
     r"|(?P<IP>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]))"
     r"|(?P<WORD>[^\s\[\]|:=\"(){},]+)"
     r"|(?P<TAB>\t)"
+    r"|(?P<INNER>:(?=\S))"
     r"|(?P<PUNCT>[\[\]|:=\"(){},])"
 )
 HAS_DIGIT = re.compile(r"\d")
-MAX_TOKENS, DEPTH, MAX_CHILDREN, MAX_TEMPLATES, SIMILAR = 48, 3, 64, 4000, 0.6
+DEPTH, MAX_TEMPLATES, SIMILAR = 3, 4000, 0.6
+#: Tokens in which a core ends, words between a core and the sign that ends the header, and layouts told to the tasks.
+CORE, WORDS, MAX_LAYOUTS = 16, 3, 10_000
+#: Separators of the log format of imports, and the fewest that hold time, level, component and message; each counts as one line more.
+USUAL = {"|": 10, "\t": 3}
+#: What it takes to let a sign end the header of lines whose core names a component already.
+SURE_SHARE, SURE_LINES = 0.9, 20
+#: Share of a core's lines that makes a second sign the end of a header.
+GOOD_SHARE = 0.25
 
 
 def level_of(value) -> str | None:
@@ -79,17 +94,19 @@ def level_of(value) -> str | None:
     return LEVEL_OF.get(v.lower()) or LETTERS.get(v if len(v) == 1 else "")
 
 
-def tokenize(line: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Masked tokens of a line and their spans."""
+def tokenize(line: str, head: int | None = None) -> tuple[list[str], list[tuple[int, int]]]:
+    """Masked tokens of a line and their spans; of a line that isn't key=value only the first ``head``."""
     masked, spans = [], []
     for m in TOKEN.finditer(line):
+        if len(masked) == head and masked[1:2] != ["="]:
+            break
         kind, tok = m.lastgroup, m.group()
         if kind == "WORD":
             if tok.lower() in LEVEL_OF or (len(tok) == 1 and tok in LETTERS and m.start() == 0):
                 tok = "<LVL>"
             elif HAS_DIGIT.search(tok):
                 tok = "<NUM>"
-        elif kind in ("TS", "QUOTED", "IP"):
+        elif kind in ("TS", "QUOTED", "IP", "INNER"):
             tok = f"<{kind}>"
         masked.append(tok)
         spans.append(m.span())
@@ -97,36 +114,25 @@ def tokenize(line: str) -> tuple[list[str], list[tuple[int, int]]]:
 
 
 def route_of(tokens: list[str]) -> str:
-    return "\x1f".join([str(min(len(tokens), MAX_TOKENS)), *tokens[:DEPTH]])
+    """Token count and leading tokens, words of any kind alike."""
+    return "\x1f".join([str(len(tokens)), *[t if t in LAYOUT or t[0] in "<({" else "<W>" for t in tokens[:DEPTH]]])
 
 
 @dataclass
 class TemplateTree:
-    """Token count, then DEPTH leading tokens, then a leaf of templates."""
+    """Token count, then DEPTH leading tokens, then a leaf of templates [tokens, lines].
+
+    At its limit a tree counts further shapes under one template of variables per token count.
+    """
 
     limit: int = MAX_TEMPLATES
     leaves: dict[str, list[list]] = field(default_factory=dict)
-    width: dict[str, set] = field(default_factory=dict)
+    known: dict[tuple, list] = field(default_factory=dict)  # shapes met before; emptied when it grows large
     size: int = 0
 
-    def route(self, tokens: list[str]) -> str:
-        """The leaf of a line; a node with MAX_CHILDREN children sends further tokens to <*>."""
-        path = str(min(len(tokens), MAX_TOKENS))
-        for tok in tokens[:DEPTH]:
-            seen = self.width.setdefault(path, set())
-            if tok not in seen:
-                if len(seen) >= MAX_CHILDREN and not tok.startswith("<"):
-                    tok = "<*>"
-                seen.add(tok)
-            path += "\x1f" + tok
-        return path
-
     @staticmethod
-    def likeness(a: list[str], b: list[str]) -> float:
-        """Share of equal tokens; 0 if a token of the layout meets something else.
-
-        So a template maps as each of its lines does.
-        """
+    def likeness(a: list[str], b: tuple[str, ...]) -> float:
+        """Share of equal tokens; 0 if a token of the layout meets something else."""
         same = 0
         for x, y in zip(a, b):
             if x == y:
@@ -135,24 +141,29 @@ class TemplateTree:
                 return 0.0
         return same / max(1, len(a))
 
-    def add(self, tokens: list[str], count: int = 1, opens: bool | None = None) -> None:
-        """``opens``: whether the uncut line opens an entry; templates that differ in it are kept apart."""
-        opens = map_fields(tokens) is not None if opens is None else opens
-        tokens = tokens[:MAX_TOKENS]
-        leaf = self.leaves.setdefault(self.route(tokens), [])
-        best = max((t for t in leaf if t[2] == opens), key=lambda t: self.likeness(t[0], tokens), default=None)
+    def add(self, tokens: tuple[str, ...], count: int = 1) -> None:
+        if (known := self.known.get(tokens)) is not None:
+            known[1] += count
+            return
+        leaf = self.leaves.setdefault(route_of(tokens), [])
+        best = max(leaf, key=lambda t: self.likeness(t[0], tokens), default=None)
         if best is not None and self.likeness(best[0], tokens) >= SIMILAR:
             best[0] = [x if x == y else "<*>" for x, y in zip(best[0], tokens)]
-            best[1] += count
         elif self.size < self.limit:
-            leaf.append([list(tokens), count, opens])
+            best = [list(tokens), 0]
+            leaf.append(best)
             self.size += 1
+        else:
+            rest = self.leaves.setdefault(f"{len(tokens)}\x1f<*>", [])
+            best = rest[0] if rest else [["<*>"] * len(tokens), 0]
+            rest[:] = [best]
+        best[1] += count
+        if len(self.known) > 100_000:
+            self.known.clear()
+        self.known[tokens] = best
 
-    def find(self, tokens: list[str]) -> list[str] | None:
-        tokens = tokens[:MAX_TOKENS]
-        leaf = self.leaves.get(self.route(tokens), ())
-        best = max(leaf, key=lambda t: self.likeness(t[0], tokens), default=None)
-        return best[0] if best is not None and self.likeness(best[0], tokens) >= SIMILAR else None
+    def rows(self) -> list[tuple[str, list[str], int]]:
+        return [(route_of(t), t, n) for leaf in self.leaves.values() for t, n in leaf]
 
 
 @dataclass(frozen=True)
@@ -166,54 +177,165 @@ class FieldMap:
     sep: str = ""
 
 
-def map_fields(t: list[str]) -> FieldMap | None:
-    """Positions of the fields in a template; None if it opens no entry."""
+@dataclass
+class Core:
+    """What surely is header. ``name``: the core with its words alike; ``end``: the token behind it;
+    ``component``: the word or group of the core that may name the component."""
 
-    def at(i: int) -> str:
-        return t[i] if 0 <= i < len(t) else ""
+    name: str
+    ts: int = -1
+    level: int = -1
+    component: int = -1
+    end: int = 0
+    sep: str = ""
 
-    if at(0) == "<LVL>" and at(1) == "<TS>":  # L time component] message
-        close = next((i for i in range(3, min(len(t), 6)) if t[i] == "]"), -1)
-        return FieldMap(1, 0, 2, close + 1) if close > 0 else None
-    if at(0) == "[" and at(1) == "<TS>" and at(2) == "]":  # [time][level][component] message
-        i, groups = 3, []
-        while at(i) == "[" and len(groups) < 3:
-            close = next((j for j in range(i + 1, min(len(t), i + 6)) if t[j] == "]"), -1)
-            if close < 0:
-                break
-            groups.append(i + 1)
-            i = close + 1
-        level = next((g for g in groups if t[g] == "<LVL>"), -1)
-        rest = [g for g in groups if g != level]
-        return FieldMap(1, level, rest[0], i) if level > 0 and rest else None
-    if at(0) == "<TS>":
-        if at(1) == "|" and at(2) == "<LVL>" and t.count("|") >= 10:
-            return FieldMap(0, 1, 2, 10, " | ")
-        if at(1) == "\t" and at(2) == "<LVL>":
-            return FieldMap(0, 1, 2, 3, "\t")
-        if at(1) == "<LVL>":  # time LEVEL [thread] component - message
-            i = 2
-            if at(i) == "[":
-                i = next((j for j in range(i + 1, min(len(t), i + 8)) if t[j] == "]"), -2) + 1
-            if i > 1 and at(i + 1) in ("-", ":"):
-                return FieldMap(0, 1, i, i + 2)
+
+def is_word(token: str) -> bool:
+    return token == "<NUM>" or token == "<*>" or token[0] not in "<[]|:=\"(){},\t"
+
+
+def core_of(t: list[str] | tuple[str, ...]) -> Core | None:
+    """The core of a line or template; None if it has no time among its first elements or no level."""
+    if len(t) > 1 and t[1] == "=":
+        if t[0] not in KEYS:
             return None
-        i = 2  # time component[pid] level: message
-        if at(i) == "[":
-            i = next((j for j in range(i + 1, min(len(t), i + 5)) if t[j] == "]"), -2) + 1
-        if i > 1 and at(i) == "<LVL>" and at(i + 1) == ":":
-            return FieldMap(0, i, 1, i + 2)
-        return None
-    if at(1) == "=" and at(0) in TIME_KEYS + LEVEL_KEYS + COMPONENT_KEYS + MESSAGE_KEYS:
         found: dict[str, int] = {}
         for i in range(len(t) - 2):
-            if t[i + 1] == "=":
+            if t[i + 1] == "=" and t[i] in KEYS:
                 for name, keys in (("ts", TIME_KEYS), ("level", LEVEL_KEYS), ("component", COMPONENT_KEYS), ("message", MESSAGE_KEYS)):
                     if t[i] in keys and name not in found:
                         found[name] = i + 2
         if {"ts", "level", "message"} <= found.keys():
-            return FieldMap(found["ts"], found["level"], found.get("component", -1), found["message"], "=")
-    return None
+            return Core("=", found["ts"], found["level"], found.get("component", -1), found["message"], "=")
+        return None
+    if len(t) > 1 and t[1] in ("|", "\t") and t[0] in ("<TS>", "<LVL>"):
+        return Core(f"{t[0]}{t[1]}", 0, 0, sep=t[1])
+    ts = level = -1
+    words: list[int] = []  # words inside the core
+    groups: list[int] = []
+    pending: list[int] = []  # words after the core as far as it is known
+    i = end = 0
+    while i < min(len(t), CORE):
+        tok = t[i]
+        if tok == "[":
+            close = next((j for j in range(i + 1, min(len(t), i + 7)) if t[j] == "]"), -1)
+            inside = t[i + 1 : close]
+            if close < 0 or (pending and ts >= 0 and level >= 0):
+                break
+            if ts < 0 and list(inside) == ["<TS>"]:
+                ts = i + 1
+            elif level < 0 and list(inside) == ["<LVL>"]:
+                level = i + 1
+            elif ts < 0:
+                return None
+            else:
+                groups.append(i + 1)
+            i = close + 1
+        elif tok == "<TS>" and ts < 0 or tok == "<LVL>" and level < 0:
+            if tok == "<TS>":
+                ts = i
+            else:
+                level = i
+            i += 1
+        elif ts < 0 and not (t[0] == "<IP>" and i < 3):
+            return None
+        elif is_word(tok) and tok != "-" and len(pending) < WORDS or ts < 0:
+            pending.append(i)
+            i += 1
+            continue
+        elif tok == ":" and t[i + 1 : i + 2] in (["<LVL>"], ("<LVL>",)) and level < 0:
+            i += 1
+            continue
+        else:
+            break
+        words += pending
+        pending, end = [], i
+    if ts < 0 or (level < 0 and t[0] != "<IP>"):
+        return None
+    named = [w for w in words if w > min(ts, level)] if level >= 0 else []
+    held = [g for g in groups if t[g] != "<NUM>"]  # a process or thread is numbered
+    name = " ".join(x if x in LAYOUT or x == "<IP>" else "<W>" for x in t[:end])
+    return Core(name, ts, level, named[-1] if named else held[0] if held else -1, end)
+
+
+def ending_of(t: list[str] | tuple[str, ...], core: Core) -> str:
+    """What follows a core: the sign that may end the header and its distance, ``*`` for a variable word, else nothing.
+
+    Of separated lines the number of separators.
+    """
+    if core.sep == "=":
+        return ""
+    if core.sep:
+        return str(t.count(core.sep))
+    i, seen = core.end, 0
+    while i < len(t) and seen <= WORDS:
+        if t[i] in ("-", ":", "]"):
+            return f"{t[i]}{i - core.end}"
+        if t[i] == "[":
+            close = next((j for j in range(i + 1, min(len(t), i + 7)) if t[j] == "]"), -1)
+            if close < 0:
+                break
+            i = close + 1
+            continue
+        if not is_word(t[i]):
+            break
+        i, seen = i + 1, seen + 1
+    return "*" if t[core.end : core.end + 1] in (["<*>"], ("<*>",)) else ""
+
+
+def settle(endings: dict[str, int], named: bool, sep: str = "") -> tuple[str, ...]:
+    """The endings of a core's lines, from the lines that have each: the most frequent one first.
+
+    Where a sign ends the header, programs may differ in it: other signs of a good share of the
+    lines count too. ``named``: the core has a component, so only an ending of nearly all of many
+    lines counts.
+    """
+    if sep:
+        endings = Counter(endings)
+        if any(int(e) >= USUAL[sep] for e in endings):
+            endings[str(USUAL[sep])] += 1
+    total = sum(endings.values())
+    best = min(endings, key=lambda e: (-endings[e], len(e), e))
+    if named and best and not sep:
+        if best == "*" or (best[1:] != "0" and (endings[best] < SURE_SHARE * total or total < SURE_LINES)):
+            return ("",)
+    if sep or named or best in ("", "*"):
+        return (best,)
+    others = (e for e in sorted(endings) if e not in ("", "*", best) and endings[e] >= GOOD_SHARE * total)
+    return best, *others
+
+
+def map_fields(t: list[str] | tuple[str, ...], layouts: dict[str, tuple[str, ...]] | None = None) -> FieldMap | None:
+    """Positions of the fields in a line or template; None if it opens no entry.
+
+    ``layouts``: the endings of each core; a line of another core is settled by itself.
+    """
+    core = core_of(t)
+    if core is None:
+        return None
+    if core.sep == "=":
+        return FieldMap(core.ts, core.level, core.component, core.end, "=")
+    own = ending_of(t, core)
+    settled = (layouts or {}).get(core.name) or settle({own: 1}, core.component >= 0, core.sep)
+    ending = own if own in settled else settled[0]
+    if core.sep:
+        last = int(ending)
+        return FieldMap(0, 1, 2, last, core.sep) if last > 2 and int(own) >= last else None
+    if ending == "*":
+        ok = core.end < len(t) and is_word(t[core.end])
+        return FieldMap(core.ts, core.level, core.end, core.end + 1) if ok else None
+    if not ending:
+        if core.component < 0 and t[core.end : core.end + 1] in (["["], ("[",)):  # a group that doesn't end in the header
+            return None
+        skip = t[core.end : core.end + 1] in (["-"], [":"], ("-",), (":",))
+        return FieldMap(core.ts, core.level, core.component, core.end + skip)
+    at = core.end + int(ending[1:])
+    if at >= len(t) or t[at] != ending[0]:
+        return None
+    if at == core.end:
+        return FieldMap(core.ts, core.level, core.component, at + 1)
+    before = [i for i in range(core.end, at) if is_word(t[i]) and "[" not in t[core.end : i]]
+    return FieldMap(core.ts, core.level, before[-1], at + 1) if before else None
 
 
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
@@ -225,17 +347,22 @@ def unescape(quoted: str) -> str:
     return quoted
 
 
+YEARLESS = re.compile(r"[A-Z][a-z]{2} [ \d]\d ")
+
+
 def extract(line: str, spans: list[tuple[int, int]], fm: FieldMap) -> tuple[int, str, str | None, str] | None:
     """(ts_ms, level, component, message) by the template's positions, None if they don't hold."""
 
     def token(i: int) -> str | None:
         return line[spans[i][0] : spans[i][1]] if 0 <= i < len(spans) else None
 
-    if fm.sep in (" | ", "\t"):
-        parts = line.split(fm.sep, fm.message)
+    if fm.sep in ("|", "\t"):
+        parts = [p.strip() for p in line.split(" | " if fm.sep == "|" else fm.sep, fm.message)]
         if len(parts) <= fm.message:
             return None
-        ts, level, component, message = (parts[i] for i in (fm.ts, fm.level, fm.component, fm.message))
+        fields = [*parts[:3], parts[fm.message]]
+        at = 1 if level_of(fields[0]) and not level_of(fields[1]) else 0  # time and level may change places
+        ts, level, component, message = fields[at], fields[1 - at], fields[2], fields[3]
     elif fm.sep == "=":
         ts, level, component, message = token(fm.ts), token(fm.level), token(fm.component), token(fm.message)
         if message is not None and not message.startswith('"'):
@@ -246,7 +373,7 @@ def extract(line: str, spans: list[tuple[int, int]], fm: FieldMap) -> tuple[int,
         ts, level, component = token(fm.ts), token(fm.level), token(fm.component)
         message = line[spans[fm.message][0] :] if fm.message < len(spans) else ""
     at, lvl = epoch_ms(ts) if ts else None, level_of(level)
-    if at is None or lvl is None or message is None:
+    if (at is None and not YEARLESS.match(ts or "")) or (lvl is None and level is not None) or message is None:
         return None
     component = component.strip() if component else None
     return at, lvl, component or None, message.strip()
@@ -295,7 +422,7 @@ def _clean(raw) -> str:
 
 
 def local_templates(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
-    """Each task's template tree: route, tokens, n, opens."""
+    """Each task's template tree: route, part, tokens, n."""
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = TemplateTree()
@@ -306,30 +433,62 @@ def local_templates(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
                 if line and not line[0].isspace() and line[0] not in "{}":
                     shapes[tuple(tokenize(line)[0])] += 1
             for tokens, n in shapes.items():
-                tree.add(list(tokens), n)
-        rows = [(route_of(t), t, n, opens) for leaf in tree.leaves.values() for t, n, opens in leaf]
-        yield pd.DataFrame(rows, columns=["route", "tokens", "n", "opens"])
+                tree.add(tokens, n)
+        yield pd.DataFrame(tree.rows(), columns=["route", "tokens", "n"])
 
-    return lines.select(raw).mapInPandas(grow, "route string, tokens array<string>, n long, opens boolean")
+    return lines.select(raw).mapInPandas(grow, "route string, tokens array<string>, n long").withColumn("part", F.spark_partition_id())
 
 
-def merged_templates(local: DataFrame, limit: int = MAX_TEMPLATES) -> DataFrame:
-    """The tasks' templates merged route by route: tokens, n, opens."""
+def merged_templates(local: DataFrame, limit: int = MAX_TEMPLATES, fan_in: int = 32) -> DataFrame:
+    """The tasks' templates merged route by route (route, tokens, n), those of ``fan_in`` tasks first, so that a route is no single task's work."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = TemplateTree(limit)
-        for tokens, n, opens in pdf.sort_values("n", ascending=False)[["tokens", "n", "opens"]].itertuples(index=False):
-            tree.add(list(tokens), int(n), bool(opens))
-        return pd.DataFrame([tuple(t) for leaf in tree.leaves.values() for t in leaf], columns=["tokens", "n", "opens"])
+        rows = sorted(((int(n), tuple(t)) for t, n in zip(pdf["tokens"], pdf["n"])), key=lambda r: (-r[0], r[1]))
+        for n, tokens in rows:
+            tree.add(tokens, n)
+        return pd.DataFrame(tree.rows(), columns=["route", "tokens", "n"])
+
+    shape = "route string, tokens array<string>, n long"
+    few = local.groupBy("route", F.floor(F.col("part") / fan_in).alias("part")).applyInPandas(merge, shape)
+    return few.groupBy("route").applyInPandas(merge, shape)
 
-    return local.groupBy("route").applyInPandas(merge, "tokens array<string>, n long, opens boolean")
+
+def layouts_of(templates: DataFrame, limit: int = MAX_LAYOUTS) -> dict[str, tuple[str, ...]]:
+    """The endings of each core, settled by the lines of its templates; read to the driver.
+
+    Of more than ``limit`` cores and endings those of most lines are kept; other lines are settled by themselves.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for tokens, n in zip(batch["tokens"], batch["n"]):
+                tokens = list(tokens)
+                if (core := core_of(tokens)) is not None and core.sep != "=":
+                    seen[core.name, core.component >= 0, ending_of(tokens, core)] += int(n)
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["core", "named", "ending", "n"])
+
+    found = templates.select("tokens", "n").mapInPandas(look, "core string, named boolean, ending string, n long")
+    found = found.groupBy("core", "named", "ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "core", "ending").limit(limit)
+    endings: dict[str, Counter] = {}
+    named: dict[str, Counter] = {}
+    for r in found.collect():
+        endings.setdefault(r.core, Counter())[r.ending] += r.n
+        named.setdefault(r.core, Counter())[r.named] += r.n
+    return {c: settle(seen, named[c].most_common(1)[0][0], c[-1] if c[-1] in USUAL else "") for c, seen in endings.items()}
 
 
 def template_table(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
     """template, lines, opens_entry: what the tree learned (lines that start with a blank or brace aside)."""
-    return merged_templates(local_templates(lines, raw)).select(
-        F.array_join("tokens", " ").alias("template"), F.col("n").alias("lines"), F.col("opens").alias("opens_entry")
-    )
+    templates = materialise(merged_templates(local_templates(lines, raw)), "templates")
+    layouts = layouts_of(templates)
+
+    @F.pandas_udf("boolean")
+    def opens(tokens: pd.Series) -> pd.Series:
+        return pd.Series([map_fields(list(t), layouts) is not None for t in tokens], dtype=bool)
+
+    return templates.select(F.array_join("tokens", " ").alias("template"), F.col("n").alias("lines"), opens("tokens").alias("opens_entry"))
 
 
 HEADER, OBJECT = 1, 2
@@ -343,13 +502,9 @@ def parse_lines(lines: DataFrame, stream: str = "stream", order: str = "line_no"
 
     ``raw`` is kept of lines that can be part of a printed object, the fields of openers.
     """
-    kept = merged_templates(local_templates(lines, raw)).where(F.size("tokens") < MAX_TOKENS).orderBy(F.desc("n"), "tokens").limit(MAX_TEMPLATES).collect()
-    templates = [(list(r.tokens), r.n) for r in kept]  # bounded by MAX_TEMPLATES x MAX_TOKENS
+    layouts = layouts_of(merged_templates(local_templates(lines, raw)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = TemplateTree(MAX_TEMPLATES)
-        for tokens, n in templates:
-            tree.add(tokens, n)
         maps: dict[tuple, FieldMap | None] = {}  # by masked line; emptied when it grows large
         for batch in batches:
             out = []
@@ -367,13 +522,14 @@ def parse_lines(lines: DataFrame, stream: str = "stream", order: str = "line_no"
                             except ValueError:
                                 pass
                     elif line[0] != "}":
-                        tokens, spans = tokenize(line)
+                        tokens, spans = tokenize(line, 2 * CORE)
                         shape = tuple(tokens)
+                        if tokens[1:2] in (["|"], ["\t"]):  # separators are counted in the whole line
+                            shape = (*shape[:1], *shape[1:2] * (line.count(" | ") if tokens[1] == "|" else line.count("\t")))
                         if shape not in maps:
                             if len(maps) > 100_000:
                                 maps.clear()
-                            template = tree.find(tokens) if len(tokens) < MAX_TOKENS else None
-                            maps[shape] = map_fields(template or tokens)
+                            maps[shape] = map_fields(shape, layouts)
                         fm = maps[shape]
                         fields = extract(line, spans, fm) if fm else None
                 kept_raw = value if line and line.lstrip()[:1] in JSON_STARTS else None

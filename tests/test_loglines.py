@@ -65,13 +65,53 @@ def test_empty_null_keys_and_long_lines(spark):
 def test_tree_merges_and_keeps_times_apart():
     tree = L.TemplateTree(limit=3)
     for name in ("alpha", "beta"):
-        tree.add(L.tokenize(f"[2022-03-14T01:23:21Z][INFO][{name}] done at once")[0])
+        tree.add(tuple(L.tokenize(f"[2022-03-14T01:23:21Z][INFO][{name}] done at once")[0]))
     (leaf,) = tree.leaves.values()
     assert leaf[0][0].count("<*>") == 1 and leaf[0][1] == 2
     assert L.map_fields(leaf[0][0]) == L.FieldMap(1, 4, 7, 9)
     assert L.TemplateTree.likeness(["<TS>", "a", "b"], ["x", "a", "b"]) == 0.0
 
 
+def test_a_full_tree_still_counts_every_line():
+    tree = L.TemplateTree(limit=2)
+    for line in ("one two", "1 2 3", "a = b", "c ( d", "e f g", "<x> [y]"):
+        tree.add(tuple(L.tokenize(line)[0]))
+    assert sum(n for _, _, n in tree.rows()) == 6
+
+
+STAMP = "2022-03-10T00:00:00Z"
+UNSEEN = {
+    "INFO {ts} {svc} - {msg}": "2022-03-10T00:00:00Z",
+    "{ts} {svc} INFO {msg}": "2022-03-10T00:00:00Z",
+    "{ts} [INFO] {svc}: {msg}": "2022-03-10T00:00:00Z",
+    "{ts} host {svc}[12]: info: {msg}": "Mar 10 00:00:00",
+    "{ts} INFO {svc} {msg}": "1646870400",
+    "{ts} INFO [main] {svc} - {msg}": "2022-03-10T00:00:00Z",
+}
+TEXTS = ("peer closed the channel", "retry - again after 3 tries", "state: open", "took 12 ms for [3] items", "reread without changes since 2022", "tray full")
+
+
+@pytest.mark.parametrize("layout", UNSEEN)
+def test_layouts_are_learned_from_their_lines(spark, layout):
+    """Signs, words and groups inside messages are told from the header by what all lines of a layout share."""
+    lines = [(layout.format(ts=UNSEEN[layout], svc=svc, msg=msg), svc, msg) for svc in ("billing", "search-node", "edge.proxy", "mailer", "basket") for msg in TEXTS]
+    got = entries(spark, [("s", i, line) for i, (line, _, _) in enumerate(lines)])
+    assert [(g[4], g[5], g[6]) for g in got] == [("INFO", svc, msg) for _, svc, msg in lines]
+    assert {g[3] for g in got} == {None if layout.startswith("{ts} host") else 1646870400000}
+
+
+def test_access_log(spark):
+    lines = [f'192.0.2.{i} - - [10/Mar/2022:00:00:0{i} +0000] "GET /x HTTP/1.1" 200 {i}' for i in range(5)] + ["10.0.0.1 - - is no time"]
+    got = entries(spark, [("s", i, x) for i, x in enumerate(lines)])
+    assert [g[1:] for g in got] == [(i, max(i, 5 * (i == 4)), 1646870400000 + 1000 * i, None, None, f'"GET /x HTTP/1.1" 200 {i}') for i in range(5)]
+
+
+def test_number_of_fields_is_learned(spark):
+    lines = [f"{STAMP} | INFO | mailer | 7 | {msg}" for msg in ("a", "b | c", "d", "e", "f | g | h")]
+    got = entries(spark, [("s", i, x) for i, x in enumerate([*lines, f"{STAMP} | INFO | short"])])
+    assert [g[5:] for g in got] == [("mailer", m) for m in ("a", "b | c", "d", "e", "f | g | h")]
+
+
 @pytest.mark.parametrize("value, level", [("W", "WARN"), ("wrn", "WARN"), (17, "ERROR"), ("21", "FATAL"), ("\x1b[31mInf\x1b[0m", "INFO"), ("x", None), (None, None), (True, None)])
 def test_levels(value, level):
     assert L.level_of(value) == level
@@ -101,12 +141,12 @@ def test_layout_tokens_are_never_merged(spark):
     lines += [f"[{time}][INFO][edge {sep} {text} x] y" for sep in ("]", "a")]  # the second opens no entry
     got = entries(spark, [("s", i, x) for i, x in enumerate(lines)])
     assert [g[4:] for g in got] == [*[("WARN", "catalog", text)] * 2, *[("WARN", "basket", "x")] * 3, ("INFO", "edge", f"{text} x] y")]
+    tree = L.TemplateTree()
+    for line in lines:
+        tree.add(tuple(L.tokenize(line)[0]))
     for line in lines:
-        tree = L.TemplateTree()
-        for other in lines:
-            tree.add(L.tokenize(other)[0])
-        tokens = L.tokenize(line)[0]
-        assert L.map_fields(tree.find(tokens)) == L.map_fields(tokens)
+        tokens = tuple(L.tokenize(line)[0])
+        assert L.map_fields(tree.known[tokens][0]) == L.map_fields(tokens)
 
 
 def test_members_after_the_most_object_lines(spark):
