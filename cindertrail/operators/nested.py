@@ -4,8 +4,10 @@ Each payload is read once. Every object of interest is canonicalised (keys sorte
 producer's shape unwrapped: a list, a map by key, a single object or JSON text inside a
 string all give the same children) and hashed bottom-up, the hash covering the node's own
 fields and the hashes of its children. Equal objects are stored once in the object table;
-each occurrence stays in the bridge table, which names frame, parent occurrence, ordinal
-and object.
+each occurrence stays in the bridge table, which names frame, parent occurrence, ordinal,
+object and the name it goes by. The bridge rows of a frame stay together until they are read, so
+that a child finds its parents without a join, and an object that stands in every frame is no
+hot key.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindertrail.session import materialise
@@ -85,6 +87,10 @@ def children(value, label: tuple[str, ...]) -> list:
     return [value]
 
 
+#: A value as canonical text: members sorted, no blanks.
+canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
+
+
 def text(value) -> str:
     """A naming value as text: strings as they are, whole numbers without a fraction."""
     if value is None:
@@ -93,7 +99,7 @@ def text(value) -> str:
         return value
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
         return str(int(value))
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return canonical(value)
 
 
 def name_of(value, rel: Rel) -> str:
@@ -102,10 +108,6 @@ def name_of(value, rel: Rel) -> str:
     return text(value)
 
 
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-
 def digest(*parts: str | bytes) -> bytes:
     h = hashlib.blake2b(digest_size=16)
     for p in parts:
@@ -161,20 +163,33 @@ def shred(payload: str | None, rels: tuple[Rel, ...] = FRAME_RELS):
     return digest("record", root_body, *below), root_body, nodes
 
 
-NODE = "struct<occ:int,parent_occ:int,rel:string,ordinal:int,hash:binary>"
+NODE = "struct<occ:int,parent_occ:int,rel:string,ordinal:int,hash:binary,label:string>"
 OBJECT = "struct<hash:binary,rel:string,label:string,body:string>"
 
 
 @dataclass
 class Shredded:
-    """objects(hash, rel, label, body): each distinct object once.
-    bridge(<keys>, occ, parent_occ, rel, ordinal, hash): each occurrence under its parent's.
-    frames(<keys>, hash): the records themselves."""
+    """frames(<keys>, hash, nodes): the records that stand, with their bridge rows in order of ``occ``.
+
+    ``told``: the objects as each batch of records met them, if they were asked for.
+    """
 
     frames: DataFrame
-    objects: DataFrame
-    bridge: DataFrame
     keys: tuple[str, ...]
+    told: DataFrame | None = None
+
+    @property
+    def bridge(self) -> DataFrame:
+        """<keys>, occ, parent_occ, rel, ordinal, hash, label: each occurrence under its parent's."""
+        return self.frames.select(*self.keys, F.explode("nodes").alias("n")).select(*self.keys, "n.*")
+
+    @property
+    def objects(self) -> DataFrame:
+        """hash, rel, label, body, occurrences: each distinct object of the standing records once."""
+        used = self.frames.select("hash").unionAll(self.frames.select(F.explode(F.transform("nodes", lambda n: n["hash"]))))
+        used = used.groupBy("hash").agg(F.count("*").alias("occurrences"))
+        first = [F.first(c).alias(c) for c in ("rel", "label", "body")]
+        return self.told.groupBy("hash").agg(*first).join(used, "hash")
 
 
 def shred_frames(
@@ -183,61 +198,66 @@ def shred_frames(
     payload: str = "payload",
     version: str = "frame_id",
     rels: tuple[Rel, ...] = FRAME_RELS,
+    objects: bool = True,
 ) -> Shredded:
     """Shred a table of JSON payloads; a record sent again (same ``keys``) counts once.
 
     Of several readable payloads of one record that with the smallest ``version`` stands.
     Null, empty, broken and non-object payloads give no rows. Null keys are keys like any
-    other. Extra columns are ignored; an empty table gives empty tables.
+    other. Extra columns are ignored; an empty table gives empty tables. ``objects``: whether
+    the object table is wanted.
     """
     kinds = dict(frames.dtypes)
     key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, told = [], set()  # an object is told once a batch; the group-by below leaves one
+            out, told = [], set()  # an object is told once a batch
             for *key, ver, raw in batch.itertuples(index=False, name=None):
                 if (found := shred(raw if isinstance(raw, str) else None, rels)) is not None:
                     root, body, nodes = found
-                    fresh = [(n[4], n[2], n[5], n[6]) for n in nodes] + [(root, "record", "", body)]
-                    fresh = [o for o in {o[0]: o for o in fresh}.values() if o[0] not in told]
-                    told.update(o[0] for o in fresh)
-                    out.append((*key, ver, root, [tuple(n[:5]) for n in nodes], fresh))
-            yield pd.DataFrame(out, columns=[*keys, "version", "root", "nodes", "fresh"])
+                    fresh = []
+                    if objects:
+                        fresh = [(n[4], n[2], n[5], n[6]) for n in nodes] + [(root, "record", "", body)]
+                        fresh = [o for o in {o[0]: o for o in fresh}.values() if o[0] not in told]
+                        told.update(o[0] for o in fresh)
+                    out.append((*key, ver, root, [tuple(n[:6]) for n in nodes], fresh))
+            yield pd.DataFrame(out, columns=[*keys, "version", "hash", "nodes", "fresh"])
 
     parsed = frames.select(*keys, F.col(version).alias("version"), payload).mapInPandas(
-        read, f"{key_schema}, version {kinds[version]}, root binary, nodes array<{NODE}>, fresh array<{OBJECT}>"
+        read, f"{key_schema}, version {kinds[version]}, hash binary, nodes array<{NODE}>, fresh array<{OBJECT}>"
     )
-    parsed = materialise(parsed, "frames")
+    parsed = materialise(parsed if objects else parsed.drop("fresh"), "frames")
     stands = parsed.groupBy(*keys).agg(F.min("version").alias("version"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "version")]
-    kept = parsed.select(*keys, "version", "root", "nodes").alias("a").join(stands.alias("b"), same, "left_semi")
-    bridge = kept.select(*keys, F.explode("nodes").alias("n")).select(*keys, "n.*")
-    objects = parsed.select(F.explode("fresh").alias("o")).select("o.*").groupBy("hash").agg(F.first("rel").alias("rel"), F.first("label").alias("label"), F.first("body").alias("body"))
-    return Shredded(kept.select(*keys, F.col("root").alias("hash")), objects, bridge, keys)
+    kept = parsed.select(*keys, "version", "hash", "nodes").alias("a").join(stands.alias("b"), same, "left_semi")
+    told = parsed.select(F.explode("fresh").alias("o")).select("o.*") if objects else None
+    return Shredded(kept.select(*keys, "hash", "nodes"), keys, told)
 
 
 def child_rows(s: Shredded, rels: tuple[Rel, ...] = FRAME_RELS) -> DataFrame:
     """rel, <keys>, parent_key, child_key of every occurrence, resolved through the bridge.
 
-    The key of a child is its label in the object table; the key of a parent is the path of
-    labels from below the record, joined with a slash.
+    The key of a child is its label; the key of a parent is the path of labels from below the
+    record, joined with a slash.
     """
-    named = s.bridge.join(s.objects.select("hash", "label"), "hash").select(*s.keys, "occ", "parent_occ", "rel", "ordinal", "label")
-    done: dict[str, DataFrame] = {}
-    for rel in rels:
-        mine = named.where(F.col("rel") == rel.name)
-        if rel.parent is None:
-            done[rel.name] = mine.withColumn("parent_key", F.lit("")).withColumn("path", F.col("label"))
-            continue
-        above = done[rel.parent].select(*s.keys, F.col("occ").alias("parent_occ"), F.col("path").alias("parent_key"))
-        cond = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in s.keys] + [F.col("c.parent_occ") == F.col("p.parent_occ")]
-        joined = mine.alias("c").join(above.alias("p"), cond)
-        done[rel.name] = joined.select("c.*", "p.parent_key").withColumn("path", F.concat("parent_key", F.lit("/"), "label"))
-    out = None
-    for frame in done.values():
-        part = frame.select("rel", *s.keys, "parent_key", F.col("label").alias("child_key"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    above = {r.name: r.parent for r in rels}
+    depth = max(len(list(_ancestors(r.name, above))) for r in rels)
+
+    def path(occ: Column, levels: int) -> Column:
+        node = F.col("nodes")[occ - 1]
+        if levels == 1:
+            return node["label"]
+        return F.when(node["parent_occ"] == 0, node["label"]).otherwise(F.concat(path(node["parent_occ"], levels - 1), F.lit("/"), node["label"]))
+
+    def row(n: Column) -> Column:
+        parent = F.when(n["parent_occ"] == 0, F.lit("")).otherwise(path(n["parent_occ"], depth)) if depth else F.lit("")
+        return F.struct(n["rel"].alias("rel"), parent.alias("parent_key"), n["label"].alias("child_key"))
+
+    rows = s.frames.select(*s.keys, F.transform("nodes", row).alias("rows"))
+    return rows.select(*s.keys, F.explode("rows").alias("r")).select("r.rel", *s.keys, "r.parent_key", "r.child_key")
 
 
+def _ancestors(name: str | None, above: dict[str, str | None]) -> Iterator[str]:
+    while (name := above.get(name)) is not None:
+        yield name

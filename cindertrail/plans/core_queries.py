@@ -18,13 +18,12 @@ def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.child_rows(nested.shred_frames(table(spark, d, "sim_frames")))
+    return nested.child_rows(nested.shred_frames(table(spark, d, "sim_frames"), objects=False))
 
 
 def p2_objects(spark: SparkSession, d: str) -> DataFrame:
     s = nested.shred_frames(table(spark, d, "sim_frames"))
-    used = s.bridge.groupBy("hash").agg(F.count("*").alias("occurrences"))
-    return s.objects.join(used, "hash", "left").groupBy("rel").agg(F.count("*").alias("objects"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"))
+    return s.objects.groupBy("rel").agg(F.count("*").alias("objects"), F.sum("occurrences").alias("occurrences"))
 
 
 def _wide(spark: SparkSession, d: str):

@@ -1,6 +1,6 @@
 import json
 
-from cindertrail.operators.nested import FRAME_RELS, child_rows, children, shred, shred_frames
+from cindertrail.operators.nested import FRAME_RELS, Rel, child_rows, children, shred, shred_frames
 
 SCHEMA = "frame_id long, session_id string, seq long, received_at timestamp, payload string"
 EV = {"algorithm": "scan", "references": ["r1", None, "r2"]}
@@ -54,9 +54,25 @@ def test_identity_is_by_content_and_stored_once(spark):
     objects = s.objects.where("rel = 'health'").collect()
     assert len(objects) == 1 and json.loads(objects[0].body) == {"load": 1, "service": "a"}
     assert {r.ordinal for r in s.bridge.collect()} == {0, 1}
+    assert {r.occurrences for r in s.objects.collect()} == {2, 4}
     assert s.frames.select("hash").distinct().count() == 1
 
 
+def test_objects_of_later_deliveries_are_none(spark):
+    """A frame sent again with other content adds nothing, neither rows nor objects."""
+    first, again = (json.dumps({"health": [{"service": x}]}) for x in "ab")
+    s = shred_frames(spark.createDataFrame([(5, "s", 1, None, first), (6, "s", 1, None, again)], SCHEMA))
+    assert [r.label for r in s.objects.where("rel = 'health'").collect()] == ["a"] and s.objects.count() == 2
+    assert [r.child_key for r in child_rows(s).collect()] == ["a"]
+
+
+def test_deeper_relations(spark):
+    rels = (Rel("a", "as", None, ("k",)), Rel("b", "bs", "a", ("k",)), Rel("c", "cs", "b", ("k",)), Rel("d", "ds", "c", ()))
+    p = json.dumps({"as": [{"k": 1, "bs": {"k": 2, "cs": [{"k": 3, "ds": ["x", "y"]}]}}]})
+    got = child_rows(shred_frames(spark.createDataFrame([(1, "s", 1, None, p)], SCHEMA), rels=rels), rels).collect()
+    assert {(r.rel, r.parent_key, r.child_key) for r in got} == {("a", "", "1"), ("b", "1", "2"), ("c", "1/2", "3"), ("d", "1/2/3", "x"), ("d", "1/2/3", "y")}
+
+
 def test_hash_covers_subtree():
     one, two = (shred(frame([], [{**INC, "evidence": [{"algorithm": x}]}]))[2] for x in ("scan", "walk"))
     assert [n[4] for n in one if n[2] == "incident"] != [n[4] for n in two if n[2] == "incident"]
