@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +58,23 @@ KEYS = frozenset((*TIME_KEYS, *LEVEL_KEYS, *COMPONENT_KEYS, *MESSAGE_KEYS))
 LAYOUT = frozenset({"<TS>", "<LVL>", "[", "]", "|", "\t", "-", ":", "=", *KEYS})
 
 ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
-TOKEN = re.compile(
-    r"(?P<TS>\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?(?![\w])"
+TIMES = (
+    r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?(?![\w])"
     r"|\d\d/[A-Za-z]{3}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4}"
     r"|(?<!\S)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d \d\d:\d\d:\d\d(?!\S)"
     r"|^\d{10}(?:\.\d{1,9})?(?=\s)"
-    r"|(?<![\w.])\d{13}(?![\w.]))"
-    r'|(?P<QUOTED>"(?:[^"\\]|\\.)*")'
-    r"|(?P<IP>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]))"
-    r"|(?P<WORD>[^\s\[\]|:=\"(){},]+)"
-    r"|(?P<TAB>\t)"
-    r"|(?P<INNER>:(?=\S))"
-    r"|(?P<PUNCT>[\[\]|:=\"(){},])"
+    r"|(?<![\w.])\d{13}(?![\w.])"
+)
+QUOTED = r'"(?:[^"\\]|\\.)*"'
+ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])"
+SIGNS = r"\[\]|:=\"(){},"
+TOKEN = re.compile(
+    rf"(?P<TS>{TIMES})|(?P<QUOTED>{QUOTED})|(?P<IP>{ADDRESS})|(?P<WORD>[^\s{SIGNS}]+)|(?P<TAB>\t)|(?P<INNER>:(?=\S))|(?P<PUNCT>[{SIGNS}])"
 )
+#: The tokens that aren't single words or signs, each to be marked by one character; then a line falls into tokens.
+MARKS = {"TS": "\x01", "QUOTED": "\x02", "IP": "\x03", "INNER": "\x04"}
+MARKED = re.compile(rf"(?<![^\s{SIGNS}])(?:(?P<TS>{TIMES})|(?P<IP>{ADDRESS}))|(?P<QUOTED>{QUOTED})|(?P<INNER>:(?=\S))")
+PIECE = re.compile(rf"[\x01-\x04{SIGNS}\t]|[^\s\x01-\x04{SIGNS}]+")
 HAS_DIGIT = re.compile(r"\d")
 DEPTH, MAX_TEMPLATES, SIMILAR = 3, 4000, 0.6
 #: Tokens in which a core ends, words between a core and the sign that ends the header, and layouts told to the tasks.
@@ -113,6 +118,26 @@ def tokenize(line: str, head: int | None = None) -> tuple[list[str], list[tuple[
     return masked, spans
 
 
+class Masks(dict):
+    """Pieces of a marked line to masked tokens. Emptied when it grows large."""
+
+    def __missing__(self, piece: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        word = "<LVL>" if piece.lower() in LEVEL_OF else "<NUM>" if HAS_DIGIT.search(piece) else piece
+        self[piece] = word = {c: f"<{name}>" for name, c in MARKS.items()}.get(piece, word)
+        return word
+
+
+def shape_of(line: str, masks: Masks) -> tuple[str, ...]:
+    """The masked tokens of a line, as ``tokenize`` has them, without their spans."""
+    pieces = PIECE.findall(MARKED.sub(lambda m: MARKS[m.lastgroup], line))
+    out = [masks[p] for p in pieces]
+    if pieces and pieces[0] in LETTERS and line.startswith(pieces[0]):
+        out[0] = "<LVL>"
+    return tuple(out)
+
+
 def route_of(tokens: list[str]) -> str:
     """Token count and leading tokens, words of any kind alike."""
     return "\x1f".join([str(len(tokens)), *[t if t in LAYOUT or t[0] in "<({" else "<W>" for t in tokens[:DEPTH]]])
@@ -425,13 +450,13 @@ def local_templates(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
     """Each task's template tree: route, part, tokens, n."""
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = TemplateTree()
+        tree, masks = TemplateTree(), Masks()
         for batch in batches:
             shapes: Counter = Counter()
             for value in batch[raw]:
                 line = _clean(value)
                 if line and not line[0].isspace() and line[0] not in "{}":
-                    shapes[tuple(tokenize(line)[0])] += 1
+                    shapes[shape_of(line, masks)] += 1
             for tokens, n in shapes.items():
                 tree.add(tokens, n)
         yield pd.DataFrame(tree.rows(), columns=["route", "tokens", "n"])
@@ -493,8 +518,11 @@ def template_table(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
 
 HEADER, OBJECT = 1, 2
 #: A line of a printed JSON object starts, after its indent, with one of these.
-JSON_STARTS = tuple('{}[]"-0123456789tfn')
-PARSED = "kind int, blank boolean, closes boolean, ts_ms long, level string, component string, msg string"
+JSON_STARTS = frozenset('{}[]"-0123456789tfn')
+PARSED_NAMES = ["stream", "line_no", "raw", "kind", "blank", "closes", "ts_ms", "level", "component", "msg"]
+PARSED_DDL = ["string", "long", "string", "int", "boolean", "boolean", "long", "string", "string", "string"]
+PARSED_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string()]
+NO_FIELDS = (None,) * 4
 
 
 def parse_lines(lines: DataFrame, stream: str = "stream", order: str = "line_no", raw: str = "raw_message") -> DataFrame:
@@ -504,16 +532,16 @@ def parse_lines(lines: DataFrame, stream: str = "stream", order: str = "line_no"
     """
     layouts = layouts_of(merged_templates(local_templates(lines, raw)))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[tuple, FieldMap | None] = {}  # by masked line; emptied when it grows large
         for batch in batches:
-            out = []
-            for st, no, value in zip(batch[stream], batch[order], batch[raw]):
+            kept, kinds, blank, closes, found = [], [], [], [], []
+            for value in batch.column(2).to_pylist():
                 line = _clean(value)
+                body = line.strip()
                 fields, kind = None, 0
-                if line and not line[0].isspace():
+                if body and not line[0].isspace():
                     if line[0] == "{":
-                        body = line.rstrip()
                         if body == "{":
                             kind = OBJECT
                         elif body[-1] == "}":
@@ -522,25 +550,27 @@ def parse_lines(lines: DataFrame, stream: str = "stream", order: str = "line_no"
                             except ValueError:
                                 pass
                     elif line[0] != "}":
-                        tokens, spans = tokenize(line, 2 * CORE)
+                        tokens, spans = tokenize(line, CORE + 8)
                         shape = tuple(tokens)
-                        if tokens[1:2] in (["|"], ["\t"]):  # separators are counted in the whole line
-                            shape = (*shape[:1], *shape[1:2] * (line.count(" | ") if tokens[1] == "|" else line.count("\t")))
+                        if shape[1:2] in (("|",), ("\t",)):  # separators are counted in the whole line
+                            shape = (*shape[:1], *shape[1:2] * (line.count(" | ") if shape[1] == "|" else line.count("\t")))
                         if shape not in maps:
                             if len(maps) > 100_000:
                                 maps.clear()
                             maps[shape] = map_fields(shape, layouts)
                         fm = maps[shape]
                         fields = extract(line, spans, fm) if fm else None
-                kept_raw = value if line and line.lstrip()[:1] in JSON_STARTS else None
-                out.append((st, no, kept_raw, kind if fields is None else HEADER, not line.strip(), line.rstrip() == "}", *(fields or (None,) * 4)))
-            frame = pd.DataFrame(out, columns=["stream", "line_no", "raw", "kind", "blank", "closes", "ts_ms", "level", "component", "msg"])
-            frame["ts_ms"] = frame["ts_ms"].astype("Int64")
-            yield frame
+                kept.append(value if body and body[0] in JSON_STARTS else None)
+                kinds.append(kind if fields is None else HEADER)
+                blank.append(not body)
+                closes.append(line.rstrip() == "}")
+                found.append(fields or NO_FIELDS)
+            columns = [batch.column(0), batch.column(1).cast(pa.int64()), kept, kinds, blank, closes, *(zip(*found) if found else [()] * 4)]
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, PARSED_TYPES)]
+            yield pa.RecordBatch.from_arrays(arrays, names=PARSED_NAMES)
 
-    return lines.select(stream, order, raw).where(F.col(stream).isNotNull() & F.col(order).isNotNull()).mapInPandas(
-        read, f"stream string, line_no long, raw string, {PARSED}"
-    )
+    schema = ", ".join(f"{n} {t}" for n, t in zip(PARSED_NAMES, PARSED_DDL))
+    return lines.select(F.col(stream).cast("string"), order, raw).where(F.col(stream).isNotNull() & F.col(order).isNotNull()).mapInArrow(read, schema)
 
 
 def running_max(df: DataFrame, key: str, order: str, marks: dict[str, tuple[Column, bool]], block: int) -> DataFrame:
@@ -584,36 +614,37 @@ def log_entries(
     close = F.when(F.col("closes"), F.struct(F.col("line_no").alias("at"), "kind"))
     slim = parsed.select("stream", "line_no", "kind", "blank", "closes", "raw")  # the fields wait for the last join
     owned = running_max(slim, "stream", "line_no", {"owner": (mark, False), "closed": (close, True)}, block).where("owner is not null")
-    owned = owned.withColumn("first", F.col("owner.at"))
-    inside = (F.col("owner.kind") == OBJECT) & (F.coalesce(F.col("closed.at"), F.lit(-(2**62))) < F.col("first"))
+    owned = owned.withColumn("first", F.col("owner.at")).withColumn("by", F.col("owner.kind"))
+    inside = (F.col("by") == OBJECT) & (F.coalesce(F.col("closed.at"), F.lit(-(2**62))) < F.col("first"))
     plain = F.regexp_replace(F.coalesce("raw", F.lit("")), ANSI.pattern, "")
     slot = F.regexp_extract(plain, r'^(\s*"(?:' + "|".join(TIME_KEYS + LEVEL_KEYS + COMPONENT_KEYS + MESSAGE_KEYS) + r')")\s*:', 1)
-    slot = F.when(F.col("line_no") >= F.col("first") + max_object_lines, slot)
-    picked = owned.where(inside).select("stream", "first", slot.alias("slot"), F.struct("line_no", "raw").alias("line")).where("slot is null or slot != ''")
-    slots = picked.repartition("stream", "first").groupBy("stream", "first", "slot")  # both aggregates in one shuffle
-    slots = slots.agg(F.collect_list(F.when(F.col("slot").isNull(), F.col("line"))).alias("early"), F.max("line").alias("last"))
-    slots = slots.select("stream", "first", F.when(F.col("slot").isNull(), F.col("early")).otherwise(F.array("last")).alias("lines"))
+    late = F.col("line_no") >= F.col("first") + max_object_lines
+    picked = owned.select(
+        "stream", "first", "by", F.when(inside & late, slot).alias("slot"),
+        F.when(inside, F.struct("line_no", "raw")).alias("line"), F.when(~F.col("blank"), F.col("line_no")).alias("full"),
+    )
+    early = F.collect_list(F.when(F.col("slot").isNull(), F.col("line"))).alias("early")
+    slots = picked.groupBy("stream", "first", "by", "slot").agg(early, F.max(F.when(F.col("slot") != "", F.col("line"))).alias("late"), F.max("full").alias("last"))
     text = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("lines"))), lambda s: F.coalesce(s["raw"], F.lit(""))), "\n")
-    objects = slots.groupBy("stream", "first").agg(text.alias("text"))
+    lines_of = F.when(F.col("slot").isNull(), F.col("early")).otherwise(F.array_compact(F.array("late"))).alias("lines")
+    parts = slots.select("stream", "first", "by", lines_of, "last").groupBy("stream", "first", "by").agg(text.alias("text"), F.max("last").alias("last"))
 
     @F.pandas_udf("ok boolean, ts_ms long, level string, component string, msg string")
     def read_object(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            found = from_text("\n".join(_clean(x) for x in t.split("\n")))
-            rows.append((found is not None, *(found or (None,) * 4)))
+            found = from_text("\n".join(_clean(x) for x in t.split("\n"))) if t else None
+            rows.append((found is not None, *(found or NO_FIELDS)))
         frame = pd.DataFrame(rows, columns=["ok", "ts_ms", "level", "component", "msg"])
         frame["ts_ms"] = frame["ts_ms"].astype("Int64")
         return frame
 
     fields = ("ts_ms", "level", "component", "msg")
-    objects = objects.select("stream", "first", read_object("text").alias("o")).where("o.ok").select("stream", "first", *[f"o.{f}" for f in fields])
-    heads = parsed.where(F.col("kind") == HEADER).select("stream", F.col("line_no").alias("first"), *fields).unionByName(objects)
-    heads = materialise(heads, "heads")
-    parts = owned.groupBy("stream", "first").agg(F.max(F.when(~F.col("blank"), F.col("line_no"))).alias("last"))
-    parts = materialise(parts.join(heads.select("stream", "first", F.lit(True).alias("valid")), ["stream", "first"], "left"), "parts")
+    parts = parts.select("stream", "first", "by", "last", read_object(F.when(F.col("by") == OBJECT, F.col("text"))).alias("o"))
+    parts = materialise(parts.withColumn("valid", (F.col("by") == HEADER) | F.col("o.ok")), "parts")
     entry = running_max(parts, "stream", "first", {"entry": (F.when(F.col("valid"), F.col("first")), False)}, block).where("entry is not null")
-    spans = entry.groupBy("stream", "entry").agg(F.max("last").alias("last_line_no"))
-    return spans.join(heads, (spans["stream"] == heads["stream"]) & (spans["entry"] == heads["first"])).select(
-        heads["stream"], F.col("first").alias("first_line_no"), "last_line_no", *fields
-    )
+    object_of = F.max(F.when((F.col("by") == OBJECT) & (F.col("first") == F.col("entry")), F.col("o"))).alias("o")
+    spans = entry.groupBy("stream", "entry").agg(F.max("last").alias("last_line_no"), object_of)
+    heads = parsed.where(F.col("kind") == HEADER).select(F.col("stream").alias("s"), F.col("line_no").alias("n"), *[F.col(f).alias(f"h_{f}") for f in fields])
+    both = spans.join(heads, (F.col("stream") == F.col("s")) & (F.col("entry") == F.col("n")), "left")
+    return both.select("stream", F.col("entry").alias("first_line_no"), "last_line_no", *[F.when(F.col("o").isNull(), F.col(f"h_{f}")).otherwise(F.col(f"o.{f}")).alias(f) for f in fields])

@@ -100,6 +100,14 @@ def test_layouts_are_learned_from_their_lines(spark, layout):
     assert {g[3] for g in got} == {None if layout.startswith("{ts} host") else 1646870400000}
 
 
+def test_shapes_are_the_masked_tokens(sf):
+    import pyarrow.parquet as pq
+
+    masks = L.Masks()
+    lines = [*LINES, *pq.read_table(f"{sf}/raw_lines.parquet")["raw_message"].to_pylist(), 'a="x\\" y"z 1.2.3.4:80 (b)', "Mar  1 00:00:00 h a[1]: x:y", "1646870400 I z", "I x"]
+    assert all(L.shape_of(x, masks) == tuple(L.tokenize(x)[0]) for x in map(L._clean, lines))
+
+
 def test_access_log(spark):
     lines = [f'192.0.2.{i} - - [10/Mar/2022:00:00:0{i} +0000] "GET /x HTTP/1.1" 200 {i}' for i in range(5)] + ["10.0.0.1 - - is no time"]
     got = entries(spark, [("s", i, x) for i, x in enumerate(lines)])
