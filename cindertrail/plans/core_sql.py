@@ -58,3 +58,77 @@ def _typed(name: str, kind: str) -> str:
 
 
 SQL["p3_wide"] = f"SELECT event_id, {', '.join(_typed(*a) for a in _ATTRIBUTES)} FROM ({_CELLS}) GROUP BY event_id"
+
+_FIELD = r'("([^"]|"")*"|[^",]*)'
+_NAMES = ("timestamp", "level", "service", "ipAddress", "httpMethod", "endpoint", "statusCode", "responseTime", "requestId", "userId", "message")
+
+
+def _json(name: str) -> str:
+    """A member as text: strings as they are, numbers and booleans as written, objects and lists empty, null if absent."""
+    at = f"json_extract(j, '$.{name}')"
+    return f"CASE json_type({at}) WHEN 'VARCHAR' THEN json_extract_string(j, '$.{name}') WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN '' WHEN 'ARRAY' THEN '' ELSE cast({at} AS VARCHAR) END"
+
+
+def _number(name: str, i: int) -> str:
+    """A whole number of either kind of record; 0 if a JSON record leaves it out, null if it is none."""
+    at = f"json_extract(j, '$.{name}')"
+    return f"""CASE WHEN k <> 'jsonl' THEN CASE WHEN regexp_full_match(f[{i}], '[+-]?\\d{{1,38}}') THEN try_cast(f[{i}] AS HUGEINT) END
+  WHEN coalesce(json_type({at}), 'NULL') = 'NULL' THEN 0 WHEN json_type({at}) IN ('UBIGINT', 'BIGINT') THEN try_cast(cast({at} AS VARCHAR) AS HUGEINT) END"""
+
+
+_OTHERS = ", ".join(f"'{n}'" for n in _NAMES)
+_IMPORT = f"""
+WITH r AS (SELECT row_id, batch, row_no, regexp_replace(coalesce(raw_message, ''), '^\\s+|\\s+$', '', 'g') AS t,
+  CASE WHEN suffix(batch, '.txt') THEN 'txt' WHEN suffix(batch, '.csv') THEN 'csv' WHEN suffix(batch, '.jsonl') THEN 'jsonl' END AS k FROM import_rows),
+o AS (SELECT *, CASE WHEN k = 'jsonl' AND json_valid(t) THEN CASE WHEN json_type(t) = 'OBJECT' THEN t::JSON END END AS j,
+  k = 'csv' AND NOT regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS torn FROM r),
+p AS (SELECT *, CASE WHEN k = 'txt' THEN string_split(t, ' | ')
+  WHEN k = 'csv' AND NOT torn THEN list_transform(regexp_extract_all(',' || t, '(?s),{_FIELD}', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END)
+  WHEN j IS NOT NULL THEN [{", ".join(_json(n) for n in _NAMES)}] END AS f FROM o),
+v AS (SELECT *, CASE WHEN (k <> 'jsonl' OR json_type(json_extract(j, '$.timestamp')) = 'VARCHAR') AND regexp_full_match(f[1], '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?Z')
+  THEN try_strptime(f[1][1:19], '%Y-%m-%dT%H:%M:%S') END AS inst, upper(trim(f[2])) AS lv, upper(trim(f[5])) AS me, {_number("statusCode", 7)} AS st, {_number("responseTime", 8)} AS la FROM p),
+d AS (SELECT *, CASE WHEN k IS NULL THEN 'format' WHEN k = 'jsonl' AND j IS NULL THEN 'json' WHEN torn THEN 'quoting' WHEN len(f) <> 11 THEN 'columns' WHEN inst IS NULL THEN 'timestamp'
+  WHEN (k <> 'jsonl' OR lv IS NOT NULL) AND lv NOT IN ('TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL') THEN 'level'
+  WHEN (k <> 'jsonl' OR me IS NOT NULL) AND me NOT IN ('GET', 'POST', 'PUT', 'DELETE', 'PATCH') THEN 'method'
+  WHEN st IS NULL OR NOT (st = 0 OR st BETWEEN 100 AND 599) THEN 'status' WHEN la IS NULL OR NOT la BETWEEN 0 AND 9223372036854775807 THEN 'latency'
+  WHEN trim(coalesce(f[11], ''), E' \t\n\r') = '' THEN 'message' END AS reason FROM v)"""
+SQL["p5_found"] = f"{_IMPORT} SELECT row_id, reason FROM d WHERE reason IS NOT NULL"
+SQL["p5_report"] = f"{_IMPORT} SELECT batch, count(*) AS rows, count(reason) AS rejected, count(reason) / count(*) AS reject_share FROM d GROUP BY batch"
+SQL["p5_loaded"] = f"""{_IMPORT}
+SELECT row_id, batch, row_no, inst + to_microseconds(cast(rpad(regexp_extract(f[1], '\\.(\\d{{1,6}})', 1), 6, '0') AS BIGINT)) AS ts, lv AS level, f[3] AS service, f[4] AS ip, me AS http_method,
+  f[6] AS endpoint, cast(st AS INTEGER) AS status, cast(la AS BIGINT) AS response_ms, f[9] AS request_id, nullif(f[10], '-') AS user_id, f[11] AS message,
+  CASE WHEN len(list_filter(json_keys(j), lambda x: x NOT IN ({_OTHERS}))) > 0 THEN '{{' || list_aggregate(list_transform(list_sort(list_filter(json_keys(j), lambda x: x NOT IN ({_OTHERS}))),
+    lambda x: '"' || x || '": ' || cast(json_extract(j, '$."' || x || '"') AS VARCHAR)), 'string_agg', ', ') || '}}' END AS attributes
+FROM d WHERE reason IS NULL"""
+
+
+def _unwrapped(v: str) -> str:
+    """JSON text inside a string as the value it denotes."""
+    text = f"json_extract_string({v}, '$')"
+    return f"CASE WHEN json_type({v}) = 'VARCHAR' AND regexp_matches({text}, '^\\s*[\\[{{{{]') AND json_valid({text}) THEN {text}::JSON ELSE {v} END".replace("{{", "{")
+
+
+def _kids(name: str, above: str, member: str, labels: tuple[str, ...]) -> str:
+    """CTEs of a relation's children: name(session_id, seq, path, parent_key, child_key, v), one per element of ``member``."""
+    own = " OR ".join(f"json_exists(u, '$.{x}')" for x in labels) or "true"
+    one = [f"coalesce(CASE WHEN json_exists(v, '$.{x}') THEN coalesce(json_extract_string(v, '$.{x}'), '') END, k, '')" for x in labels]
+    key = " || '>' || ".join(one) if one else "json_extract_string(v, '$')"
+    return f"""
+{name}_u AS (SELECT session_id, seq, path, {_unwrapped(member)} AS u FROM {above}),
+{name}_e AS (SELECT session_id, seq, path, unnest(CASE json_type(u) WHEN 'ARRAY' THEN list_transform(json_extract(u, '$[*]'), lambda x: struct_pack(k := NULL::VARCHAR, v := x))
+  WHEN 'OBJECT' THEN CASE WHEN {own} THEN [struct_pack(k := NULL::VARCHAR, v := u)] ELSE list_transform(json_keys(u), lambda x: struct_pack(k := x, v := json_extract(u, '$."' || x || '"'))) END
+  WHEN 'NULL' THEN [] ELSE CASE WHEN u::VARCHAR <> '""' THEN [struct_pack(k := NULL::VARCHAR, v := u)] END END, recursive := true) FROM {name}_u WHERE u IS NOT NULL),
+{name}_v AS (SELECT session_id, seq, path, k, {_unwrapped("v")} AS v FROM {name}_e),
+{name}_k AS (SELECT session_id, seq, path AS parent_key, CASE WHEN json_type(v) = 'OBJECT' THEN {key} ELSE json_extract_string(v, '$') END AS child_key, v FROM {name}_v WHERE json_type(v) <> 'NULL'),
+{name} AS (SELECT *, CASE WHEN parent_key = '' THEN child_key ELSE parent_key || '/' || child_key END AS path FROM {name}_k)"""
+
+
+_FRAMES = f"""
+WITH readable AS (SELECT session_id, seq, frame_id, payload::JSON AS j FROM sim_frames WHERE CASE WHEN json_valid(payload) THEN json_type(payload) END = 'OBJECT'),
+frame AS (SELECT session_id, seq, '' AS path, arg_min(j, frame_id) AS v FROM readable GROUP BY session_id, seq),
+topology AS (SELECT session_id, seq, path, {_unwrapped("json_extract(v, '$.topology')")} AS v FROM frame),
+{_kids("health", "frame", "json_extract(v, '$.health')", ("service",))}, {_kids("incident", "frame", "json_extract(v, '$.incidents')", ("id",))},
+{_kids("node", "topology", "json_extract(v, '$.nodes')", ("id",))}, {_kids("edge", "topology", "json_extract(v, '$.edges')", ("source", "target"))},
+{_kids("evidence", "incident", "json_extract(v, '$.evidence')", ("algorithm",))}, {_kids("reference", "evidence", "json_extract(v, '$.references')", ())}"""
+_RELS = ("health", "incident", "evidence", "reference", "node", "edge")
+SQL["p2_found"] = _FRAMES + " UNION ALL ".join(f"\nSELECT '{r}' AS rel, session_id, seq, parent_key, child_key FROM {r}" for r in _RELS)
