@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,13 +108,10 @@ def name_of(value, rel: Rel) -> str:
     return text(value)
 
 
-def digest(*parts: str | bytes) -> bytes:
-    h = hashlib.blake2b(digest_size=16)
-    for p in parts:
-        raw = p if isinstance(p, bytes) else p.encode("utf-8", "surrogatepass")
-        h.update(len(raw).to_bytes(8, "big"))
-        h.update(raw)
-    return h.digest()
+def digest(kind: str, body: str, below: list[bytes]) -> bytes:
+    """Identity of a subtree: its kind, its own fields and the identities of its children."""
+    raw = body.encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(b"%s %d %s%s" % (kind.encode(), len(raw), raw, b"".join(below)), digest_size=16).digest()
 
 
 def shred(payload: str | None, rels: tuple[Rel, ...] = FRAME_RELS):
@@ -130,13 +127,14 @@ def shred(payload: str | None, rels: tuple[Rel, ...] = FRAME_RELS):
     if not isinstance(record, dict):
         return None
     nodes: list[list] = []
+    under: dict[str | None, list[Rel]] = {}
+    for rel in rels:
+        under.setdefault(rel.parent, []).append(rel)
 
     def visit(owner: dict, owner_rel: str | None, occ: int) -> tuple[list[bytes], set[str]]:
         hashes: list[bytes] = []
         taken: set[str] = set()
-        for rel in rels:
-            if rel.parent != owner_rel:
-                continue
+        for rel in under[owner_rel]:
             holder = owner
             if rel.inside is not None:
                 holder = unwrap(owner.get(rel.inside))
@@ -144,29 +142,41 @@ def shred(payload: str | None, rels: tuple[Rel, ...] = FRAME_RELS):
             taken.add(rel.member)
             if not isinstance(holder, dict):
                 continue
+            inner_rels = rel.name in under
             for ordinal, child in enumerate(children(holder.get(rel.member), rel.label)):
                 own = len(nodes) + 1
                 node = [own, occ, rel.name, ordinal, b"", name_of(child, rel), ""]
                 nodes.append(node)
                 below: list[bytes] = []
                 body = child
-                if isinstance(child, dict):
+                if inner_rels and isinstance(child, dict):
                     below, inner = visit(child, rel.name, own)
                     body = {k: v for k, v in child.items() if k not in inner}
                 node[6] = canonical(body)
-                node[4] = digest(rel.name, node[6], *below)
+                node[4] = digest(rel.name, node[6], below)
                 hashes.append(node[4])
         return hashes, taken
 
-    below, taken = visit(record, None, 0)
+    below, taken = visit(record, None, 0) if None in under else ([], set())
     root_body = canonical({k: v for k, v in record.items() if k not in taken})
-    return digest("record", root_body, *below), root_body, nodes
+    return digest("record", root_body, below), root_body, nodes
 
 
 NODE = "struct<occ:int,parent_occ:int,rel:string,ordinal:int,hash:binary,label:string>"
 OBJECT = "struct<hash:binary,rel:string,label:string,body:string>"
 
 
+NODE_TYPES = {"occ": pa.int32(), "parent_occ": pa.int32(), "rel": pa.string(), "ordinal": pa.int32(), "hash": pa.binary(), "label": pa.string()}
+OBJECT_TYPES = {"hash": pa.binary(), "rel": pa.string(), "label": pa.string(), "body": pa.string()}
+
+
+def _structs(sizes: list[int], rows: list[list], types: dict[str, pa.DataType]) -> pa.ListArray:
+    """Rows as lists of structs; list i holds the rows up to ``sizes[i + 1]``."""
+    columns = zip(*rows) if rows else [()] * len(types)
+    flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+
+
 @dataclass
 class Shredded:
     """frames(<keys>, hash, nodes): the records that stand, with their bridge rows in order of ``occ``.
@@ -208,26 +218,35 @@ def shred_frames(
     the object table is wanted.
     """
     kinds = dict(frames.dtypes)
-    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    names = [*keys, "version", "hash", "nodes", *(["fresh"] if objects else [])]
+    types = [*(kinds[c] for c in (*keys, version)), "binary", f"array<{NODE}>", f"array<{OBJECT}>"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, told = [], set()  # an object is told once a batch
-            for *key, ver, raw in batch.itertuples(index=False, name=None):
-                if (found := shred(raw if isinstance(raw, str) else None, rels)) is not None:
-                    root, body, nodes = found
-                    fresh = []
-                    if objects:
-                        fresh = [(n[4], n[2], n[5], n[6]) for n in nodes] + [(root, "record", "", body)]
-                        fresh = [o for o in {o[0]: o for o in fresh}.values() if o[0] not in told]
-                        told.update(o[0] for o in fresh)
-                    out.append((*key, ver, root, [tuple(n[:6]) for n in nodes], fresh))
-            yield pd.DataFrame(out, columns=[*keys, "version", "hash", "nodes", "fresh"])
-
-    parsed = frames.select(*keys, F.col(version).alias("version"), payload).mapInPandas(
-        read, f"{key_schema}, version {kinds[version]}, hash binary, nodes array<{NODE}>, fresh array<{OBJECT}>"
-    )
-    parsed = materialise(parsed if objects else parsed.drop("fresh"), "frames")
+            at, roots, sizes, nodes = [], [], [0], []
+            told, fresh, fresh_sizes = set(), [], [0]  # an object is told once a batch
+            for i, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if (found := shred(raw if isinstance(raw, str) else None, rels)) is None:
+                    continue
+                root, body, mine = found
+                at.append(i)
+                roots.append(root)
+                nodes += mine
+                sizes.append(len(nodes))
+                if objects:
+                    for o in ([root, "record", "", body], *([n[4], n[2], n[5], n[6]] for n in mine)):
+                        if o[0] not in told:
+                            told.add(o[0])
+                            fresh.append(o)
+                    fresh_sizes.append(len(fresh))
+            head = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+            out = [*head, pa.array(roots, pa.binary()), _structs(sizes, [n[:6] for n in nodes], NODE_TYPES)]
+            if objects:
+                out.append(_structs(fresh_sizes, fresh, OBJECT_TYPES))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    parsed = frames.select(*keys, F.col(version).alias("version"), payload).mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
+    parsed = materialise(parsed, "frames")
     stands = parsed.groupBy(*keys).agg(F.min("version").alias("version"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "version")]
     kept = parsed.select(*keys, "version", "hash", "nodes").alias("a").join(stands.alias("b"), same, "left_semi")
