@@ -72,6 +72,19 @@ def bounded_cover(edges: Sequence[tuple[int, int]], k: int) -> list[int] | None:
     return None
 
 
+def smallest_cover(edges: Sequence[tuple[int, int]], least: int, size: int, most: int = 20) -> int | None:
+    """The size of a smallest cover, known to lie in least..size; None if it takes a search over more than ``most`` vertices."""
+    for k in range(least, size + 1):
+        reduced = kernel(edges, k)
+        if reduced is None:
+            continue
+        if reduced[2] > most and reduced[1]:
+            return None
+        if bounded_cover(reduced[1], reduced[2]) is not None:
+            return k
+    return size
+
+
 def complement_edges(n: int, edges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     have = {(min(e), max(e)) for e in edges}
     return [(u, v) for u in range(n) for v in range(u + 1, n) if (u, v) not in have]

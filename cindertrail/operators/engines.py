@@ -133,6 +133,18 @@ def distributed_suffix_ranks(chars: DataFrame) -> DataFrame:
 # --- instances ---------------------------------------------------------------------------
 
 
+def per_instance_rows(rows: DataFrame, key: str, fn: Callable[[pd.DataFrame], list[tuple]], schema: str, limit: int = MAX_EDGES) -> DataFrame:
+    """The rows ``fn`` makes of each instance's rows, which must be at most ``limit``."""
+    names = [c.split()[0].strip("`") for c in schema.split(",")]
+
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > limit:
+            raise ValueError(f"instance {k[0]} has {len(pdf)} rows, at most {limit} are taken")
+        return pd.DataFrame([(k[0], *r) for r in fn(pdf)], columns=[key, *names])
+
+    return rows.groupBy(key).applyInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, {schema}")
+
+
 def per_instance(rows: DataFrame, key: str, fn: Callable[[pd.DataFrame], dict], schema: str, limit: int = MAX_EDGES) -> DataFrame:
     """One result row per instance: ``fn`` of its rows, which must be at most ``limit``."""
     names = [c.split()[0].strip("`") for c in schema.split(",")]
@@ -166,13 +178,37 @@ def max_flows(edges: DataFrame, key: str, source: str, sink: str, method: str =
     return per_instance(edges, key, run, "max_flow long, rounds int, vertices int")
 
 
+def flow_edges(edges: DataFrame, key: str, source: str, sink: str, method: str = "dinic") -> DataFrame:
+    """key, source, target, capacity, flow, residual of every edge under a largest flow."""
+
+    def run(pdf: pd.DataFrame) -> list[tuple]:
+        names, at = _vertices(pdf, source, sink)
+        arcs = _edges(pdf, at)
+        _, _, net = flows.max_flow(len(names), arcs, at[source], at[sink], method)
+        return [(names[u], names[v], c, net.flow(k), c - net.flow(k)) for k, (u, v, c) in enumerate(arcs)]
+
+    return per_instance_rows(edges, key, run, "source string, target string, capacity long, flow long, residual long")
+
+
+def flow_balance(edge_flows: DataFrame, key: str) -> DataFrame:
+    """key, service, net (what leaves less what enters), over_capacity (edges with a flow outside 0..capacity)."""
+    over = F.when((F.col("flow") < 0) | (F.col("flow") > F.col("capacity")), 1).otherwise(0).cast("long")
+    out = edge_flows.select(key, F.col("source").alias("service"), F.col("flow").alias("net"), over.alias("over"))
+    into = edge_flows.select(key, F.col("target").alias("service"), (-F.col("flow")).alias("net"), F.lit(0).cast("long").alias("over"))
+    return out.unionByName(into).groupBy(key, "service").agg(F.sum("net").alias("net"), F.sum("over").alias("over_capacity"))
+
+
 def min_cuts(edges: DataFrame, key: str, source: str, sink: str) -> DataFrame:
+    """key, capacity, source_side, crossing (edges as source>target) of the least cut with the smallest source side."""
+
     def run(pdf: pd.DataFrame) -> dict:
         names, at = _vertices(pdf, source, sink)
-        value, side, crossing = flows.min_cut(len(names), _edges(pdf, at), at[source], at[sink])
-        return {"capacity": value, "source_side": ",".join(names[i] for i in sorted(side)), "crossing": len(crossing)}
+        arcs = _edges(pdf, at)
+        value, side, crossing = flows.min_cut(len(names), arcs, at[source], at[sink])
+        cut = ",".join(f"{names[arcs[k][0]]}>{names[arcs[k][1]]}" for k in crossing)
+        return {"capacity": value, "source_side": ",".join(names[i] for i in sorted(side)), "crossing": cut}
 
-    return per_instance(edges, key, run, "capacity long, source_side string, crossing int")
+    return per_instance(edges, key, run, "capacity long, source_side string, crossing string")
 
 
 def min_cost_flows(edges: DataFrame, key: str, source: str, sink: str) -> DataFrame:
@@ -188,32 +224,43 @@ def min_cost_flows(edges: DataFrame, key: str, source: str, sink: str) -> DataFr
     return per_instance(edges, key, run, "max_flow long, cost long")
 
 
-def matchings(edges: DataFrame, key: str) -> DataFrame:
-    """key, matched, left, right: a largest matching between sources and targets."""
+def matching_pairs(edges: DataFrame, key: str) -> DataFrame:
+    """key, source, target: a largest matching between sources and targets; unmatched ones with a null partner."""
 
-    def run(pdf: pd.DataFrame) -> dict:
+    def run(pdf: pd.DataFrame) -> list[tuple]:
         left, right = sorted(set(pdf["source"])), sorted(set(pdf["target"]))
         pairs = flows.matching(left, right, list(zip(pdf["source"], pdf["target"])))
-        return {"matched": len(pairs), "left": len(left), "right": len(right)}
+        alone = [(x, None) for x in sorted(set(left) - {a for a, _ in pairs})] + [(None, y) for y in sorted(set(right) - {b for _, b in pairs})]
+        return [*pairs, *alone]
+
+    return per_instance_rows(edges, key, run, "source string, target string")
+
+
+def matchings(edges: DataFrame, key: str) -> DataFrame:
+    """key, matched, unmatched_left, unmatched_right of a largest matching between sources and targets."""
+    both = F.col("source").isNotNull() & F.col("target").isNotNull()
+    counts = {"matched": both, "unmatched_left": F.col("target").isNull(), "unmatched_right": F.col("source").isNull()}
+    return matching_pairs(edges, key).groupBy(key).agg(*[F.count_if(c).cast("int").alias(n) for n, c in counts.items()])
 
-    return per_instance(edges, key, run, "matched int, left int, right int")
 
+def vertex_covers(edges: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """key, cover, size, matched, kernel_forced, smallest: 2-approximate cover, what the kernel rules force for its size, and the least size.
 
-def vertex_covers(edges: DataFrame, key: str) -> DataFrame:
-    """key, cover, size, matched, kernel_forced: 2-approximate cover and what the kernel rules force for its size."""
+    The least size is searched from the number of matched edges up to ``most`` vertices beyond what
+    the kernel forces (the search doubles with each); null if it lies beyond.
+    """
 
     def run(pdf: pd.DataFrame) -> dict:
         names, at = _vertices(pdf)
         e = [(u, v) for u, v, _ in _edges(pdf, at)]
-        cover = covers.vertex_cover(e)
+        cover, matched = covers.vertex_cover(e), covers.matched_edges(e)
         reduced = covers.kernel(e, len(cover))
-        exact = covers.bounded_cover(e, len(cover)) if len(names) <= 18 else None
         return {
-            "cover": ",".join(names[i] for i in cover), "size": len(cover), "matched": len(covers.matched_edges(e)),
-            "kernel_forced": len(reduced[0]) if reduced else -1, "bounded": len(exact) if exact is not None else -1,
+            "cover": ",".join(names[i] for i in cover), "size": len(cover), "matched": len(matched),
+            "kernel_forced": len(reduced[0]) if reduced else -1, "smallest": covers.smallest_cover(e, len(matched), len(cover), most),
         }
 
-    return per_instance(edges, key, run, "cover string, size int, matched int, kernel_forced int, bounded int", 20_000)
+    return per_instance(edges, key, run, "cover string, size int, matched int, kernel_forced int, smallest int", 20_000)
 
 
 def set_covers(members: DataFrame, key: str) -> DataFrame:
@@ -282,11 +329,20 @@ def hamiltonian_paths(edges: DataFrame, key: str) -> DataFrame:
     return per_instance(edges, key, run, "found boolean, path string", 400)
 
 
+def _tree(pdf: pd.DataFrame) -> dynamic.Tree:
+    return dynamic.Tree(len(pdf), [(int(p), int(v), int(w)) for v, p, w in zip(pdf["node"], pdf["parent"], pdf["weight"]) if p >= 0])
+
+
+def tree_distance_sums(rows: DataFrame, key: str) -> DataFrame:
+    """key, node, distance_sum: per node the sum of distances to all others."""
+    return per_instance_rows(rows, key, lambda pdf: list(enumerate(_tree(pdf).distance_sums())), "node int, distance_sum long")
+
+
 def trees(rows: DataFrame, key: str) -> DataFrame:
     """key, vertices, diameter, best_sum, centroids, subset_sums of trees given by (node, parent, weight); the root's parent is -1."""
 
     def run(pdf: pd.DataFrame) -> dict:
-        t = dynamic.Tree(len(pdf), [(int(p), int(v), int(w)) for v, p, w in zip(pdf["node"], pdf["parent"], pdf["weight"]) if p >= 0])
+        t = _tree(pdf)
         length, a, b = t.diameter()
         sums = t.distance_sums()
         return {"vertices": t.n, "diameter": length, "end_a": a, "end_b": b, "least_sum": min(sums), "centroids": ",".join(map(str, t.centroids()))}

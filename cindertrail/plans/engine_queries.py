@@ -108,16 +108,20 @@ QUERIES = {
     "max_flow_dinic": lambda s, d: E.max_flows(day_edges(s, d), "day", SOURCE, SINK).select("day", "max_flow"),
     "max_flow_edmonds_karp": lambda s, d: E.max_flows(day_edges(s, d), "day", SOURCE, SINK, "edmonds-karp").select("day", "max_flow"),
     "max_flow_ford_fulkerson": lambda s, d: E.max_flows(day_edges(s, d), "day", SOURCE, SINK, "ford-fulkerson").select("day", "max_flow"),
-    "min_cut": lambda s, d: E.min_cuts(day_edges(s, d), "day", SOURCE, SINK).select("day", "capacity"),
+    "min_cut": lambda s, d: E.min_cuts(day_edges(s, d), "day", SOURCE, SINK),
+    "flow_edges": lambda s, d: E.flow_edges(day_edges(s, d), "day", SOURCE, SINK),
+    "flow_balance": lambda s, d: E.flow_balance(E.flow_edges(day_edges(s, d), "day", SOURCE, SINK), "day"),
     "min_cost_flow": lambda s, d: E.min_cost_flows(day_costs(s, d), "day", SOURCE, SINK),
     "bipartite_matching": lambda s, d: E.matchings(host_endpoints(s, d), "service"),
+    "matching_pairs": lambda s, d: E.matching_pairs(host_endpoints(s, d), "service"),
     "vertex_cover": lambda s, d: E.vertex_covers(day_edges(s, d), "day"),
     "set_cover": lambda s, d: E.set_covers(host_endpoints(s, d).select("service", F.col("source").alias("set"), F.col("target").alias("item")), "service"),
     "matrix_chain": lambda s, d: E.matrix_chains(hourly(s, d), "service"),
     "optimal_bst": lambda s, d: E.search_trees(hourly(s, d), "service"),
-    "tsp": lambda s, d: E.tours(nation_distances(s, d), "region").select("region", "length"),
+    "tsp": lambda s, d: E.tours(nation_distances(s, d), "region"),
     "hamiltonian_path": lambda s, d: E.hamiltonian_paths(day_edges(s, d), "day"),
-    "tree_metrics": lambda s, d: E.trees(supplier_trees(s, d), "nation").select("nation", "vertices", "diameter", "least_sum"),
+    "tree_metrics": lambda s, d: E.trees(supplier_trees(s, d), "nation"),
+    "tree_distance_sums": lambda s, d: E.tree_distance_sums(supplier_trees(s, d), "nation"),
     "sum_over_subsets": lambda s, d: E.subset_sums_joined(_subset_values(s, d), 7),
     "knapsack": lambda s, d: E.knapsacks(part_items(s, d), "brand"),
     "primes": lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("n")).where(E.prime("n")),

@@ -37,6 +37,124 @@ SELECT n_regionkey AS region, n_name AS name, avg(c_acctbal) AS b FROM nation JO
 _SUPPLIERS = """
 SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS node, cast(round(abs(s_acctbal) * 100) AS BIGINT) AS weight FROM supplier"""
 
+
+def _edits(name: str, insert: int, delete: int, substitute: int, swaps: bool) -> str:
+    """Edit costs row by row; what is inserted along a row is a running minimum."""
+    swap = "CASE WHEN i >= 1 AND j > 1 AND x[i + 1] = y[j - 1] AND x[i] = y[j] THEN prev[j - 1] + 1 ELSE 1000000000 END" if swaps else "1000000000"
+    return f"""
+WITH RECURSIVE p AS (SELECT level, a, b, string_split(a, '') AS x, string_split(b, '') AS y FROM ({_TEMPLATES})),
+r AS (SELECT level, a, b, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: j * {insert}) AS cur, []::BIGINT[] AS prev FROM p
+  UNION ALL SELECT level, a, b, x, y, i, list_transform(range(0, len(y) + 1), lambda j: {insert} * j + list_min(list_transform(range(0, j + 1), lambda k: cand[k + 1] - {insert} * k))), old
+  FROM (SELECT level, a, b, x, y, i + 1 AS i, cur AS old, list_transform(range(0, len(y) + 1), lambda j: CASE WHEN j = 0 THEN cur[1] + {delete}
+    ELSE least(cur[j + 1] + {delete}, cur[j] + CASE WHEN x[i + 1] = y[j] THEN 0 ELSE {substitute} END, {swap}) END) AS cand FROM r WHERE i < len(x)))
+SELECT level, a, b, cast(cur[len(y) + 1] AS INTEGER) AS {name} FROM r WHERE i = len(x)"""
+
+
+def _alignments(local: bool) -> str:
+    """Alignment scores row by row, then the way back: diagonal first, then a gap in b, then one in a."""
+    edge, floor = ("0", "greatest(0, {})") if local else ("-(i + 1)", "{}")
+    step = floor.format("CASE WHEN j = 0 THEN " + edge + " ELSE greatest(cur[j + 1] - 1, cur[j] + CASE WHEN x[i + 1] = y[j] THEN 1 ELSE -1 END) END")
+    first = "list_transform(range(0, len(y) + 1), lambda j: {})".format("0::BIGINT" if local else "-j")
+    end = "arg_min(c, (-s, i, j))" if local else "max(c) FILTER (i = len(x) AND j = len(y))"
+    stop = "AND c.cur[w.j + 1] <> 0" if local else ""
+    return f"""
+WITH RECURSIVE p AS (SELECT level, a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM ({_TEMPLATES})),
+r AS (SELECT level, a, b, x, y, 0 AS i, {first} AS cur FROM p
+  UNION ALL SELECT level, a, b, x, y, i, list_transform(range(0, len(y) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: cand[k + 1] + k)) - j)
+  FROM (SELECT level, a, b, x, y, i + 1 AS i, list_transform(range(0, len(y) + 1), lambda j: {step}) AS cand FROM r WHERE i < len(x))),
+cell AS (SELECT level, a, b, x, y, i, j, cur[j + 1] AS s, (cur[j + 1], i, j) AS c FROM (SELECT *, unnest(range(0, len(y) + 1)) AS j FROM r)),
+ends AS (SELECT level, a, b, {end} AS c FROM cell GROUP BY ALL),
+w AS (SELECT level, a, b, c[2] AS i, c[3] AS j, 0 AS n, 0 AS same, 0 AS gaps FROM ends
+  UNION ALL SELECT level, a, b, i - (move <> 3)::INT, j - (move <> 2)::INT, n + 1, same + (move = 1 AND x[i] = y[j])::INT, gaps + (move <> 1)::INT FROM (
+    SELECT w.*, c.x, c.y, CASE WHEN w.i > 0 AND w.j > 0 AND c.cur[w.j + 1] = u.cur[w.j] + CASE WHEN c.x[w.i] = c.y[w.j] THEN 1 ELSE -1 END THEN 1
+      WHEN w.i > 0 AND c.cur[w.j + 1] = u.cur[w.j + 1] - 1 THEN 2 ELSE 3 END AS move
+    FROM w JOIN r c ON c.level = w.level AND c.a = w.a AND c.b = w.b AND c.i = w.i LEFT JOIN r u ON u.level = w.level AND u.a = w.a AND u.b = w.b AND u.i = w.i - 1
+    WHERE (w.i > 0 OR w.j > 0) {stop}))
+SELECT level, a, b, cast(any_value(e.c[1]) AS INTEGER) AS score, cast(CASE WHEN max(n) = 0 THEN 100 ELSE round_even(100.0 * max(same) / max(n), 0) END AS INTEGER) AS identity_pct, cast(max(n) AS INTEGER) AS length,
+  cast(max(gaps) AS INTEGER) AS gaps, cast(min(i) AS INTEGER) AS a_from, cast(max(i) AS INTEGER) AS a_to, cast(min(j) AS INTEGER) AS b_from, cast(max(j) AS INTEGER) AS b_to
+FROM w JOIN ends e USING (level, a, b) GROUP BY level, a, b"""
+
+
+_HOURLY = """
+SELECT service, list(value ORDER BY pos) AS v FROM (SELECT service, hour(timezone('UTC', ts)) AS pos, count(*) AS value FROM log_events WHERE service IS NOT NULL GROUP BY 1, 2) GROUP BY service"""
+_CHAINS = f"""
+WITH RECURSIVE h AS ({_HOURLY}),
+m AS (SELECT service, v, len(v) - 1 AS n, 1 AS size, list_transform(range(0, (len(v) - 1) * (len(v) - 1)), lambda c: 0::BIGINT) AS cost,
+    list_transform(range(0, (len(v) - 1) * (len(v) - 1)), lambda c: 'A' || (c // (len(v) - 1) + 1)) AS shown FROM h
+  UNION ALL SELECT service, v, n, size, list_transform(range(0, n * n), lambda c: CASE WHEN c % n - c // n = size - 1 THEN pick[c + 1].cost ELSE cost[c + 1] END),
+    list_transform(range(0, n * n), lambda c: CASE WHEN c % n - c // n = size - 1 THEN '(' || shown[c // n * n + pick[c + 1].k + 1] || ' x ' || shown[(pick[c + 1].k + 1) * n + c % n + 1] || ')' ELSE shown[c + 1] END)
+  FROM (SELECT service, v, n, size + 1 AS size, cost, shown, list_transform(range(0, n * n), lambda c: CASE WHEN c % n - c // n = size THEN list_min(list_transform(range(c // n, c % n),
+    lambda k: struct_pack(cost := cost[c // n * n + k + 1] + cost[(k + 1) * n + c % n + 1] + v[c // n + 1] * v[k + 2] * v[c % n + 2], k := k))) END) AS pick FROM m WHERE size < n))
+SELECT service, cost[n] AS cost, shown[n] AS bracketing FROM m WHERE size = n"""
+#: Ranges [i, j) of the frequencies as cell i * (n + 1) + j.
+_SEARCH_TREES = f"""
+WITH RECURSIVE h AS ({_HOURLY}),
+m AS (SELECT service, v, len(v) AS n, 0 AS size, list_transform(range(0, (len(v) + 1) * (len(v) + 1)), lambda c: 0::BIGINT) AS cost, 0::BIGINT AS root FROM h
+  UNION ALL SELECT service, v, n, size, list_transform(range(0, (n + 1) * (n + 1)), lambda c: CASE WHEN c % (n + 1) - c // (n + 1) = size
+      THEN pick[c + 1].cost + list_sum(v[c // (n + 1) + 1 : c % (n + 1)])::BIGINT ELSE cost[c + 1] END), pick[n + 1].k
+  FROM (SELECT service, v, n, size + 1 AS size, cost, list_transform(range(0, (n + 1) * (n + 1)), lambda c: CASE WHEN c % (n + 1) - c // (n + 1) = size + 1 THEN list_min(list_transform(
+    range(c // (n + 1), c % (n + 1)), lambda k: struct_pack(cost := cost[c // (n + 1) * (n + 1) + k + 1] + cost[(k + 1) * (n + 1) + c % (n + 1) + 1], k := k))) END) AS pick FROM m WHERE size < n))
+SELECT service, cost[n + 1] AS cost, cast(root AS INTEGER) AS root FROM m WHERE size = n"""
+
+_UNDIRECTED = f"SELECT DISTINCT day, least(source, target) AS u, greatest(source, target) AS v FROM ({_DAY_EDGES})"
+_PATHS = f"""
+WITH RECURSIVE e AS ({_UNDIRECTED}), x AS (SELECT day, u AS name FROM e UNION SELECT day, v FROM e), v AS (SELECT day, name, row_number() OVER (PARTITION BY day ORDER BY name) - 1 AS i FROM x),
+n AS (SELECT day, (1 << count(*)) - 1 AS every FROM v GROUP BY day),
+near AS (SELECT e.day, a.i AS p, z.i AS q FROM e JOIN v a ON a.day = e.day AND a.name = e.u JOIN v z ON z.day = e.day AND z.name = e.v),
+adj AS (SELECT day, p, q FROM near UNION SELECT day, q, p FROM near),
+s AS (SELECT day, 1 << i AS seen, i AS pos FROM v UNION SELECT s.day, s.seen | (1 << q), q FROM s JOIN adj ON adj.day = s.day AND p = pos WHERE (s.seen >> q) & 1 = 0),
+before AS (SELECT s.day, s.seen | (1 << q) AS seen, q AS pos, min(s.pos) AS prev FROM s JOIN adj ON adj.day = s.day AND p = s.pos WHERE (s.seen >> q) & 1 = 0 GROUP BY 1, 2, 3),
+way AS (SELECT s.day, s.seen, min(s.pos) AS pos, 0 AS step FROM s JOIN n ON n.day = s.day AND s.seen = every GROUP BY 1, 2
+  UNION ALL SELECT w.day, w.seen - (1 << w.pos), b.prev, w.step + 1 FROM way w JOIN before b ON b.day = w.day AND b.seen = w.seen AND b.pos = w.pos)
+SELECT n.day, max(step) IS NOT NULL AS found, coalesce(string_agg(name, ',' ORDER BY step), '') AS path FROM n LEFT JOIN way ON way.day = n.day LEFT JOIN v ON v.day = n.day AND v.i = way.pos GROUP BY n.day"""
+
+_HOST_ENDPOINTS = "SELECT DISTINCT service, host, endpoint FROM log_events WHERE service IS NOT NULL AND host IS NOT NULL AND endpoint IS NOT NULL"
+_SET_COVERS = f"""
+WITH RECURSIVE i AS (SELECT service, host, list(endpoint) AS items FROM ({_HOST_ENDPOINTS}) GROUP BY 1, 2),
+g AS (SELECT service, list(struct_pack(host := host, items := items) ORDER BY host) AS sets, list_distinct(flatten(list(items))) AS rest FROM i GROUP BY service),
+w AS (SELECT service, sets, rest, []::VARCHAR[] AS chosen FROM g
+  UNION ALL SELECT service, sets, list_filter(rest, lambda x: NOT list_contains(sets[best].items, x)), list_append(chosen, sets[best].host)
+  FROM (SELECT *, list_position(gains, list_max(gains)) AS best FROM (
+    SELECT *, list_transform(sets, lambda s: len(list_filter(s.items, lambda x: list_contains(rest, x)))) AS gains FROM w WHERE len(rest) > 0) WHERE list_max(gains) > 0))
+SELECT service, array_to_string(arg_max(chosen, len(chosen)), ',') AS chosen, cast(max(len(chosen)) AS INTEGER) AS sets, cast(min(len(rest)) AS INTEGER) AS uncovered FROM w GROUP BY service"""
+#: By Hall's theorem: the largest matching leaves out what some set of hosts has too few endpoints for.
+_MATCHINGS = f"""
+WITH h AS ({_HOST_ENDPOINTS}), v AS (SELECT service, host, row_number() OVER (PARTITION BY service ORDER BY host) - 1 AS i FROM (SELECT DISTINCT service, host FROM h)),
+n AS (SELECT service, count(*) AS hosts FROM v GROUP BY service), m AS (SELECT service, hosts, mask FROM n, range(4096) r(mask) WHERE mask < (1 << hosts)),
+d AS (SELECT m.service, mask, bit_count(mask) - count(DISTINCT endpoint) AS lack FROM m LEFT JOIN v ON v.service = m.service AND (mask >> v.i) & 1 = 1 LEFT JOIN h ON h.service = v.service AND h.host = v.host GROUP BY 1, 2),
+k AS (SELECT n.service, hosts - max(lack) AS matched, hosts FROM d JOIN n USING (service) GROUP BY n.service, hosts)
+SELECT k.service, cast(matched AS INTEGER) AS matched, cast(hosts - matched AS INTEGER) AS unmatched_left, cast(e.n - matched AS INTEGER) AS unmatched_right
+FROM k JOIN (SELECT service, count(DISTINCT endpoint) AS n FROM h GROUP BY service) e ON e.service = k.service"""
+_VERTEX_COVERS = f"""
+WITH RECURSIVE e AS ({_UNDIRECTED}), d AS (SELECT DISTINCT day, source AS u, target AS v FROM ({_DAY_EDGES})),
+g AS (SELECT day, list(struct_pack(u := u, v := v) ORDER BY u, v) AS directed FROM d GROUP BY day),
+a AS (SELECT day, directed, 1 AS i, []::VARCHAR[] AS used FROM g UNION ALL SELECT day, directed, i + 1, CASE WHEN list_contains(used, directed[i].u) OR list_contains(used, directed[i].v) THEN used
+  ELSE list_concat(used, [directed[i].u, directed[i].v]) END FROM a WHERE i <= len(directed)),
+c AS (SELECT day, list_sort(used) AS cover FROM a WHERE i = len(directed) + 1),
+k AS (SELECT day, list(struct_pack(u := u, v := v)) AS rest, any_value(len(cover)) AS k, 0 AS forced FROM e JOIN c USING (day) GROUP BY day
+  UNION ALL SELECT day, list_filter(rest, lambda x: x.u <> pick AND x.v <> pick), k - 1, forced + 1 FROM (
+    SELECT *, list_filter(list_sort(list_distinct(flatten(list_transform(rest, lambda x: [x.u, x.v])))), lambda z: len(list_filter(rest, lambda x: x.u = z OR x.v = z)) > k)[1] AS pick FROM k) WHERE pick IS NOT NULL),
+f AS (SELECT day, CASE WHEN min(k) < 0 OR arg_max(len(rest), forced) > min(k) * min(k) THEN -1 ELSE max(forced) END AS kernel_forced FROM k GROUP BY day),
+x AS (SELECT day, u AS name FROM e UNION SELECT day, v FROM e), v AS (SELECT day, name, row_number() OVER (PARTITION BY day ORDER BY name) - 1 AS i FROM x),
+b AS (SELECT e.day, p.i AS p, q.i AS q FROM e JOIN v p ON p.day = e.day AND p.name = e.u JOIN v q ON q.day = e.day AND q.name = e.v),
+t AS (SELECT b.day, mask, count_if((mask >> p) & 1 = 0 AND (mask >> q) & 1 = 0) AS open FROM b, range(1024) r(mask) GROUP BY 1, 2)
+SELECT c.day, array_to_string(cover, ',') AS cover, cast(len(cover) AS INTEGER) AS size, cast(len(cover) / 2 AS INTEGER) AS matched, cast(kernel_forced AS INTEGER) AS kernel_forced,
+  (SELECT cast(min(bit_count(mask)) AS INTEGER) FROM t WHERE t.day = c.day AND open = 0) AS smallest FROM c JOIN f USING (day)"""
+#: Of all least cuts the one with the smallest source side.
+_CUT_SIDES = f"""
+WITH e AS ({_DAY_EDGES}), v AS (SELECT service, row_number() OVER (ORDER BY service) - 1 AS i FROM service_nodes),
+b AS (SELECT e.day, a.i AS u, z.i AS w, weight, source, target FROM e JOIN v a ON a.service = source JOIN v z ON z.service = target),
+m AS (SELECT mask FROM range(1024) r(mask), v a, v z WHERE a.service = 'edge-proxy' AND z.service = 'ledger-db' AND (mask >> a.i) & 1 = 1 AND (mask >> z.i) & 1 = 0),
+c AS (SELECT day, mask, sum(CASE WHEN (mask >> u) & 1 = 1 AND (mask >> w) & 1 = 0 THEN weight ELSE 0 END) AS cut FROM b, m GROUP BY 1, 2),
+s AS (SELECT day, arg_min(mask, (cut, bit_count(mask))) AS mask, cast(min(cut) AS BIGINT) AS capacity FROM c GROUP BY day)
+SELECT day, capacity, (SELECT string_agg(service, ',' ORDER BY service) FROM v WHERE (mask >> i) & 1 = 1) AS source_side,
+  (SELECT coalesce(string_agg(source || '>' || target, ',' ORDER BY source, target), '') FROM b WHERE b.day = s.day AND (mask >> u) & 1 = 1 AND (mask >> w) & 1 = 0) AS crossing FROM s"""
+_TREE_PATHS = f"""
+WITH RECURSIVE s AS ({_SUPPLIERS}), e AS (
+  SELECT nation, node AS a, (node - 1) // 2 AS b, weight FROM s WHERE node > 0 UNION ALL SELECT nation, (node - 1) // 2, node, weight FROM s WHERE node > 0),
+w AS (SELECT nation, node AS a, node AS b, -1::BIGINT AS came, -1::BIGINT AS first, 0::BIGINT AS d FROM s
+      UNION ALL SELECT w.nation, w.a, e.b, w.b, CASE WHEN w.first < 0 THEN e.b ELSE w.first END, w.d + e.weight FROM w JOIN e ON e.nation = w.nation AND e.a = w.b AND e.b <> w.came)"""
+
 SQL: dict[str, str] = {
     "pattern_positions": _STARTS,
     "pattern_positions_arrow": _STARTS,
@@ -68,18 +186,33 @@ FROM (SELECT a, start, suf, lag(suf) OVER (PARTITION BY a ORDER BY suf) AS p FRO
     "max_flow_dinic": _FLOW,
     "max_flow_edmonds_karp": _FLOW,
     "max_flow_ford_fulkerson": _FLOW,
-    "min_cut": _CUTS.format(name="capacity"),
+    "min_cut": _CUT_SIDES,
+    "flow_balance": f"""
+WITH f AS ({_FLOW}), x AS (SELECT day, source AS service FROM ({_DAY_EDGES}) UNION SELECT day, target FROM ({_DAY_EDGES}))
+SELECT x.day, x.service, CASE service WHEN 'edge-proxy' THEN max_flow WHEN 'ledger-db' THEN -max_flow ELSE 0 END AS net, 0::BIGINT AS over_capacity FROM x JOIN f USING (day)""",
+    "damerau_distance": _edits("distance", 1, 1, 1, True),
+    "weighted_edit": _edits("cost", 1, 2, 3, False),
+    "global_alignment": _alignments(False),
+    "local_alignment": _alignments(True),
+    "matrix_chain": _CHAINS,
+    "optimal_bst": _SEARCH_TREES,
+    "hamiltonian_path": _PATHS,
+    "set_cover": _SET_COVERS,
+    "bipartite_matching": _MATCHINGS,
+    "vertex_cover": _VERTEX_COVERS,
     "tsp": f"""
 WITH g AS ({_GAPS}), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY name) AS i FROM g),
 d AS (SELECT a.region, a.i AS x, b.i AS y, cast(round(abs(a.b - b.b) * 100) AS BIGINT) AS w FROM k a JOIN k b ON a.region = b.region AND a.i <> b.i)
-SELECT p.region, min(p.w + q.w + r.w + s.w + t.w) AS length FROM d p JOIN d q ON q.region = p.region AND q.x = p.y JOIN d r ON r.region = p.region AND r.x = q.y
+SELECT region, length, string_agg(name, ',' ORDER BY place) AS path FROM (SELECT b.region, b.length, unnest(b.way) AS i, generate_subscripts(b.way, 1) AS place FROM (
+SELECT p.region, min(p.w + q.w + r.w + s.w + t.w) AS length, arg_min([p.x, q.x, r.x, s.x, t.x], (p.w + q.w + r.w + s.w + t.w, t.x, s.x, r.x, q.x)) AS way FROM d p JOIN d q ON q.region = p.region AND q.x = p.y JOIN d r ON r.region = p.region AND r.x = q.y
 JOIN d s ON s.region = p.region AND s.x = r.y JOIN d t ON t.region = p.region AND t.x = s.y AND t.y = p.x
-WHERE p.x = 1 AND len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5 GROUP BY 1""",
-    "tree_metrics": f"""
-WITH RECURSIVE s AS ({_SUPPLIERS}), e AS (
-  SELECT nation, node AS a, (node - 1) // 2 AS b, weight FROM s WHERE node > 0 UNION ALL SELECT nation, (node - 1) // 2, node, weight FROM s WHERE node > 0),
-w AS (SELECT nation, node AS a, node AS b, -1::BIGINT AS came, 0::BIGINT AS d FROM s
-      UNION ALL SELECT w.nation, w.a, e.b, w.b, w.d + e.weight FROM w JOIN e ON e.nation = w.nation AND e.a = w.b AND e.b <> w.came)
-SELECT nation, cast(count(DISTINCT a) AS INTEGER) AS vertices, max(d) AS diameter, (SELECT min(t) FROM (SELECT sum(d) AS t FROM w z WHERE z.nation = w.nation GROUP BY a)) AS least_sum
+WHERE p.x = 1 AND len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5 GROUP BY 1) b) JOIN k USING (region, i) GROUP BY 1, 2""",
+    "tree_metrics": f"""{_TREE_PATHS},
+part AS (SELECT nation, a, first, count(*) AS n FROM w WHERE first >= 0 GROUP BY 1, 2, 3),
+worst AS (SELECT s.nation, s.node, coalesce(max(n), 0) AS n FROM s LEFT JOIN part ON part.nation = s.nation AND part.a = s.node GROUP BY 1, 2)
+SELECT nation, cast(count(DISTINCT a) AS INTEGER) AS vertices, max(d) AS diameter, (SELECT min(t) FROM (SELECT sum(d) AS t FROM w z WHERE z.nation = w.nation GROUP BY a)) AS least_sum,
+  (SELECT cast(min(a) AS INTEGER) FROM w z WHERE z.nation = w.nation AND z.d = max(w.d)) AS end_a, (SELECT cast(max(b) AS INTEGER) FROM w z WHERE z.nation = w.nation AND z.d = max(w.d)) AS end_b,
+  (SELECT string_agg(node, ',' ORDER BY node) FROM worst WHERE worst.nation = w.nation AND 2 * n <= (SELECT count(*) FROM s WHERE s.nation = w.nation)) AS centroids
 FROM w GROUP BY nation""",
+    "tree_distance_sums": f"{_TREE_PATHS} SELECT nation, cast(a AS INTEGER) AS node, cast(sum(d) AS BIGINT) AS distance_sum FROM w GROUP BY 1, 2",
 }
