@@ -44,3 +44,9 @@ def row_digest(df: DataFrame, ignore: Iterable[str] = ()) -> list[Column]:
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
     """``df`` with the columns of a one-row DataFrame as scalar subqueries (null if it is empty)."""
     return df.withColumns({c: row.select(c).scalar() for c in row.columns})
+
+
+def unit(*parts: Column | int | str) -> Column:
+    """A number in [0, 1), fixed by its parts: the first 40 bits of the MD5 of the parts joined with slashes."""
+    text = F.concat_ws("/", *[(c if isinstance(c, Column) else F.lit(c)).cast("string") for c in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))

@@ -371,7 +371,7 @@ def reservoirs(rows: DataFrame, key: str, item: str, k: int = 10, seed: int = 42
     The k smallest seeded hashes are a uniform sample; ranks are taken within hash slots
     first, so that a hot key is not one sort.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key), F.col(item))
+    h = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"), F.col(item).cast("string")).cast("binary"))
     e = rows.select(key, item, h.alias("h")).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(64)))
     first = e.withColumn("r", F.row_number().over(Window.partitionBy(key, "part").orderBy("h", item))).where(F.col("r") <= k)
     slot = F.row_number().over(Window.partitionBy(key).orderBy("h", item))

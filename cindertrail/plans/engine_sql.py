@@ -215,4 +215,6 @@ SELECT nation, cast(count(DISTINCT a) AS INTEGER) AS vertices, max(d) AS diamete
   (SELECT string_agg(node, ',' ORDER BY node) FROM worst WHERE worst.nation = w.nation AND 2 * n <= (SELECT count(*) FROM s WHERE s.nation = w.nation)) AS centroids
 FROM w GROUP BY nation""",
     "tree_distance_sums": f"{_TREE_PATHS} SELECT nation, cast(a AS INTEGER) AS node, cast(sum(d) AS BIGINT) AS distance_sum FROM w GROUP BY 1, 2",
+    "reservoir": """
+SELECT service, id, slot FROM (SELECT service, id, row_number() OVER (PARTITION BY service ORDER BY md5('42/' || service || '/' || id), id) AS slot FROM log_events WHERE service IS NOT NULL) WHERE slot <= 10""",
 }

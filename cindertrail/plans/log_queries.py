@@ -104,7 +104,7 @@ QUERIES = {
     "reduce_max": lambda s, d: P.reduce_column(logs(s, d), "MAX", F.col("response_ms")),
     "reduce_error_count": lambda s, d: P.reduce_column(logs(s, d), "ERROR_COUNT", F.col("status"), 500),
     "sort_latencies": lambda s, d: P.sorted_rows(logs(s, d).select("id", "response_ms").where("response_ms is not null"), ["response_ms", "id"]),
-    "demo_events": lambda s, d: demo.demo_events(s).groupBy("service", "level").agg(F.count("*").alias("events")),
+    "demo_events": lambda s, d: demo.demo_events(s).select("id", L.ts_ms().alias("ts_ms"), "service", "level", "host", "response_ms"),
     "simulation_ticks": _ticks,
     "detector_readings": lambda s, d: batch_readings(logs(s, d)),
 }

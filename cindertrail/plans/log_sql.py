@@ -219,3 +219,28 @@ UNION ALL SELECT 'status', cast(status AS VARCHAR), count(*) FROM w WHERE status
 UNION ALL SELECT 'timeline', cast(least(23, (ms - lo) // 3600000) AS VARCHAR), count(*) FROM w GROUP BY 2
 UNION ALL (SELECT 'critical', cast(id AS VARCHAR), ms FROM w WHERE bad ORDER BY ts DESC, id DESC LIMIT 12)""",
 }
+
+
+def _unit(*parts: str) -> str:
+    """The first 40 bits of the MD5 of the parts joined with slashes, as a number in [0, 1)."""
+    return f"(('0x' || substr(md5({' || chr(47) || '.join(parts)}), 1, 10))::BIGINT / 1099511627776.0)"
+
+
+_U = [_unit("'20260913'", f"'{salt}'", "id") for salt in range(7)]
+SQL["demo_events"] = f"""
+WITH a AS (SELECT id, cast(floor({_U[1]} * 86400000) AS BIGINT) AS span, {_U[2]} AS pick, {_U[3]} AS lv, {_U[4]} AS late, {_U[5]} AS host, {_U[6]} AS rt FROM range(14000) r(id)),
+h AS (SELECT *, span // 3600000 AS hour FROM a), b AS (SELECT h.*, coalesce(service, -1) AS bursting FROM h LEFT JOIN (VALUES (2, 6), (6, 1), (11, 6), (15, 1), (19, 6), (22, 3)) v(hour, service) ON v.hour = h.hour),
+w AS (SELECT *, list_transform(range(0, 8), lambda i: CASE WHEN i = 0 THEN 26 ELSE 9 END + CASE WHEN i = bursting THEN 900 ELSE 0 END) AS weights FROM b),
+i AS (SELECT *, (SELECT min(k) FROM range(0, 8) r(k) WHERE pick * list_sum(weights) < list_sum(weights[1:k + 1])) AS i FROM w),
+e AS (SELECT *, ['gateway', 'accounts', 'catalog', 'billing', 'orders', 'stock', 'store-db', 'mail'][i + 1] AS service, i = bursting AS burst,
+  CASE WHEN i = bursting THEN CASE WHEN lv < 0.95 THEN 'ERROR' ELSE 'WARN' END WHEN lv < 0.5 THEN 'INFO' WHEN lv < 0.6 THEN 'DEBUG' WHEN lv < 0.72 THEN 'WARN' ELSE 'ERROR' END AS level FROM i)
+SELECT id, 1773000000000 - 86400000 + CASE WHEN burst THEN hour * 3600000 + cast(floor(late * 600000) AS BIGINT) ELSE span END AS ts_ms, service, level,
+  service || '-' || (1 + cast(floor(host * 4) AS INTEGER)) AS host, cast(floor(5 + rt * CASE WHEN level = 'ERROR' THEN 4000 ELSE 400 END) AS BIGINT) AS response_ms FROM e"""
+
+_V = [_unit("'99887766'", f"'{salt}'", "tick", "n") for salt in range(7)]
+SQL["simulation_ticks"] = f"""
+WITH t AS (SELECT tick, CASE WHEN tick < 8 THEN 0.0 WHEN tick < 36 THEN (tick - 8) / 28.0 WHEN tick < 140 THEN 1.0 WHEN tick < 200 THEN (200 - tick) / 60.0 ELSE 0.0 END::DOUBLE AS x FROM range(280) r(tick)),
+c AS (SELECT *, least(120, greatest(1, cast(round(12.0::DOUBLE * (1 + 1.3::DOUBLE * x)) AS INTEGER))) AS count FROM t), e AS (SELECT *, unnest(range(0, count)) AS n FROM c),
+f AS (SELECT tick, x, {_V[2]} < 0.004 + 0.11 * x AS failing, {_V[3]} < 0.3 AS warn, 40 + {_V[4]} * 160 AS base, {_V[5]} AS u5, {_V[6]} AS u6 FROM e)
+SELECT cast(tick AS INTEGER) AS tick, CASE WHEN x <= 0 THEN 'healthy' WHEN x < 0.35 THEN 'onset' WHEN x < 0.85 THEN 'degrading' ELSE 'peak' END AS phase, count(*) AS events, count_if(failing AND NOT warn) AS errors,
+  avg(floor(base + CASE WHEN failing THEN u5 * 1250 * (0.5 + x) ELSE 0.25 * 1250 * x * u6 END)) AS avg_ms FROM f GROUP BY tick, x"""

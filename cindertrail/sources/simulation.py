@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from cindertrail.functions.cleaning import unit as unit_of
+
 TICK_MS, EVENTS_PER_SECOND, MAX_PER_TICK, COOLDOWN_TICKS = 250, 48.0, 120, 80
 
 
@@ -69,7 +71,7 @@ def simulate(spark: SparkSession, scenario: str, services: DataFrame, ticks: int
     t = t.withColumn("count", count).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
 
     def unit(salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "tick", "n"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        return unit_of(seed, salt, F.col("tick"), F.col("n"))
 
     fleet = services.agg(F.sort_array(F.collect_list(F.struct("service", "base_share"))).alias("f"))  # a fleet, not data
     names = fleet.select(F.transform("f", lambda x: x["service"])).scalar()
