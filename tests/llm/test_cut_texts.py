@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -64,16 +65,47 @@ def test_fit_recovers_a_censored_lognormal():
     x = np.exp(rng.normal(6.0, 0.5, 20_000)).astype(int)
     cut = int(np.quantile(x, 0.7))
     values, counts = np.unique(np.minimum(x, cut), return_counts=True)
-    mu, sd = C._censored_lognormal([(float(np.log(v)), int(c), v == cut) for v, c in zip(values, counts)])
+    mu, sd = C._censored_lognormal(np.log(values), counts, values == cut)
     assert abs(mu - 6.0) < 0.03 and abs(sd - 0.5) < 0.03
 
 
 def test_counts_by_brute_force(spark):
-    docs = [(1, "a", "One two. One two\none 3 two"), (2, "a", "one two")]
-    got = {(r.k, r.word): (r.n, r.ends) for r in C.count_grams(spark.createDataFrame(docs, DOC)).where("k = 3").collect()}
-    assert got[(3, "two")][0] >= 1 and sum(n for n, _ in got.values()) <= 9
-    total = C.count_grams(spark.createDataFrame(docs, DOC)).where("k = 1").groupBy().sum("n", "ends").first()
-    assert tuple(total) == (9, 4)
+    """Counts of all orders, of what follows a context and of longer words there, with and without the bitmap."""
+    rng = random.Random(5)
+    vocab = ["a", "an", "ant", "anthem", "be", "bee", "been", "7", "x"]
+    docs = [(i, "a", " ".join(rng.choice(vocab) for _ in range(rng.randrange(3, 30))) + rng.choice(["", ".", "\n"])) for i in range(60)]
+    codes, want = C.Codes(), Counter()
+    for _, _, t in docs:
+        flat = C.LEAD + [codes[x] for x in C.TOKEN.findall(t)]
+        words = [C.plain(x) for x in C.TOKEN.findall(t) if x not in "\n.!?"]
+        _, ends, context, grams = C.grams_of(flat)
+        for k in C.ORDERS:
+            for g, e in zip(C.signed(grams[k]).tolist(), ends):
+                want[k, g, "n"] += 1
+                want[k, g, "ends"] += int(e)
+        for i, (c, w) in enumerate(zip(context, words)):
+            want[C.FOLLOWING, int(C.signed(context)[i]), "n"] += 1
+            for j in range(1, len(w)):
+                with np.errstate(over="ignore"):
+                    want[C.LONGER, int(C.signed(C.mix(np.array([c]), np.array([codes[w[:j]]], dtype=np.uint64)))[0]), "n"] += 1
+    df = spark.createDataFrame(docs, DOC)
+    got = {(r.k, r.gram, c): r[c] for r in C.count_grams(df, flush=100).collect() for c in ("n", "ends") if r[c]}
+    assert got == {k: v for k, v in want.items() if v}
+    endings = C.open_endings(df)
+    some = {(r.k, r.gram): r.n for r in C.count_grams(df, asked=C.asked_of(endings)).collect()}
+    assert all(want[k, g, "n"] == n for (k, g), n in some.items()) and len(some) < len({x[:2] for x in want})
+    for r in endings.collect():
+        assert all((k, r[f"g{k}"]) in some for k in C.ORDERS) and (C.FOLLOWING, r.context) in some
+
+
+def test_marks_of_any_length():
+    codes = C.Codes()
+    words = "we looked at the cache inste"
+    for mark in ("...", " …", f" [{'x ' * 60}cut]", f" ({'y' * 90})", f"<{'a b ' * 40}>", "<br", f"-- {'more ' * 30}--", " [see. more! text]"):
+        got = {t[0]: t[6] for t in C.tails(words + mark, codes)}
+        assert got.get("mark") == "inste", mark
+        assert {t[0]: t[6] for t in C.tails("Long text here. " * 100 + words + mark, codes)}["mark"] == "inste"
+    assert [t[0] for t in C.tails("All is well.", codes)] == [] and "mark" not in {t[0] for t in C.tails("a (b) c", codes)}
 
 
 def test_copies_do_not_vouch_for_each_other(spark):
