@@ -107,6 +107,7 @@ def health_state(error_pct: Column, latency: Column, baseline: Column) -> Column
 
 
 def error_band(share: Column) -> Column:
+    """Band of a tick's share of errors."""
     return F.when(share >= 0.1, "elevated").when(share >= 0.02, "watch").otherwise("normal")
 
 
@@ -119,6 +120,11 @@ def polynomial_hash(text: Column, base: int = 911382323, mod: int = 1_000_000_00
 
 def universal_hash(key: Column, a: int, b: int, m: int) -> Column:
     """((a key + b) mod 2^61 - 1) mod m without overflow."""
+    return universal_hash_columns(key, F.lit(a), F.lit(b), F.lit(m))
+
+
+def universal_hash_columns(key: Column, a: Column, b: Column, m: Column) -> Column:
+    """The same with a member of the family per row; null where m is 0."""
     p = F.lit(2**61 - 1).cast("decimal(20,0)")
     x = F.pmod(key.cast("decimal(19,0)"), p).cast("decimal(19,0)")
-    return F.pmod(F.pmod((x * F.lit(a).cast("decimal(19,0)") + F.lit(b)).cast("decimal(38,0)"), p), F.lit(m)).cast("long")
+    return F.pmod(F.pmod((x * a.cast("decimal(19,0)") + b.cast("decimal(19,0)")).cast("decimal(38,0)"), p), F.nullif(m.cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))).cast("long")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindertrail.functions.cleaning import with_scalars
-from cindertrail.functions.logcols import LEVELS, in_ms, is_error, level_ord, normalize_message, ts_ms
+from cindertrail.functions.logcols import LEVELS, in_ms, is_error, normalize_message, ts_ms
+from cindertrail.operators.incidents import detect_incidents
+from cindertrail.session import materialise
 
 #: Range presets: milliseconds and number of buckets.
 RANGES = {"5m": (300_000, 10), "15m": (900_000, 10), "1h": (3_600_000, 12), "6h": (21_600_000, 24), "24h": (86_400_000, 24)}
@@ -89,10 +91,21 @@ def host_rollup(events: DataFrame, limit: int | None = None) -> DataFrame:
     return out.drop("first_id")
 
 
+def value_ranks(events: DataFrame, by: list[str], probs: dict[str, float], value: str = "response_ms") -> DataFrame:
+    """by, sampled, largest and per name the value at its nearest rank, from the counts of the distinct values.
+
+    Rows are folded to value counts before they are sorted, so a group costs its distinct values.
+    """
+    counts = events.groupBy(*by, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by)
+    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    at = [F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * F.lit(p)), F.col(value))).alias(name) for name, p in probs.items()]
+    return counts.groupBy(*by).agg(F.coalesce(F.max("all"), F.lit(0)).alias("sampled"), F.max(value).alias("largest"), *at)
+
+
 def latency_percentiles(events: DataFrame, by: str = "service") -> DataFrame:
     """Nearest-rank p50, p95, p99 over recorded (positive) response times."""
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by response_ms)").cast("long")
-    return events.where("response_ms > 0").groupBy(by).agg(F.count("*").alias("sampled"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
+    return value_ranks(events.where("response_ms > 0"), [by], {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}).drop("largest")
 
 
 def http_rows(events: DataFrame) -> DataFrame:
@@ -108,9 +121,8 @@ def http_stats(events: DataFrame, endpoints: int = 10) -> DataFrame:
 
     status = counts("status", F.nullif(F.col("status"), F.lit(0)))
     top = counts("endpoint", F.col("endpoint")).orderBy(F.desc("value"), F.desc("key")).limit(endpoints)
-    rt = h.where("response_ms > 0")
-    at = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by response_ms)").cast("long"), F.lit(0))
-    latency = rt.agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.coalesce(F.max("response_ms"), F.lit(0)).alias("max"), F.count("*").alias("sampled"))
+    ranks = value_ranks(h.where("response_ms > 0"), [], {"p50": 0.5, "p95": 0.95})
+    latency = ranks.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("p50", "p95")], F.coalesce("largest", F.lit(0)).alias("max"), "sampled")
     figures = latency.unpivot([], ["p50", "p95", "max", "sampled"], "key", "value").select(F.lit("latency").alias("section"), "key", "value")
     return status.unionByName(counts("method", F.col("http_method"))).unionByName(top).unionByName(figures)
 
@@ -219,40 +231,58 @@ def pattern_examples(events: DataFrame, template: str, limit: int = 20) -> DataF
 
 
 def overview(events: DataFrame, range_name: str = "24h", services: int = 6, patterns: int = 8, critical: int = 12) -> DataFrame:
-    """section, key, value of the latest window: totals, severity, top services and patterns, statuses, timeline."""
+    """section, key, value of the latest window: totals, severity, top services and patterns, statuses, timeline, latest errors, incidents, heatmap.
+
+    One pass of grouping sets counts everything; latest errors and incidents read the window's errors only.
+    """
     range_ms, buckets = preset(range_name)
     w = latest_window(events, range_ms)
-
-    def part(section: str, df: DataFrame, key: Column, value: Column) -> DataFrame:
+    span = events.agg((F.max(ts_ms()) - range_ms).alias("lo"))
+    width = max(1, range_ms // buckets)
+    secs = F.floor(ts_ms() / 1000)
+    cols = {
+        "level": F.col("level"), "service": F.coalesce("service", F.lit("(unknown)")), "host": F.col("host"), "pattern": normalize_message(F.col("message")),
+        "status": F.nullif(F.col("status"), F.lit(0)).cast("string"), "timeline": F.least(F.lit(buckets - 1), F.expr(f"(unix_millis(ts) - lo) div {width}")).cast("string"),
+        "heatmap": F.concat_ws("/", F.pmod(F.floor(secs / 86_400) + 3, F.lit(7)).cast("string"), F.floor(F.pmod(secs, F.lit(86_400)) / 3600).cast("string")),
+    }
+    e = with_scalars(w, span).select("id", F.col("service").isNotNull().alias("named"), *[c.alias(n) for n, c in cols.items()])
+    g = e.groupingSets([[F.col(n)] for n in cols], *[F.col(n) for n in cols])
+    g = g.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.min("id").alias("first_id"), F.count_if("named").alias("named"))
+    whole = (1 << len(cols)) - 1
+    dim = F.lit(None).cast("string")
+    for i, n in enumerate(cols):
+        dim = F.when(F.col("g") == whole - (1 << (len(cols) - 1 - i)), n).otherwise(dim)
+    g = materialise(g.select(dim.alias("dim"), F.coalesce(*cols).alias("key"), "n", "first_id", "named").where("key is not null"), "overview")
+
+    def part(section: str, df: DataFrame, key: Column = F.col("key"), value: Column = F.col("n")) -> DataFrame:
         return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value"))
 
-    totals = w.agg(
-        F.count("*").alias("events"), F.count_if(is_error(F.col("level"))).alias("errors"), F.count_if(F.col("level") == "WARN").alias("warnings"),
-        F.count_distinct("service").alias("services"), F.count_distinct("host").alias("hosts"),
+    def of(name: str) -> DataFrame:
+        return g.where(F.col("dim") == name)
+
+    def top(name: str, limit: int) -> DataFrame:
+        return of(name).orderBy(F.desc("n"), "first_id").limit(limit)
+
+    spark = events.sparkSession
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("double")
+    totals = g.agg(
+        total(F.col("dim") == "service").alias("events"), total((F.col("dim") == "level") & F.col("key").isin("ERROR", "FATAL")).alias("errors"),
+        total((F.col("dim") == "level") & (F.col("key") == "WARN")).alias("warnings"),
+        F.count_if((F.col("dim") == "service") & (F.col("named") > 0)).cast("double").alias("services"), F.count_if(F.col("dim") == "host").cast("double").alias("hosts"),
     )
     totals = totals.withColumn("events_per_minute", F.col("events") / (range_ms / 60_000))
-    totals = totals.unpivot([], [F.col(c).cast("double").alias(c) for c in totals.columns], "k", "v")
-    by_service = service_rollup(w, services)
-    status = w.where("status <> 0").groupBy("status").agg(F.count("*").alias("n"))
-    span = w.agg((F.max(ts_ms()) - range_ms).alias("lo"))
-    width = max(1, range_ms // buckets)
-    idx = F.least(F.lit(buckets - 1), F.expr(f"(unix_millis(ts) - lo) div {width}")).cast("int")
-    line = with_scalars(w, span).groupBy(idx.alias("bucket")).agg(F.count("*").alias("n"))
-    crit = recent_critical(w, critical)
-    out = part("totals", totals, F.col("k"), F.col("v"))
+    levels = spark.createDataFrame([(name,) for name in LEVELS], "level string").join(of("level"), F.col("level") == F.col("key"), "left")
+    grid = spark.range(168).select(F.concat_ws("/", F.floor(F.col("id") / 24).cast("string"), (F.col("id") % 24).cast("string")).alias("cell"))
+    out = part("totals", totals.unpivot([], totals.columns, "key", "n"))
     for p in (
-        part("severity", severity_distribution(w), F.col("level"), F.col("events")),
-        part("service", by_service, F.col("name"), F.col("events")),
-        part("pattern", message_patterns(w, patterns), F.col("template"), F.col("count")),
-        part("status", status, F.col("status"), F.col("n")),
-        part("timeline", line, F.col("bucket"), F.col("n")),
-        part("critical", crit, F.col("id"), ts_ms()),
+        part("severity", levels, F.col("level"), F.coalesce("n", F.lit(0))),
+        part("service", top("service", services)),
+        part("pattern", top("pattern", patterns)),
+        part("status", of("status")),
+        part("timeline", of("timeline")),
+        part("heatmap", grid.join(of("heatmap"), F.col("cell") == F.col("key"), "left"), F.col("cell"), F.coalesce("n", F.lit(0))),
+        part("critical", recent_critical(w, critical), F.col("id"), ts_ms()),
+        part("incident", detect_incidents(w), F.concat_ws("-", F.col("start_ms").cast("string"), F.col("end_ms").cast("string")), F.col("errors")),
     ):
         out = out.unionByName(p)
     return out
-
-
-def level_rank(events: DataFrame) -> DataFrame:
-    """Events with their level's rank within the request, highest first."""
-    w = Window.partitionBy("request_id").orderBy(F.desc("o"), "id")
-    return events.where("request_id is not null").withColumn("o", level_ord(F.col("level"))).withColumn("rank", F.row_number().over(w)).where("rank = 1").select("request_id", "id", "level")

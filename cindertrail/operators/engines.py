@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cindertrail.functions import covers, dynamic, flows, textalgos
 from cindertrail.functions import numbers as nums
-from cindertrail.functions.logcols import universal_hash
+from cindertrail.functions.logcols import universal_hash, universal_hash_columns
 from cindertrail.operators.parallel import ranked
 from cindertrail.session import materialise
 
@@ -387,14 +387,19 @@ def bucket_statistics(rows: DataFrame, column: str, buckets: int = 64, seed: int
 
 
 def static_membership(rows: DataFrame, column: str, keys: list[int]) -> DataFrame:
-    """Rows whose value is one of ``keys`` (at most 100,000), through a perfect hash per task."""
-    if len(keys) > 100_000:
-        raise ValueError("at most 100,000 keys; join larger sets")
-    distinct = sorted(set(keys))
-
-    def keep(batches):
-        table = nums.PerfectHash(distinct)
-        for b in batches:
-            yield b[[x is not None and not pd.isna(x) and int(x) in table for x in b[column]]]
-
-    return rows.mapInPandas(keep, rows.schema)
+    """Rows whose value is one of ``keys``, through a two-level perfect hash in column expressions; at most 10,000 keys."""
+    if len(keys) > 10_000:
+        raise ValueError("at most 10,000 keys; join larger sets")
+    table = nums.PerfectHash(sorted(set(keys)))
+    sizes = [len(cells) for _, cells in table.rows]
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    flat = F.array(*[F.lit(x).cast("long") for _, cells in table.rows for x in cells], F.lit(None).cast("long"))
+
+    def pick(values: list[int], at: Column) -> Column:
+        return F.array(*[F.lit(v).cast("long") for v in values])[at]
+
+    key = F.col(column).cast("long")
+    slot = universal_hash(key, *table.top, table.m).cast("int")
+    size = pick(sizes, slot)
+    mine = universal_hash_columns(key, pick([ab[0] for ab, _ in table.rows], slot), pick([ab[1] for ab, _ in table.rows], slot), size)
+    return rows.where(F.coalesce((size > 0) & (flat[(pick(starts, slot) + mine).cast("int")] == key), F.lit(False)))

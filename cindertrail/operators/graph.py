@@ -30,27 +30,30 @@ def top_nodes(events: DataFrame, limit: int = 5) -> DataFrame:
     return events.where("service is not null").groupBy("service").agg(F.count("*").alias("events")).orderBy(F.desc("events"), F.desc("service")).limit(limit)
 
 
-def reachable(edges: DataFrame, max_hops: int = 100) -> DataFrame:
-    """origin, service, hops of everything reachable from every node (itself at 0 hops).
+def reachable(edges: DataFrame, origin: str, max_hops: int = 1000) -> DataFrame:
+    """origin, service, hops of everything reachable from ``origin`` (itself at 0 hops).
 
-    Frontier joins: each round extends only pairs found in the round before and drops pairs
-    known already; rounds end when none is new, at the latest after ``max_hops``.
+    Frontier joins: each round extends only services found in the round before and drops those
+    known already; rounds end when none is new. A graph deeper than ``max_hops`` is an error,
+    never a partial answer. An origin without edges reaches nothing.
     """
-    e = materialise(edges.select("source", "target").distinct(), "edges")
-    known = e.select(F.col("source").alias("origin")).union(e.select("target")).distinct().select("origin", F.col("origin").alias("service"), F.lit(0).alias("hops"))
-    known = frontier = materialise(known, "reach")
-    for hop in range(1, max_hops + 1):
-        step = frontier.join(e, frontier["service"] == e["source"]).select("origin", F.col("target").alias("service")).distinct()
-        fresh = materialise(step.join(known, ["origin", "service"], "left_anti").withColumn("hops", F.lit(hop)), "reach")
+    e = materialise(edges.where("source is not null and target is not null").select("source", "target").distinct(), "edges")
+    start = e.select(F.col("source").alias("service")).unionAll(e.select("target")).where(F.col("service") == origin).distinct()
+    known = frontier = materialise(start.withColumn("hops", F.lit(0)), "reach")
+    for hop in range(1, max_hops + 2):
+        step = frontier.join(e, frontier["service"] == e["source"]).select(F.col("target").alias("service")).distinct()
+        fresh = materialise(step.join(known, "service", "left_anti").withColumn("hops", F.lit(hop)), "reach")
         if fresh.isEmpty():
             break
+        if hop > max_hops:
+            raise ValueError(f"more than {max_hops} hops from {origin}")
         known, frontier = known.unionByName(fresh), fresh
-    return known
+    return known.select(F.lit(origin).alias("origin"), "service", "hops")
 
 
-def blast_radius(edges: DataFrame) -> DataFrame:
+def blast_radius(edges: DataFrame, origin: str) -> DataFrame:
     """origin, service, hops: the callers, direct or not, that a fault of ``origin`` can hit."""
-    return reachable(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return reachable(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), origin)
 
 
 def direct_dependents(edges: DataFrame, service: str) -> DataFrame:

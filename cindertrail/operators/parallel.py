@@ -48,3 +48,16 @@ def reduce_column(df: DataFrame, op: str, value: Column, marker: int = 1) -> Dat
 def sorted_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """A total sort: range exchange and local sorts."""
     return df.orderBy(*order)
+
+
+def with_previous(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``previous``, the ``order`` columns of the row before in total order, null for the first.
+
+    Rows are sorted in ranges; only the last row of each range travels to the range behind it.
+    """
+    r = ranged(df, order)
+    at = F.struct(*order)
+    ends = r.groupBy("part").agg(F.max(at).alias("last"))  # one row per range
+    ends = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
+    within = F.lag(at).over(Window.partitionBy("part").orderBy(*order))
+    return r.withColumn("within", within).join(ends, "part").withColumn("previous", F.coalesce("within", "before")).drop("part", "within", "before")

@@ -9,6 +9,7 @@ from cindertrail.functions import logcols as L
 from cindertrail.functions import numbers as nums
 from cindertrail.operators import engines as E
 from cindertrail.operators import graph as G
+from cindertrail.operators.parallel import with_previous
 from cindertrail.session import table
 
 SOURCE, SINK = "edge-proxy", "ledger-db"
@@ -36,8 +37,7 @@ def host_endpoints(spark: SparkSession, d: str) -> DataFrame:
 def templates(spark: SparkSession, d: str) -> DataFrame:
     """Message templates and their alphabetical neighbour of the same level."""
     t = logs(spark, d).where("message is not null and level is not null").select("level", L.normalize_message(F.col("message")).alias("a")).distinct()
-    w = Window.partitionBy("level").orderBy("a")
-    return t.withColumn("b", F.lag("a").over(w)).where("b is not null")
+    return with_previous(t, ["level", "a"]).where("previous.level = level").select("level", "a", F.col("previous.a").alias("b"))
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:

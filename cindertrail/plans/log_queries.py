@@ -86,8 +86,8 @@ QUERIES = {
     "service_dependencies": lambda s, d: G.trail_edges(logs(s, d)),
     "node_degrees": lambda s, d: G.nodes(logs(s, d)),
     "top_nodes": lambda s, d: G.top_nodes(logs(s, d)),
-    "reachability": lambda s, d: G.reachable(_calls(s, d)),
-    "blast_radius": lambda s, d: G.blast_radius(_calls(s, d)),
+    "reachability": lambda s, d: G.reachable(_calls(s, d), "edge-proxy"),
+    "blast_radius": lambda s, d: G.blast_radius(_calls(s, d), "ledger-db"),
     "direct_dependents": lambda s, d: G.direct_dependents(_calls(s, d), "ledger-db"),
     "incidents": _incidents,
     "incident_evidence": lambda s, d: I.incident_evidence(logs(s, d), _incidents(s, d)),

@@ -46,32 +46,32 @@ SELECT source, target, count(*) AS weight FROM (
 WHERE source IS NOT NULL AND source <> target GROUP BY 1, 2"""
 
 
-def _reach(edge: str) -> str:
+def _reach(edge: str, origin: str) -> str:
     return f"""
 WITH RECURSIVE e AS ({edge}), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),
 w AS (SELECT x AS origin, x AS service, 0 AS hops FROM n
       UNION SELECT origin, b, hops + 1 FROM w JOIN e ON a = service WHERE hops < 20)
-SELECT origin, service, min(hops) AS hops FROM w GROUP BY 1, 2"""
+SELECT origin, service, min(hops) AS hops FROM w WHERE origin = '{origin}' GROUP BY 1, 2"""
 
 
 INCIDENTS = f"""
 WITH e AS (SELECT id, epoch_ms(ts) AS ms, coalesce(service, '?') AS service, message, {TEMPLATE} AS template FROM log_events WHERE {BAD} AND ts IS NOT NULL),
 s AS (SELECT min(ms) AS origin, max(ms) AS latest, count(*) AS total,
-      least(5000, greatest(1, cast(ceil(greatest(300000, max(ms) - min(ms)) / 300000.0) AS BIGINT))) AS windows FROM e),
+      least(5000, greatest(1, cast(ceil(greatest(300000, max(ms) - min(ms) + 1) / 300000.0) AS BIGINT))) AS windows FROM e),
 t AS (SELECT *, total / windows AS baseline, greatest(3, cast(ceil(3.0 * (total / windows)) AS BIGINT)) AS threshold FROM s),
 h AS (SELECT least(windows - 1, (ms - origin) // 300000) AS slot, count(*) AS n FROM e, t GROUP BY 1),
 hot AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM h, t WHERE n >= threshold),
 sp AS (SELECT min(slot) AS a, max(slot) AS b FROM hot GROUP BY island),
-inc AS (SELECT row_number() OVER (ORDER BY a) AS incident_id, origin + a * 300000 AS start_ms, least(latest, origin + (b + 1) * 300000) AS end_ms,
+inc AS (SELECT origin + a * 300000 AS start_ms, least(latest, origin + (b + 1) * 300000) AS end_ms,
         threshold, baseline FROM sp, t),
-m AS (SELECT incident_id, e.* FROM e JOIN inc ON ms >= start_ms AND ms < end_ms),
-sv AS (SELECT incident_id, string_agg(service, ',' ORDER BY r) AS services FROM (
-         SELECT incident_id, service, row_number() OVER (PARTITION BY incident_id ORDER BY count(*) DESC, min(id)) AS r FROM m GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1),
-tp AS (SELECT incident_id, template AS pattern FROM (
-         SELECT incident_id, template, row_number() OVER (PARTITION BY incident_id ORDER BY count(*) DESC, min(id)) AS r FROM m WHERE template IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
-SELECT incident_id, start_ms, end_ms, threshold, baseline, count(*) AS errors, any_value(services) AS services, any_value(pattern) AS pattern
-FROM inc JOIN m USING (incident_id) LEFT JOIN sv USING (incident_id) LEFT JOIN tp USING (incident_id)
-GROUP BY incident_id, start_ms, end_ms, threshold, baseline"""
+m AS (SELECT start_ms, e.* FROM e JOIN inc ON ms >= start_ms AND ms < end_ms),
+sv AS (SELECT start_ms, string_agg(service, ',' ORDER BY r) AS services FROM (
+         SELECT start_ms, service, row_number() OVER (PARTITION BY start_ms ORDER BY count(*) DESC, min(id)) AS r FROM m GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1),
+tp AS (SELECT start_ms, template AS pattern FROM (
+         SELECT start_ms, template, row_number() OVER (PARTITION BY start_ms ORDER BY count(*) DESC, min(id)) AS r FROM m WHERE template IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
+SELECT row_number() OVER (ORDER BY start_ms) AS incident_id, start_ms, end_ms, threshold, baseline, count(*) AS errors, any_value(services) AS services, any_value(pattern) AS pattern
+FROM inc JOIN m USING (start_ms) LEFT JOIN sv USING (start_ms) LEFT JOIN tp USING (start_ms)
+GROUP BY start_ms, end_ms, threshold, baseline ORDER BY errors DESC, incident_id LIMIT 200"""
 
 
 def _top(dim: str, n: int) -> str:
@@ -175,8 +175,8 @@ FROM log_events""",
 WITH e AS ({EDGES}) SELECT service, count(*) AS events, (SELECT count(*) FROM e WHERE target = service) AS in_degree,
   (SELECT count(*) FROM e WHERE source = service) AS out_degree FROM log_events WHERE service IS NOT NULL GROUP BY service""",
     "top_nodes": "SELECT service, count(*) AS events FROM log_events WHERE service IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 5",
-    "reachability": _reach("SELECT caller AS a, callee AS b FROM service_calls"),
-    "blast_radius": _reach("SELECT callee AS a, caller AS b FROM service_calls"),
+    "reachability": _reach("SELECT caller AS a, callee AS b FROM service_calls", "edge-proxy"),
+    "blast_radius": _reach("SELECT callee AS a, caller AS b FROM service_calls", "ledger-db"),
     "direct_dependents": "SELECT DISTINCT caller AS service FROM service_calls WHERE callee = 'ledger-db'",
     "incidents": INCIDENTS,
     "incident_evidence": f"SELECT incident_id, id, level FROM ({INCIDENTS}) i JOIN log_events ON epoch_ms(ts) >= start_ms AND epoch_ms(ts) < end_ms",
@@ -209,6 +209,7 @@ SELECT batch, count(*) AS events, arg_min(id, (ms, id)) AS first_id, arg_max(id,
     "overview": f"""
 WITH s AS (SELECT max(epoch_ms(ts)) - 86400000 AS lo FROM log_events),
 w AS (SELECT e.*, epoch_ms(ts) AS ms, lo, {BAD} AS bad FROM log_events e, s WHERE epoch_ms(ts) >= lo),
+i AS (SELECT * FROM ({INCIDENTS.replace("FROM log_events WHERE", "FROM w WHERE")})),
 t AS (SELECT count(*) AS n, count(*) FILTER (bad) AS e, count(*) FILTER (level = 'WARN') AS wa, count(DISTINCT service) AS sv, count(DISTINCT host) AS h FROM w)
 SELECT 'totals' AS section, 'events' AS key, n::DOUBLE AS value FROM t UNION ALL SELECT 'totals', 'errors', e FROM t UNION ALL SELECT 'totals', 'warnings', wa FROM t
 UNION ALL SELECT 'totals', 'services', sv FROM t UNION ALL SELECT 'totals', 'hosts', h FROM t UNION ALL SELECT 'totals', 'events_per_minute', n / 1440.0 FROM t
@@ -217,7 +218,9 @@ UNION ALL (SELECT 'service', coalesce(service, '(unknown)'), count(*) FROM w GRO
 UNION ALL (SELECT 'pattern', {TEMPLATE}, count(*) FROM w WHERE message IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, min(id) LIMIT 8)
 UNION ALL SELECT 'status', cast(status AS VARCHAR), count(*) FROM w WHERE status <> 0 GROUP BY 2
 UNION ALL SELECT 'timeline', cast(least(23, (ms - lo) // 3600000) AS VARCHAR), count(*) FROM w GROUP BY 2
-UNION ALL (SELECT 'critical', cast(id AS VARCHAR), ms FROM w WHERE bad ORDER BY ts DESC, id DESC LIMIT 12)""",
+UNION ALL (SELECT 'critical', cast(id AS VARCHAR), ms FROM w WHERE bad ORDER BY ts DESC, id DESC LIMIT 12)
+UNION ALL SELECT 'incident', cast(start_ms AS VARCHAR) || '-' || cast(end_ms AS VARCHAR), errors FROM i
+UNION ALL SELECT 'heatmap', cast(c // 24 AS VARCHAR) || '/' || cast(c % 24 AS VARCHAR), count(id) FROM range(168) r(c) LEFT JOIN w ON (isodow(timezone('UTC', ts)) - 1) * 24 + hour(timezone('UTC', ts)) = c GROUP BY 2""",
 }
 
 

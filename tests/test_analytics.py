@@ -83,9 +83,33 @@ def test_trail_edges_skip_same_service_and_missing(logs):
 
 
 def test_reachability_with_a_cycle(spark):
-    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string")
-    assert rows(G.reachable(e)) >= {("a", "d", 3), ("d", "d", 0), ("b", "a", 2)} and G.reachable(e).count() == 13
-    assert ("d", "a", 3) in rows(G.blast_radius(e))
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "d")], "source string, target string")
+    assert rows(G.reachable(e, "a")) == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3)}
+    assert rows(G.reachable(e, "d")) == {("d", "d", 0)} and ("b", "a", 2) in rows(G.reachable(e, "b")) and rows(G.reachable(e, "z")) == set()
+    assert ("d", "a", 3) in rows(G.blast_radius(e, "d"))
+    with pytest.raises(ValueError, match="more than 2 hops"):
+        G.reachable(e, "a", max_hops=2)
+
+
+def test_value_ranks(logs):
+    df = logs([{"service": "s", "response_ms": v} for v in (5, 1, 1, 9, 7)])
+    assert rows(A.latency_percentiles(df)) == {("s", 5, 5, 9, 9)}
+    assert {(r.key, r.value) for r in A.http_stats(logs([])).where("section = 'latency'").collect()} == {("p50", 0), ("p95", 0), ("max", 0), ("sampled", 0)}
+
+
+def test_neighbours_over_ranges(spark):
+    from cindertrail.operators.parallel import with_previous
+
+    got = with_previous(spark.range(0, 500, 1, 7).withColumn("k", F.col("id") % 3).repartition(5), ["k", "id"]).collect()
+    order = sorted((r.k, r.id) for r in got)
+    assert {(r.k, r.id): r.previous and tuple(r.previous) for r in got} == dict(zip(order, [None, *order[:-1]]))
+
+
+def test_incident_windows_at_the_boundary(logs):
+    """A span of whole windows has one window more, which holds the last error."""
+    errors = [{"ts": 0, "level": "ERROR", "service": "a", "message": "m"}] * 3 + [{"ts": 300, "level": "ERROR", "service": "a", "message": "m"}]
+    (r,) = I.detect_incidents(logs(errors), least=2, factor=1.0).collect()
+    assert (r.baseline, r.threshold, r.errors, r.incident_id) == (2.0, 2, 3, 1)
 
 
 def test_query_language():
