@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cindertrail.functions import logcols as L
 from cindertrail.operators import analytics as A
 from cindertrail.operators import bursts as B
+from cindertrail.operators import frames as R
 from cindertrail.operators import graph as G
 from cindertrail.operators import incidents as I
 from cindertrail.operators import parallel as P
@@ -42,6 +43,11 @@ def _ticks(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("tick", "phase").agg(F.count("*").alias("events"), F.count_if(L.is_error(F.col("level"))).alias("errors"), F.avg("response_ms").alias("avg_ms"))
 
 
+def _session(spark: SparkSession, d: str) -> DataFrame:
+    e = simulation.simulate(spark, "checkout-5xx-cascade", table(spark, d, "service_nodes").select("service", "base_share"))
+    return e.withColumn("session", F.lit("s1"))
+
+
 QUERIES = {
     "severity_distribution": lambda s, d: A.severity_distribution(logs(s, d)),
     "frequency_analysis": lambda s, d: A.frequency_analysis(logs(s, d)),
@@ -106,5 +112,9 @@ QUERIES = {
     "sort_latencies": lambda s, d: P.sorted_rows(logs(s, d).select("id", "response_ms").where("response_ms is not null"), ["response_ms", "id"]),
     "demo_events": lambda s, d: demo.demo_events(s).select("id", L.ts_ms().alias("ts_ms"), "service", "level", "host", "response_ms"),
     "simulation_ticks": _ticks,
+    "session_frames": lambda s, d: R.frames(_session(s, d), simulation.SIGNATURES, simulation.SCENARIOS["checkout-5xx-cascade"].severity),
+    "session_health": lambda s, d: R.health(_session(s, d), table(s, d, "service_nodes")),
+    "session_signatures": lambda s, d: R.signature_counts(_session(s, d), simulation.SIGNATURES),
+    "session_evidence": lambda s, d: R.evidence(_session(s, d), simulation.SIGNATURES),
     "detector_readings": lambda s, d: batch_readings(logs(s, d)),
 }

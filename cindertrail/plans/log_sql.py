@@ -240,10 +240,53 @@ e AS (SELECT *, ['gateway', 'accounts', 'catalog', 'billing', 'orders', 'stock',
 SELECT id, 1773000000000 - 86400000 + CASE WHEN burst THEN hour * 3600000 + cast(floor(late * 600000) AS BIGINT) ELSE span END AS ts_ms, service, level,
   service || '-' || (1 + cast(floor(host * 4) AS INTEGER)) AS host, cast(floor(5 + rt * CASE WHEN level = 'ERROR' THEN 4000 ELSE 400 END) AS BIGINT) AS response_ms FROM e"""
 
-_V = [_unit("'99887766'", f"'{salt}'", "tick", "n") for salt in range(7)]
+_V = [_unit("'42'", f"'{salt}'", "tick", "n") for salt in range(8)]
 SQL["simulation_ticks"] = f"""
 WITH t AS (SELECT tick, CASE WHEN tick < 8 THEN 0.0 WHEN tick < 36 THEN (tick - 8) / 28.0 WHEN tick < 140 THEN 1.0 WHEN tick < 200 THEN (200 - tick) / 60.0 ELSE 0.0 END::DOUBLE AS x FROM range(280) r(tick)),
 c AS (SELECT *, least(120, greatest(1, cast(round(12.0::DOUBLE * (1 + 1.3::DOUBLE * x)) AS INTEGER))) AS count FROM t), e AS (SELECT *, unnest(range(0, count)) AS n FROM c),
 f AS (SELECT tick, x, {_V[2]} < 0.004 + 0.11 * x AS failing, {_V[3]} < 0.3 AS warn, 40 + {_V[4]} * 160 AS base, {_V[5]} AS u5, {_V[6]} AS u6 FROM e)
 SELECT cast(tick AS INTEGER) AS tick, CASE WHEN x <= 0 THEN 'healthy' WHEN x < 0.35 THEN 'onset' WHEN x < 0.85 THEN 'degrading' ELSE 'peak' END AS phase, count(*) AS events, count_if(failing AND NOT warn) AS errors,
   avg(floor(base + CASE WHEN failing THEN u5 * 1250 * (0.5 + x) ELSE 0.25 * 1250 * x * u6 END)) AS avg_ms FROM f GROUP BY tick, x"""
+
+#: The session's events, then counters, bins, baselines (a recursion over the ticks), buckets and signature hits.
+_SESSION = f"""
+WITH RECURSIVE t AS (SELECT tick, CASE WHEN tick < 12 THEN 0.0 WHEN tick < 40 THEN (tick - 12) / 28.0 WHEN tick < 168 THEN 1.0 WHEN tick < 240 THEN (240 - tick) / 72.0 ELSE 0.0 END::DOUBLE AS x FROM range(320) r(tick)),
+g AS (SELECT *, least(120, greatest(1, cast(round(12.0::DOUBLE * (1 + (1.65::DOUBLE - 1) * x)) AS INTEGER))) AS count FROM t), k AS (SELECT *, unnest(range(0, count)) AS n FROM g),
+fleet AS (SELECT list(service ORDER BY service) AS names, list(base_share ORDER BY service) AS shares FROM service_nodes),
+f AS (SELECT tick, x, n, names, shares, {_V[1]} AS u1, {_V[2]} < 0.004 + 0.34 * x AS failing, {_V[3]} < 0.3 AS warn, 40 + {_V[4]} * 160 AS base, {_V[5]} AS u5, {_V[6]} AS u6, {_V[7]} AS u7 FROM k, fleet),
+e AS (SELECT tick, x, tick * 1000 + n AS id, failing, names[least(len(names), 1 + len(list_filter(range(1, len(names) + 1), lambda i: list_sum(shares[1:i]) <= u1 * list_sum(shares))))] AS service,
+  failing AND NOT warn AS bad, failing AND warn AS warn, cast(floor(base + CASE WHEN failing THEN u5 * 1850 * (0.5 + x) ELSE 0.25 * 1850 * x * u6 END) AS BIGINT) AS ms,
+  CASE WHEN failing THEN ['call refused upstream', 'pool drained', 'token not accepted'][1 + cast(floor(u7 * 3) AS INTEGER)] END AS signature FROM f),
+c AS (SELECT tick, any_value(x) AS x, count(*) AS events, count_if(bad) AS tick_errors, count_if(warn) AS w, sum(ms) AS ms FROM e GROUP BY tick),
+d AS (SELECT *, sum(events) OVER u AS generated, sum(tick_errors) OVER u AS errors, sum(w) OVER u AS warnings, sum(ms) OVER u AS sum_ms FROM c WINDOW u AS (ORDER BY tick)),
+b AS (SELECT r.tick, bin, (SELECT count(*) FROM e WHERE e.tick <= r.tick AND least(59, e.ms // 200) = bin) AS n FROM (SELECT DISTINCT tick FROM e) r, range(60) q(bin)),
+q AS (SELECT tick, (min(bin) + 1) * 200 AS p95 FROM (SELECT *, sum(n) OVER (PARTITION BY tick ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY tick) AS every FROM b) WHERE upto >= ceil(every * 0.95) GROUP BY tick),
+y AS (SELECT d.tick, x, events / 0.25 AS eps, p95 FROM d JOIN q USING (tick)),
+l AS (SELECT -1::BIGINT AS tick, 0.0::DOUBLE AS eps, 0::BIGINT AS p95, false AS seeded
+  UNION ALL SELECT tick, CASE WHEN e1 <= 0 THEN greatest(1.0, e0) ELSE e1 END, CASE WHEN p1 <= 0 THEN greatest(1, p0) ELSE p1 END, seeded OR quiet FROM (
+    SELECT y.tick, y.eps AS e0, y.p95 AS p0, l.seeded, y.x <= 0.02 AND y.tick >= 3 AS quiet,
+      CASE WHEN NOT (y.x <= 0.02 AND y.tick >= 3) THEN l.eps WHEN l.eps = 0 THEN y.eps ELSE l.eps * 0.85 + y.eps * (1 - 0.85) END AS e1,
+      CASE WHEN NOT (y.x <= 0.02 AND y.tick >= 3) THEN l.p95 WHEN l.seeded THEN cast(floor(l.p95 * 0.85::DOUBLE + y.p95 * (1 - 0.85::DOUBLE) + 0.5) AS BIGINT) ELSE y.p95 END AS p1 FROM l JOIN y ON y.tick = l.tick + 1)),
+z AS (SELECT tick // 4 AS bucket, sum(tick_errors) AS e FROM c GROUP BY 1), zb AS (SELECT bucket, coalesce(avg(e) OVER (ORDER BY bucket ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 0) AS burst_baseline FROM z),
+o AS (SELECT tick, tick // 4 AS bucket, cast(sum(tick_errors) OVER (PARTITION BY tick // 4 ORDER BY tick) AS BIGINT) AS bucket_errors FROM c),
+p AS (SELECT tick, signature, row_number() OVER (ORDER BY tick, id) AS place FROM e), pe AS (SELECT tick, max(place) AS last FROM p GROUP BY tick),
+h AS (SELECT pe.tick, p.signature, count(*) AS hits FROM pe JOIN p ON p.place <= last AND p.place > last - 600 WHERE p.signature IS NOT NULL GROUP BY 1, 2)"""
+SQL["session_signatures"] = f"{_SESSION} SELECT 's1' AS session, cast(tick AS INTEGER) AS tick, signature, hits FROM h"
+SQL["session_frames"] = f"""{_SESSION}
+SELECT 's1' AS session, cast(d.tick AS INTEGER) AS tick, CASE WHEN d.x <= 0 THEN 'healthy' WHEN d.x < 0.35 THEN 'onset' WHEN d.x < 0.85 THEN 'degrading' ELSE 'peak' END AS phase, events, cast(generated AS BIGINT) AS generated,
+  cast(errors AS BIGINT) AS errors, cast(warnings AS BIGINT) AS warnings, round(errors * 100.0::DOUBLE / generated, 2) AS error_pct,
+  CASE WHEN tick_errors / events >= 0.1 THEN 'elevated' WHEN tick_errors / events >= 0.02 THEN 'watch' ELSE 'normal' END AS band, cast(sum_ms // generated AS BIGINT) AS avg_ms, cast(least(generated, 4000) AS BIGINT) AS retained,
+  y.eps, round(l.eps, 6) AS base_eps, y.p95 AS p95_ms, l.p95 AS base_p95_ms, bucket, bucket_errors, round(burst_baseline, 6) AS burst_baseline,
+  bucket_errors >= 4 AND (burst_baseline = 0 OR bucket_errors / burst_baseline >= 2.2) AS burst, CASE WHEN y.p95 >= 4 * l.p95 THEN 'CRITICAL' WHEN y.p95 >= 2 * l.p95 THEN 'MAJOR' END AS latency_signal, y.eps >= 2 * l.eps AS volume_signal,
+  cast((SELECT count(*) FROM h WHERE h.tick = d.tick) AS INTEGER) AS signatures, cast(coalesce((SELECT sum(hits) FROM h WHERE h.tick = d.tick), 0) AS BIGINT) AS signature_hits
+FROM d JOIN y USING (tick) JOIN l USING (tick) JOIN o USING (tick) JOIN zb USING (bucket)"""
+SQL["session_health"] = f"""{_SESSION},
+s AS (SELECT t.tick, v.service, v.tier, (SELECT count(*) FROM e WHERE e.tick <= t.tick AND e.service = v.service) AS events, (SELECT count(*) FROM e WHERE e.tick <= t.tick AND e.service = v.service AND bad) AS errors,
+  (SELECT coalesce(sum(ms), 0) FROM e WHERE e.tick <= t.tick AND e.service = v.service) AS ms FROM t, service_nodes v),
+r AS (SELECT s.*, CASE WHEN events = 0 THEN 0 ELSE errors * 100.0::DOUBLE / events END AS pct, CASE WHEN events = 0 THEN 0 ELSE cast(ms // events AS BIGINT) END AS avg_ms, l.p95 AS base, max(events) OVER (PARTITION BY s.tick) AS most FROM s JOIN l ON l.tick = s.tick)
+SELECT 's1' AS session, cast(tick AS INTEGER) AS tick, service, tier, events, errors, round(pct, 6) AS error_pct, avg_ms,
+  CASE WHEN pct >= 8 OR avg_ms >= 4 * base THEN 'critical' WHEN pct >= 3 OR avg_ms >= 2 * base THEN 'degraded' ELSE 'healthy' END AS state, round(events / most, 6) AS load FROM r"""
+SQL["session_evidence"] = f"""{_SESSION}
+SELECT 's1' AS session, cast(tick AS INTEGER) AS tick, 'multi-scan' AS algorithm, cast(count(*) AS VARCHAR) AS subject, cast(sum(hits) AS BIGINT) AS amount FROM h GROUP BY tick
+UNION ALL SELECT 's1', cast(tick AS INTEGER), 'recount', arg_min(signature, (-hits, signature)), max(hits) FROM h GROUP BY tick
+UNION ALL SELECT 's1', cast(tick AS INTEGER), 'window', cast(bucket AS VARCHAR), bucket_errors FROM o"""

@@ -27,24 +27,28 @@ class Scenario:
     volume: float
     errors: float
     latency_ms: int
-    seed: int
+    severity: str
 
 
 #: The seven scenarios.
 SCENARIOS = {
     s.name: s
     for s in (
-        Scenario("checkout-5xx-cascade", 240, 12, 40, 168, 1.65, 0.34, 1850, 20260412),
-        Scenario("database-latency-spike", 240, 16, 48, 176, 1.28, 0.14, 2400, 771903),
-        Scenario("authentication-burst", 220, 10, 34, 150, 1.42, 0.27, 940, 31415926),
-        Scenario("cache-failure", 240, 14, 44, 172, 1.35, 0.19, 1650, 1618033),
-        Scenario("traffic-surge", 200, 8, 36, 140, 2.30, 0.11, 1250, 99887766),
-        Scenario("deployment-regression", 260, 20, 60, 200, 1.10, 0.12, 1450, 5150071),
-        Scenario("payment-timeout", 240, 12, 42, 170, 1.22, 0.21, 3000, 2718281),
+        Scenario("checkout-5xx-cascade", 240, 12, 40, 168, 1.65, 0.34, 1850, "CRITICAL"),
+        Scenario("database-latency-spike", 240, 16, 48, 176, 1.28, 0.14, 2400, "MAJOR"),
+        Scenario("authentication-burst", 220, 10, 34, 150, 1.42, 0.27, 940, "MAJOR"),
+        Scenario("cache-failure", 240, 14, 44, 172, 1.35, 0.19, 1650, "MAJOR"),
+        Scenario("traffic-surge", 200, 8, 36, 140, 2.30, 0.11, 1250, "MINOR"),
+        Scenario("deployment-regression", 260, 20, 60, 200, 1.10, 0.12, 1450, "MAJOR"),
+        Scenario("payment-timeout", 240, 12, 42, 170, 1.22, 0.21, 3000, "CRITICAL"),
     )
 }
 
 
+#: What failing events say; own texts.
+SIGNATURES = ("call refused upstream", "pool drained", "token not accepted")
+
+
 def intensity(s: Scenario, tick: Column) -> Column:
     """0 before the onset, a ramp to 1 at the peak, 1 to the recovery, a ramp back to 0 at the end."""
     up = (tick - s.onset) / float(s.peak - s.onset)
@@ -56,16 +60,21 @@ def phase(level: Column) -> Column:
     return F.when(level <= 0, "healthy").when(level < 0.35, "onset").when(level < 0.85, "degrading").otherwise("peak")
 
 
-def simulate(spark: SparkSession, scenario: str, services: DataFrame, ticks: int | None = None, origin_ms: int = 1_646_611_200_000, seed: int | None = None) -> DataFrame:
-    """Events of every tick of a scenario: tick, intensity, ts, service, level, status, response_ms.
+def simulate(spark: SparkSession, scenario: str, services: DataFrame, ticks: int | None = None, origin_ms: int = 1_646_611_200_000, seed: int = 42) -> DataFrame:
+    """Events of every tick of a scenario, the calm after its end included; columns as in ``scenario_events``."""
+    last = min(ticks or 10**6, SCENARIOS[scenario].ticks + COOLDOWN_TICKS)
+    return scenario_events(spark.range(last).select(F.col("id").cast("int").alias("tick")), scenario, services, origin_ms, seed)
+
+
+def scenario_events(ticks: DataFrame, scenario: str, services: DataFrame, origin_ms: int = 1_646_611_200_000, seed: int = 42) -> DataFrame:
+    """Events of the given ``tick``s: tick, intensity, phase, id, ts, service, level, status, response_ms, message.
 
     Each value is a hash of (seed, tick, position), so any range of ticks can be made alone and
-    again. ``services`` (service, base_share) are the fleet; it is read as ranges of shares.
+    again, in a batch or from a stream of ticks (``TickSource``). ``services`` (service,
+    base_share) are the fleet; it is read as ranges of shares.
     """
     s = SCENARIOS[scenario]
-    seed = s.seed if seed is None else seed
-    last = min(ticks or 10**6, s.ticks + COOLDOWN_TICKS)
-    t = spark.range(last).select(F.col("id").cast("int").alias("tick"))
+    t = ticks.select("tick")
     t = t.withColumn("intensity", intensity(s, F.col("tick")))
     count = F.least(F.lit(MAX_PER_TICK), F.greatest(F.lit(1), F.round(F.lit(EVENTS_PER_SECOND * TICK_MS / 1000) * (1 + (s.volume - 1) * F.col("intensity"))).cast("int")))
     t = t.withColumn("count", count).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
@@ -90,6 +99,7 @@ def simulate(spark: SparkSession, scenario: str, services: DataFrame, ticks: int
         F.when(F.col("failing") & warn, "WARN").when(F.col("failing"), "ERROR").otherwise("INFO").alias("level"),
         F.when(F.col("failing"), 500).otherwise(200).alias("status"),
         (base + F.when(F.col("failing"), unit(5) * s.latency_ms * (0.5 + F.col("intensity"))).otherwise(0.25 * s.latency_ms * F.col("intensity") * unit(6))).cast("long").alias("response_ms"),
+        F.when(F.col("failing"), F.element_at(F.array(*map(F.lit, SIGNATURES)), (unit(7) * len(SIGNATURES)).cast("int") + 1)).otherwise("request completed").alias("message"),
     )
 
 
