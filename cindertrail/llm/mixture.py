@@ -4,9 +4,10 @@ A source whose target is r times its size takes every record floor(r) times and
 with inclusion probability r - floor(r) once more; a source that can't reach its target takes
 every record ``max_repeats`` times. The sample is balanced on two totals, records and tokens:
 the vector of inclusion probabilities moves in the null space of the two constraints, three
-undecided records at a time, until each is 0 or 1. Every task flies over its own records and
-leaves at most two per source undecided; these fly again in groups of tasks, then per source,
-and only the last two are landed, at the smallest error in tokens.
+undecided records at a time, until each is 0 or 1. The records of a source fly in buckets told by their ids, each of
+which leaves at most two undecided; these fly again in groups of buckets, then per source, and
+only the last two are landed, at the smallest error in tokens. The choice depends on the
+records and the seed alone, not on files, tasks or cores.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from cindertrail.llm.tokens import VOCABULARY, token_count
 from cindertrail.session import materialise
 
 EPS = 1e-9
-#: Tasks whose leftovers (two per source each) fly together before the last flight per source.
-GROUP = 512
+#: Records of a source that make one bucket, about, and the buckets whose leftovers (two each) fly together before the last flight.
+BUCKET, GROUP = 100_000, 512
 
 
 def move(units: list[list], rng: random.Random) -> bool:
@@ -124,22 +125,26 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
     """(chosen, plan): doc_id, source, tokens, copies of the records in the mix, and the plan.
 
     No record is used more than its source's max_repeats. Records of sources without a target
-    are not used, nor are records of no tokens sampled (they count as 0 tokens).
+    are not used, nor are records of no tokens.
     """
     sized = materialise(measured(documents, vocabulary=vocabulary), "tokens")
     plan = mixing_plan(sized, targets, mix_tokens)
-    units = sized.join(plan.select("source", "whole", "pi"), "source").select("doc_id", "source", "tokens", "whole", F.col("pi").alias("x"), F.spark_partition_id().cast("long").alias("task"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.floor(F.col("documents") / BUCKET) + 1)
+    units = sized.where("tokens > 0").join(plan.select("source", "whole", "pi", "documents"), "source")
+    units = units.select("doc_id", "source", "tokens", "whole", F.col("pi").alias("x"), bucket.alias("task"))
+    units = units.repartition("source", "task").sortWithinPartitions("source", "task", "doc_id", "tokens")
 
     def fly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flights: dict[str, Flight] = {}
+        now, flight = None, None
         for batch in batches:
             out = []
             for doc, source, tokens, whole, x, task in batch[NAMES].itertuples(index=False, name=None):
-                if source not in flights:
-                    flights[source] = Flight(f"{seed}|{source}|{task}")
-                out += flights[source].feed([x, tokens, doc, source, whole, task])
+                if (source, task) != now:
+                    out += flight.rest() if flight else []
+                    now, flight = (source, task), Flight(f"{seed}|{source}|{task}")
+                out += flight.feed([x, tokens, doc, source, whole, task])
             yield frame(out)
-        yield frame([u for f in flights.values() for u in f.rest()])
+        yield frame(flight.rest() if flight else [])
 
     def frame(out: list[list]) -> pd.DataFrame:
         return pd.DataFrame([(u[2], u[3], u[1], u[4], u[0], u[5]) for u in out], columns=NAMES)

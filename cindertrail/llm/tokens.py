@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 
 import pandas as pd
@@ -13,8 +12,6 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of the public byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are counted in pieces that end before white space, or at this length.
-PIECE = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -26,16 +23,12 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str) -> list[str]:
-    return re.findall(rf"(?s).{{1,{PIECE}}}(?=\s|$)|.{{1,{PIECE}}}", text) if len(text) > PIECE else [text]
-
-
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of a text; 0 for null and empty ones."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         enc = encoding(vocabulary)
-        return pd.Series([sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if isinstance(t, str) and t else 0 for t in texts], dtype="int64")
+        return pd.Series([len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in texts], dtype="int64")
 
     return count(text)
