@@ -24,6 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cindertrail.session import materialise
+
 try:
     from xxhash import xxh3_64_intdigest as _hash
 except ImportError:
@@ -147,6 +149,7 @@ def template_matches(
     context = documents.sparkSession.sparkContext
     kept = context.broadcast(frozenset(wording(items, name_max_items)))
     evals = template_windows(items, item_id, kept, size).withColumnsRenamed({"key": item_id, "pos": "item_pos", "slots": "item_slots"})
+    evals = materialise(evals, "items")
     some = [r.template for r in evals.select("template").distinct().limit(MAX_FILTER + 1).collect()]
     only = context.broadcast(np.sort(np.array(some, dtype=np.int64))) if len(some) <= MAX_FILTER else None
     docs = template_windows(documents, doc_id, kept, size, only=only).withColumnsRenamed({"key": doc_id, "pos": "doc_pos", "slots": "doc_slots"})
@@ -212,13 +215,15 @@ def variants(
     depends only on which places hold the same word, so items alike in this are checked once.
     """
     docs, evals = template_matches(documents, items, name_max_items, size, doc_id, item_id)
-    members = _members(evals, item_id)
+    docs = materialise(docs, "windows")
+    members = materialise(_members(evals, item_id), "members")
     long = members.groupBy("class_id").agg(F.max(F.size("t")).alias("whole"))
     shapes = members.select("class_id", F.explode("t").alias("x")).select("class_id", "x.item_pos", "x.template").distinct()
     hits = docs.join(shapes, "template").select(doc_id, "class_id", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
     line = Window.partitionBy(doc_id, "class_id", "shift").orderBy("item_pos")
     hits = hits.withColumn("island", F.col("item_pos") - F.row_number().over(line))
     runs = hits.groupBy(doc_id, "class_id", "shift", "island").agg(F.count("*").alias("windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos"))
+    runs = materialise(runs, "runs")
     doc_words = documents.join(runs.select(doc_id).distinct(), doc_id).select(doc_id, words("text").alias("dw"))
     n = F.col("to_pos") - F.col("from_pos") + size
     runs = runs.join(doc_words, doc_id).select(doc_id, "class_id", "windows", "from_pos", n.alias("n"), pattern(F.slice("dw", F.col("from_pos") + F.col("shift"), n)).alias("dp"))
