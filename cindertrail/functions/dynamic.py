@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+
 
 def matrix_chain(dims: Sequence[int]) -> tuple[int, str]:
     """(least scalar multiplications, bracketing) of a product of len(dims) - 1 matrices; first best split wins."""
@@ -193,26 +195,47 @@ def subset_totals(values: Sequence[int]) -> list[int]:
     return out
 
 
-def knapsack_fptas(items: Sequence[tuple[int, int]], capacity: int, eps: float) -> tuple[int, int, list[int]]:
-    """(value, weight, item indexes): at least 1 - eps of the best value, by rounded values."""
+def knapsack_fptas(items: Sequence[tuple[int, int]], capacity: int, eps: float, most: int = 5000) -> tuple[int, int, list[int]]:
+    """(value, weight, item indexes) of a choice of (weight, value) items: at least 1 - eps of the best value.
+
+    Values are rounded to parts of a greedy choice, which is worth at least half the best. Beyond
+    ``most`` items the greedy choice itself is taken; it is good enough once no item is worth more
+    than ``eps`` of it, else an error is raised.
+    """
     if not 0 < eps < 1:
         raise ValueError("0 < eps < 1")
     fits = [(i, w, v) for i, (w, v) in enumerate(items) if 0 <= w <= capacity and v > 0]
     if not fits:
         return 0, 0, []
-    scale = max(1e-12, eps * max(v for _, _, v in fits) / len(fits))
-    # per rounded value the least weight, as a chain of choices
-    best: dict[int, tuple[int, tuple | None]] = {0: (0, None)}
-    for i, w, v in fits:
+    greedy, total, worth = [], 0, 0
+    for i, w, v in sorted(fits, key=lambda x: (-x[2] / x[1] if x[1] else float("-inf"), x[1], x[2])):
+        if total + w > capacity:
+            break
+        greedy.append(i)
+        total, worth = total + w, worth + v
+    top = max(v for _, _, v in fits)
+    if len(fits) > most:
+        if top > eps * worth:
+            raise ValueError(f"more than {most} items with single ones of over {eps} of the greedy value")
+        return worth, total, sorted(greedy)
+    scale = eps * max(worth, top) / len(fits)
+    states = int(2 * max(worth, top) / scale) + len(fits) + 2  # no choice is worth more than twice the greedy one
+    weight = np.full(states, capacity + 1, dtype=np.int64)
+    weight[0] = 0
+    gains, taken = [], []
+    for _, w, v in fits:
         gain = int(v / scale)
-        for total, (weight, chain) in sorted(best.items(), reverse=True):
-            if weight + w <= capacity and (total + gain not in best or weight + w < best[total + gain][0]):
-                best[total + gain] = (weight + w, (i, chain))
-    top = max(best)
-    chosen, chain = [], best[top][1]
-    while chain:
-        chosen.append(chain[0])
-        chain = chain[1]
+        with_it = weight[: states - gain] + w
+        better = (with_it < weight[gain:]) & (with_it <= capacity)
+        weight[gain:][better] = with_it[better]
+        gains.append(gain)
+        taken.append(np.packbits(better))  # by the state it came from
+    at, chosen = int(np.flatnonzero(weight <= capacity)[-1]), []
+    for (i, _, _), gain, bits in zip(reversed(fits), reversed(gains), reversed(taken)):
+        before = at - gain
+        if before >= 0 and bits[before >> 3] >> (7 - (before & 7)) & 1:
+            chosen.append(i)
+            at = before
     chosen.sort()
     return sum(items[i][1] for i in chosen), sum(items[i][0] for i in chosen), chosen
 

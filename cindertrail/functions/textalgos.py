@@ -52,17 +52,17 @@ def hash_matches(text: str, pattern: str, base: int = 911382323, mods: Sequence[
     m, n = len(pattern), len(text)
     if not m or m > n:
         return [], 0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    want_codes = np.frombuffer(pattern.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).tolist()
     same = np.ones(n - m + 1, dtype=bool)
     for mod in mods:
-        lead = pow(base, m - 1, mod)
-        want = have = 0
-        for i in range(m):
-            want = (want * base + ord(pattern[i])) % mod
-            have = (have * base + ord(text[i])) % mod
-        for i in range(n - m + 1):
-            same[i] &= have == want
-            if i + m < n:
-                have = ((have - ord(text[i]) * lead) * base + ord(text[i + m])) % mod
+        if mod >= 1 << 31:
+            raise ValueError("moduli below 2^31")
+        want, have, by = 0, np.zeros(n - m + 1, dtype=np.uint64), base % mod
+        for i, c in enumerate(want_codes):
+            want = (want * by + c) % mod
+            have = (have * np.uint64(by) + codes[i : i + n - m + 1]) % np.uint64(mod)
+        same &= have == want
     hits = np.flatnonzero(same).tolist()
     exact = [i for i in hits if text.startswith(pattern, i)]
     return exact, len(hits) - len(exact)

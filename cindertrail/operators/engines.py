@@ -48,6 +48,7 @@ def column_function(fn: Callable, returns: str) -> Callable[..., Column]:
 
 
 positions = column_function(textalgos.occurrences, "array<int>")
+hash_positions = column_function(lambda t, p: textalgos.hash_matches(t, p, mods=(1_000_000_007, 1_000_000_009))[0], "array<int>")
 lps = column_function(textalgos.border_array, "array<int>")
 z_values = column_function(textalgos.z_array, "array<int>")
 suffixes = column_function(textalgos.suffix_array, "array<int>")
@@ -333,11 +334,54 @@ def _tree(pdf: pd.DataFrame) -> dynamic.Tree:
     return dynamic.Tree(len(pdf), [(int(p), int(v), int(w)) for v, p, w in zip(pdf["node"], pdf["parent"], pdf["weight"]) if p >= 0])
 
 
+def modular_powers(n: Column | str, exponent: int, modulus: int) -> Column:
+    """n^exponent mod modulus by repeated squaring in exact decimals; the modulus is at most 10^18."""
+    base = F.pmod((F.col(n) if isinstance(n, str) else n).cast("decimal(19,0)"), F.lit(modulus).cast("decimal(19,0)")).cast("decimal(19,0)")
+    times = lambda a, b: F.pmod((a * b).cast("decimal(38,0)"), F.lit(modulus).cast("decimal(19,0)")).cast("decimal(19,0)")
+    bits = F.array(*[F.lit(b == "1") for b in f"{exponent:b}"])
+    step = lambda acc, bit: F.when(bit, times(times(acc, acc), base)).otherwise(times(acc, acc))
+    return F.aggregate(bits, F.lit(1 % modulus).cast("decimal(19,0)"), step).cast("long")
+
+
 def tree_distance_sums(rows: DataFrame, key: str) -> DataFrame:
     """key, node, distance_sum: per node the sum of distances to all others."""
     return per_instance_rows(rows, key, lambda pdf: list(enumerate(_tree(pdf).distance_sums())), "node int, distance_sum long")
 
 
+def tree_subset_sums(rows: DataFrame, key: str) -> DataFrame:
+    """key, sums, largest: how many sums the ``value``s of vertex sets closed under parents have, the root always in."""
+
+    def run(pdf: pd.DataFrame) -> dict:
+        sums = _tree(pdf).subset_sums([int(v) for v in pdf.sort_values("node")["value"]])
+        return {"sums": len(sums), "largest": max(sums)}
+
+    return per_instance(rows, key, run, "sums int, largest long")
+
+
+def complement_graphs(edges: DataFrame, key: str) -> DataFrame:
+    """key, source, target: the pairs of vertices without an edge, source before target; at most 2,000 edges an instance."""
+
+    def run(pdf: pd.DataFrame) -> list[tuple]:
+        names, at = _vertices(pdf)
+        return [(names[u], names[v]) for u, v in covers.complement_edges(len(names), [(u, v) for u, v, _ in _edges(pdf, at)])]
+
+    return per_instance_rows(edges, key, run, "source string, target string", 2000)
+
+
+def cover_reductions(edges: DataFrame, key: str) -> DataFrame:
+    """key, vertices, cover, independent, clique_holds: a cover leaves an independent set, which is a clique of the complement graph."""
+
+    def run(pdf: pd.DataFrame) -> dict:
+        names, at = _vertices(pdf)
+        e = [(u, v) for u, v, _ in _edges(pdf, at)]
+        cover = set(covers.vertex_cover(e))
+        rest = set(range(len(names))) - cover
+        holds = covers.is_cover(cover, e) and covers.is_independent(rest, e) and covers.is_clique(rest, len(names), covers.complement_edges(len(names), e))
+        return {"vertices": len(names), "cover": len(cover), "independent": ",".join(names[i] for i in sorted(rest)), "clique_holds": holds}
+
+    return per_instance(edges, key, run, "vertices int, cover int, independent string, clique_holds boolean", 20_000)
+
+
 def trees(rows: DataFrame, key: str) -> DataFrame:
     """key, vertices, diameter, best_sum, centroids, subset_sums of trees given by (node, parent, weight); the root's parent is -1."""
 
@@ -359,7 +403,7 @@ def knapsacks(rows: DataFrame, key: str, share: float = 0.25, eps: float = 0.2)
         value, weight, chosen = dynamic.knapsack_fptas(items, int(share * sum(w for w, _ in items)), eps)
         return {"value": value, "weight": weight, "items": len(chosen)}
 
-    return per_instance(rows, key, run, "value long, weight long, items int", 1000)
+    return per_instance(rows, key, run, "value long, weight long, items int", 2_000_000)
 
 
 # --- numbers and hashing -----------------------------------------------------------------

@@ -92,7 +92,7 @@ A, B = nums.family(1337)
 
 QUERIES = {
     "pattern_positions": lambda s, d: logs(s, d).select("id", F.explode(L.match_positions(F.col("message"), "ed")).alias("start")),
-    "pattern_positions_arrow": lambda s, d: logs(s, d).where("message is not null").select("id", F.explode(E.positions("message", F.lit("ed"))).alias("start")),
+    "rabin_karp_positions": lambda s, d: logs(s, d).where("message is not null").select("id", F.explode(E.hash_positions("message", F.lit("ed"))).alias("start")),
     "multi_pattern_scan": lambda s, d: E.multi_pattern(logs(s, d), "message", PATTERNS),
     "border_arrays": lambda s, d: templates(s, d).select("level", "a", F.array_join(E.lps("a").cast("array<string>"), ",").alias("lps"), F.array_join(E.z_values("a").cast("array<string>"), ",").alias("z")),
     "rolling_hash": lambda s, d: logs(s, d).where("service is not null").select("service").distinct().select("service", L.polynomial_hash(F.col("service")).alias("hash")),
@@ -115,6 +115,10 @@ QUERIES = {
     "bipartite_matching": lambda s, d: E.matchings(host_endpoints(s, d), "service"),
     "matching_pairs": lambda s, d: E.matching_pairs(host_endpoints(s, d), "service"),
     "vertex_cover": lambda s, d: E.vertex_covers(day_edges(s, d), "day"),
+    "complement_graph": lambda s, d: E.complement_graphs(day_edges(s, d), "day"),
+    "cover_reductions": lambda s, d: E.cover_reductions(day_edges(s, d), "day"),
+    "modular_powers": lambda s, d: table(s, d, "supplier").select("s_suppkey", E.modular_powers("s_suppkey", 65537, 1_000_000_007).alias("power")),
+    "tree_subset_sums": lambda s, d: E.tree_subset_sums(supplier_trees(s, d).withColumn("value", 1 + F.col("weight") % 7), "nation"),
     "set_cover": lambda s, d: E.set_covers(host_endpoints(s, d).select("service", F.col("source").alias("set"), F.col("target").alias("item")), "service"),
     "matrix_chain": lambda s, d: E.matrix_chains(hourly(s, d), "service"),
     "optimal_bst": lambda s, d: E.search_trees(hourly(s, d), "service"),

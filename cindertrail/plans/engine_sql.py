@@ -157,7 +157,7 @@ w AS (SELECT nation, node AS a, node AS b, -1::BIGINT AS came, -1::BIGINT AS fir
 
 SQL: dict[str, str] = {
     "pattern_positions": _STARTS,
-    "pattern_positions_arrow": _STARTS,
+    "rabin_karp_positions": _STARTS,
     "multi_pattern_scan": "SELECT id, p AS pattern, i - 1 AS start FROM log_events, (VALUES {}) v(p), range(1, 3000) r(i) WHERE i <= length(message) AND substring(message, i, length(p)) = p".format(
         ", ".join(f"('{p}')" for p in _PATTERNS)
     ),
@@ -217,4 +217,33 @@ FROM w GROUP BY nation""",
     "tree_distance_sums": f"{_TREE_PATHS} SELECT nation, cast(a AS INTEGER) AS node, cast(sum(d) AS BIGINT) AS distance_sum FROM w GROUP BY 1, 2",
     "reservoir": """
 SELECT service, id, slot FROM (SELECT service, id, row_number() OVER (PARTITION BY service ORDER BY md5('42/' || service || '/' || id), id) AS slot FROM log_events WHERE service IS NOT NULL) WHERE slot <= 10""",
+    "complement_graph": f"""
+WITH e AS ({_UNDIRECTED}), x AS (SELECT day, u AS name FROM e UNION SELECT day, v FROM e)
+SELECT a.day, a.name AS source, b.name AS target FROM x a JOIN x b ON b.day = a.day AND a.name < b.name WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.day = a.day AND u = a.name AND v = b.name)""",
+    "cover_reductions": f"""
+WITH c AS ({_VERTEX_COVERS}), e AS ({_UNDIRECTED}), x AS (SELECT day, u AS name FROM e UNION SELECT day, v FROM e)
+SELECT day, cast(count(*) AS INTEGER) AS vertices, any_value(size) AS cover, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT list_contains(string_split(cover, ','), name)), '') AS independent, true AS clique_holds
+FROM c JOIN x USING (day) GROUP BY day""",
+    "modular_powers": """
+WITH RECURSIVE p AS (SELECT s_suppkey, 0 AS i, s_suppkey::HUGEINT % 1000000007 AS x FROM supplier UNION ALL SELECT s_suppkey, i + 1, x * x % 1000000007 FROM p WHERE i < 16)
+SELECT s_suppkey, cast(x * s_suppkey % 1000000007 AS BIGINT) AS power FROM p WHERE i = 16""",
+    "tree_subset_sums": f"""
+WITH RECURSIVE s AS ({_SUPPLIERS}), t AS (SELECT nation, list(1 + weight % 7 ORDER BY node) AS v FROM s GROUP BY nation),
+w AS (SELECT nation, v, len(v) - 1 AS node, list_transform(v, lambda x: []::BIGINT[]) AS sums FROM t
+  UNION ALL SELECT nation, v, node - 1, list_transform(range(0, len(v)), lambda i: CASE WHEN i = node THEN list_distinct(list_transform(
+    flatten(list_transform(list_prepend(0::BIGINT, coalesce(sums[2 * node + 2], []::BIGINT[])), lambda a: list_transform(list_prepend(0::BIGINT, coalesce(sums[2 * node + 3], []::BIGINT[])), lambda b: a + b))),
+    lambda x: x + v[node + 1])) ELSE sums[i + 1] END) FROM w WHERE node >= 0)
+SELECT nation, cast(len(sums[1]) AS INTEGER) AS sums, list_max(sums[1]) AS largest FROM w WHERE node = -1""",
+    "knapsack": """
+WITH RECURSIVE p AS (SELECT p_brand AS brand, cast(p_size AS BIGINT) AS w, cast(round(p_retailprice * 100) AS BIGINT) AS v FROM part),
+c AS (SELECT brand, cast(floor(0.25 * sum(w)) AS BIGINT) AS capacity FROM p GROUP BY brand), f AS (SELECT brand, w, v, capacity FROM p JOIN c USING (brand) WHERE w BETWEEN 0 AND capacity AND v > 0),
+g AS (SELECT *, sum(w) OVER (PARTITION BY brand ORDER BY -v::DOUBLE / w, w, v ROWS UNBOUNDED PRECEDING) AS upto FROM f),
+k AS (SELECT brand, count(*) AS n, greatest(coalesce(sum(v) FILTER (upto <= capacity), 0), max(v)) AS worth, any_value(capacity) AS capacity FROM g GROUP BY brand),
+q AS (SELECT brand, n, capacity, 0.2::DOUBLE * worth / n AS scale, cast(floor(2 * worth / (0.2::DOUBLE * worth / n)) AS BIGINT) + n + 2 AS states FROM k),
+i AS (SELECT brand, w, v, cast(floor(v / scale) AS BIGINT) AS gain, row_number() OVER (PARTITION BY brand ORDER BY w, v) AS i FROM f JOIN q USING (brand)),
+d AS (SELECT brand, 0::BIGINT AS i, list_transform(range(0, states), lambda t: struct_pack(w := CASE WHEN t = 0 THEN 0::BIGINT END, v := 0::BIGINT, c := 0::BIGINT)) AS s FROM q
+  UNION ALL SELECT d.brand, i.i, list_transform(range(0, len(s)), lambda t: CASE WHEN t >= gain AND s[t - gain + 1].w + i.w <= capacity AND (s[t + 1].w IS NULL OR s[t - gain + 1].w + i.w < s[t + 1].w)
+    THEN struct_pack(w := s[t - gain + 1].w + i.w, v := s[t - gain + 1].v + i.v, c := s[t - gain + 1].c + 1) ELSE s[t + 1] END) FROM d JOIN i ON i.brand = d.brand AND i.i = d.i + 1 JOIN q ON q.brand = d.brand),
+z AS (SELECT d.brand, list_filter(s, lambda x: x.w IS NOT NULL)[-1] AS x FROM d JOIN q USING (brand) WHERE d.i = n)
+SELECT brand, x.v AS value, x.w AS weight, cast(x.c AS INTEGER) AS items FROM z""",
 }

@@ -290,3 +290,19 @@ SQL["session_evidence"] = f"""{_SESSION}
 SELECT 's1' AS session, cast(tick AS INTEGER) AS tick, 'multi-scan' AS algorithm, cast(count(*) AS VARCHAR) AS subject, cast(sum(hits) AS BIGINT) AS amount FROM h GROUP BY tick
 UNION ALL SELECT 's1', cast(tick AS INTEGER), 'recount', arg_min(signature, (-hits, signature)), max(hits) FROM h GROUP BY tick
 UNION ALL SELECT 's1', cast(tick AS INTEGER), 'window', cast(bucket AS VARCHAR), bucket_errors FROM o"""
+
+#: The detector step by step over each service's buckets.
+SQL["detector_readings"] = f"""
+WITH RECURSIVE n AS (SELECT service, epoch_ms(ts) // 1000 AS bucket, CASE WHEN response_ms > 0 THEN least(59, response_ms // 200) ELSE -1 END AS bin, count(*) AS n, count(*) FILTER ({BAD}) AS bad
+  FROM log_events WHERE service IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2, 3),
+b AS (SELECT service, bucket, cast(sum(n) AS BIGINT) AS events, cast(sum(bad) AS BIGINT) AS errors, map_from_entries(list((bin, n))) AS m, row_number() OVER (PARTITION BY service ORDER BY bucket) AS i FROM n GROUP BY 1, 2),
+d AS (SELECT DISTINCT service, 0::BIGINT AS i, 0::BIGINT AS bucket, 0::BIGINT AS events, 0::BIGINT AS errors, 0.0::DOUBLE AS baseline, false AS burst, 0::BIGINT AS p95, false AS slow, false AS loud, []::BIGINT[] AS recent,
+    list_transform(range(60), lambda k: 0::BIGINT) AS hist, 0.0::DOUBLE AS volume, 0::BIGINT AS level FROM b
+  UNION ALL SELECT service, i, bucket, events, errors, baseline, burst, p95, level > 0 AND p95 >= 2 * level, volume > 0 AND events >= 2 * volume, list_append(recent, errors)[-12:], hist,
+    CASE WHEN burst THEN volume WHEN volume = 0 THEN events ELSE 0.85::DOUBLE * volume + (1 - 0.85::DOUBLE) * events END,
+    CASE WHEN burst THEN level WHEN level = 0 THEN p95 ELSE cast(round_even(0.85::DOUBLE * level + (1 - 0.85::DOUBLE) * p95, 0) AS BIGINT) END
+  FROM (SELECT *, errors >= 4 AND (baseline = 0 OR errors / baseline >= 2.2) AS burst,
+      CASE WHEN list_sum(hist) = 0 THEN 0 ELSE 200 * (1 + list_filter(range(60), lambda k: list_sum(hist[1:k + 1]) >= 0.95::DOUBLE * list_sum(hist))[1]) END AS p95 FROM (
+    SELECT b.service, b.i, b.bucket, b.events, b.errors, coalesce(list_avg(d.recent), 0) AS baseline, d.recent, d.volume, d.level,
+      list_transform(range(60), lambda k: d.hist[k + 1] + coalesce(b.m[k], 0)) AS hist FROM d JOIN b ON b.service = d.service AND b.i = d.i + 1)))
+SELECT service AS key, bucket, events, errors, baseline, burst, p95 AS p95_ms, slow AS latency_signal, loud AS volume_signal FROM d WHERE i > 0"""
