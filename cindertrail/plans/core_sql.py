@@ -114,21 +114,45 @@ def _kids(name: str, above: str, member: str, labels: tuple[str, ...]) -> str:
     one = [f"coalesce(CASE WHEN json_exists(v, '$.{x}') THEN coalesce(json_extract_string(v, '$.{x}'), '') END, k, '')" for x in labels]
     key = " || '>' || ".join(one) if one else "json_extract_string(v, '$')"
     return f"""
-{name}_u AS (SELECT session_id, seq, path, {_unwrapped(member)} AS u FROM {above}),
-{name}_e AS (SELECT session_id, seq, path, unnest(CASE json_type(u) WHEN 'ARRAY' THEN list_transform(json_extract(u, '$[*]'), lambda x: struct_pack(k := NULL::VARCHAR, v := x))
+{name}_u AS (SELECT session_id, seq, path, op, {_unwrapped(member)} AS u FROM {above}),
+{name}_l AS (SELECT *, CASE json_type(u) WHEN 'ARRAY' THEN list_transform(json_extract(u, '$[*]'), lambda x: struct_pack(k := NULL::VARCHAR, v := x))
   WHEN 'OBJECT' THEN CASE WHEN {own} THEN [struct_pack(k := NULL::VARCHAR, v := u)] ELSE list_transform(json_keys(u), lambda x: struct_pack(k := x, v := json_extract(u, '$."' || x || '"'))) END
-  WHEN 'NULL' THEN [] ELSE CASE WHEN u::VARCHAR <> '""' THEN [struct_pack(k := NULL::VARCHAR, v := u)] END END, recursive := true) FROM {name}_u WHERE u IS NOT NULL),
-{name}_v AS (SELECT session_id, seq, path, k, {_unwrapped("v")} AS v FROM {name}_e),
-{name}_k AS (SELECT session_id, seq, path AS parent_key, CASE WHEN json_type(v) = 'OBJECT' THEN {key} ELSE json_extract_string(v, '$') END AS child_key, v FROM {name}_v WHERE json_type(v) <> 'NULL'),
+  WHEN 'NULL' THEN [] ELSE CASE WHEN u::VARCHAR <> '""' THEN [struct_pack(k := NULL::VARCHAR, v := u)] END END AS l FROM {name}_u WHERE u IS NOT NULL),
+{name}_e AS (SELECT session_id, seq, path, op, generate_subscripts(l, 1) AS o, unnest(l, recursive := true) FROM {name}_l),
+{name}_v AS (SELECT session_id, seq, path, op, o, k, {_unwrapped("v")} AS v FROM {name}_e),
+{name}_k AS (SELECT session_id, seq, path AS parent_key, op AS above, op || '/{name}' || lpad(o::VARCHAR, 9, '0') AS op, k, CASE WHEN json_type(v) = 'OBJECT' THEN {key} ELSE json_extract_string(v, '$') END AS child_key, v
+  FROM {name}_v WHERE json_type(v) <> 'NULL'),
 {name} AS (SELECT *, CASE WHEN parent_key = '' THEN child_key ELSE parent_key || '/' || child_key END AS path FROM {name}_k)"""
 
 
 _FRAMES = f"""
 WITH readable AS (SELECT session_id, seq, frame_id, payload::JSON AS j FROM sim_frames WHERE CASE WHEN json_valid(payload) THEN json_type(payload) END = 'OBJECT'),
-frame AS (SELECT session_id, seq, '' AS path, arg_min(j, frame_id) AS v FROM readable GROUP BY session_id, seq),
-topology AS (SELECT session_id, seq, path, {_unwrapped("json_extract(v, '$.topology')")} AS v FROM frame),
+frame AS (SELECT session_id, seq, '' AS path, '' AS op, arg_min(j, frame_id) AS v FROM readable GROUP BY session_id, seq),
+topology AS (SELECT session_id, seq, path, op, {_unwrapped("json_extract(v, '$.topology')")} AS v FROM frame),
 {_kids("health", "frame", "json_extract(v, '$.health')", ("service",))}, {_kids("incident", "frame", "json_extract(v, '$.incidents')", ("id",))},
 {_kids("node", "topology", "json_extract(v, '$.nodes')", ("id",))}, {_kids("edge", "topology", "json_extract(v, '$.edges')", ("source", "target"))},
 {_kids("evidence", "incident", "json_extract(v, '$.evidence')", ("algorithm",))}, {_kids("reference", "evidence", "json_extract(v, '$.references')", ())}"""
 _RELS = ("health", "incident", "evidence", "reference", "node", "edge")
 SQL["p2_found"] = _FRAMES + " UNION ALL ".join(f"\nSELECT '{r}' AS rel, session_id, seq, parent_key, child_key FROM {r}" for r in _RELS)
+
+
+def _identity(name: str, label: str, inner: tuple[str, ...] = (), kids: tuple[str, ...] = ()) -> str:
+    """CTE of identities: an object's own members in order of name, a map's key among them, then the identities of its children."""
+    less = ", ".join(f"'{x}'" for x in inner) or "''"
+    own = f"list_transform(list_filter(json_keys(v), lambda x: x NOT IN ({less})), lambda x: '\"' || x || '\":' || json_extract(v, '$.\"' || x || '\"')::VARCHAR)"
+    keyed = f"CASE WHEN k IS NOT NULL AND NOT json_exists(v, '$.{label}') THEN ['\"{label}\":\"' || k || '\"'] ELSE [] END" if label else "[]"
+    below = " || ".join(f"coalesce((SELECT string_agg(body, ';' ORDER BY op) FROM {k}_i c WHERE c.session_id = p.session_id AND c.seq = p.seq AND c.above = p.op), '')" for k in kids) or "''"
+    return f"""
+{name}_i AS (SELECT session_id, seq, above, op, CASE WHEN json_type(v) = 'OBJECT' THEN array_to_string(list_sort(list_concat({own}, {keyed})), ',') ELSE v::VARCHAR END || '|' || {below} AS body FROM {name} p)"""
+
+
+_IDENTITIES = ", ".join(
+    (
+        _identity("reference", ""), _identity("evidence", "algorithm", ("references",), ("reference",)), _identity("incident", "id", ("evidence",), ("evidence",)),
+        _identity("health", "service"), _identity("node", "id"), _identity("edge", ""),
+        "record AS (SELECT session_id, seq, NULL AS above, '' AS op, NULL::VARCHAR AS k, v FROM frame)", _identity("record", "", ("health", "incidents", "topology"), ("health", "incident", "node", "edge")),
+    )
+)
+SQL["p2_objects"] = f"{_FRAMES}, {_IDENTITIES}" + " UNION ALL ".join(
+    f"\nSELECT '{r}' AS rel, count(DISTINCT body) AS objects, count(*) AS occurrences FROM {r}_i HAVING count(*) > 0" for r in (*_RELS, "record")
+)
