@@ -156,3 +156,78 @@ _IDENTITIES = ", ".join(
 SQL["p2_objects"] = f"{_FRAMES}, {_IDENTITIES}" + " UNION ALL ".join(
     f"\nSELECT '{r}' AS rel, count(DISTINCT body) AS objects, count(*) AS occurrences FROM {r}_i HAVING count(*) > 0" for r in (*_RELS, "record")
 )
+
+#: The layouts of the given lines as expressions; the query finds them in the lines instead.
+_TIME = r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?|\d\d/[A-Za-z]{3}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4}|\d{13})"
+_LAYOUTS = (
+    (rf"^{_TIME} +([A-Za-z]+) +\[[^\]]*\] +(\S+) - ?(.*)$", "ts", "lv", "co", "msg"),
+    (rf"^\[{_TIME}\]\[ *([A-Za-z]+) *\]\[([^\]]*)\](.*)$", "ts", "lv", "co", "msg"),
+    (rf"^{_TIME}\t([A-Za-z]+)\t([^\t]*)\t(.*)$", "ts", "lv", "co", "msg"),
+    (rf"^{_TIME} +([^\s\[]+)\[\d+\] +([A-Za-z]+): ?(.*)$", "ts", "co", "lv", "msg"),
+    (rf"^{_TIME} \| ([A-Za-z]+) \| (.*?) \| (?:.*? \| ){{{{7}}}}(.*)$".replace("{{{{", "{").replace("}}}}", "}").replace("{{7}}", "{7}"), "ts", "lv", "co", "msg"),
+    (rf"^([A-Z]) {_TIME} +([^\s\]]+)\](.*)$", "lv", "ts", "co", "msg"),
+)
+
+
+def _level(v: str) -> str:
+    words = {
+        "TRACE": ("trace", "trc", "finest"), "DEBUG": ("debug", "dbg"), "INFO": ("info", "inf", "information"), "WARN": ("warn", "wrn", "warning"),
+        "ERROR": ("error", "err", "severe"), "FATAL": ("fatal", "ftl", "critical", "crit"),
+    }
+    cases = " ".join(f"WHEN lower({v}) IN ({', '.join(repr(w) for w in ws)}) OR {v} = '{name[0]}' OR (regexp_full_match({v}, '\\d+') AND {v}::INT BETWEEN {n} AND {n + 3}) THEN '{name}'"
+                     for (name, ws), n in zip(words.items(), (1, 5, 9, 13, 17, 21)))
+    return f"CASE {cases} END"
+
+
+def _instant(v: str) -> str:
+    iso = f"replace(replace({v}, ',', '.'), ' ', 'T')"
+    return f"""CASE WHEN regexp_full_match({v}, '\\d{{12,13}}') THEN {v}::BIGINT WHEN regexp_full_match({v}, '\\d{{9,10}}') THEN {v}::BIGINT * 1000
+  WHEN {v} LIKE '__/___/%' THEN epoch_ms(try_strptime({v}, '%d/%b/%Y:%H:%M:%S %z'))
+  ELSE epoch_ms(try_cast(CASE WHEN regexp_matches({v}, '(Z|[+-]\\d\\d:?\\d\\d)$') THEN {iso} ELSE {iso} || 'Z' END AS TIMESTAMPTZ)) END"""
+
+
+def _pick(j: str, keys: tuple[str, ...]) -> str:
+    at = [f"CASE WHEN json_type(json_extract({j}, '$.\"{k}\"')) NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN json_extract_string({j}, '$.\"{k}\"') END" for k in keys]
+    return f"coalesce({', '.join(at)})"
+
+
+_TS_KEYS, _LV_KEYS = ("timestamp", "ts", "time", "@timestamp", "datetime"), ("level", "lvl", "severity", "severityNumber", "loglevel")
+_CO_KEYS, _MSG_KEYS = ("service", "component", "app", "logger", "source"), ("message", "msg")
+_OBJECT_FIELDS = f"{_pick('j', _TS_KEYS)} AS ts, {_pick('j', _LV_KEYS)} AS lv, {_pick('j', _CO_KEYS)} AS co, {_pick('j', _MSG_KEYS)} AS msg"
+_HEADS = " ".join(
+    f"WHEN regexp_matches(t, '{p}') THEN struct_pack(ts := regexp_extract(t, '{p}', {n.index('ts') + 1}), lv := regexp_extract(t, '{p}', {n.index('lv') + 1}), "
+    f"co := regexp_extract(t, '{p}', {n.index('co') + 1}), msg := regexp_extract(t, '{p}', {n.index('msg') + 1}))"
+    for p, *n in _LAYOUTS
+)
+_PAIR = r"""((?:"(?:[^"\\]|\\.)*"|[^ "]*))"""
+
+
+def _value(keys: tuple[str, ...]) -> str:
+    """A member of a key=value line, without its quotes and escapes."""
+    v = f"regexp_extract(t, '(?:^| )(?:{'|'.join(k for k in keys if k != '@timestamp')})={_PAIR}', 1)"
+    return f"CASE WHEN {v} LIKE '\"%' THEN regexp_replace(replace(replace(({v})[2:-2], '\\n', chr(10)), '\\t', chr(9)), '\\\\(.)', '\\1', 'g') ELSE nullif({v}, '') END"
+
+
+SQL["p4_found"] = f"""
+WITH l AS (SELECT stream, line_no, raw_message AS raw, regexp_replace(rtrim(coalesce(raw_message, ''), E'\\r\\n'), chr(27) || '\\[[0-9;]*[A-Za-z]', '', 'g') AS t FROM raw_lines WHERE stream IS NOT NULL AND line_no IS NOT NULL),
+h AS (SELECT stream, line_no, raw, t, regexp_full_match(t, '\\s*') AS blank, t = '{{' OR regexp_full_match(t, '\\{{\\s*') AS opens, regexp_full_match(t, '\\}}\\s*') AS closes,
+  CASE {_HEADS} WHEN regexp_matches(t, '^(?:{"|".join(_TS_KEYS + _LV_KEYS + _CO_KEYS + _MSG_KEYS)})=') THEN struct_pack(ts := {_value(_TS_KEYS)}, lv := {_value(_LV_KEYS)}, co := {_value(_CO_KEYS)}, msg := {_value(_MSG_KEYS)}) END AS f,
+  CASE WHEN t LIKE '{{%' AND json_valid(t) THEN CASE WHEN json_type(t) = 'OBJECT' THEN t::JSON END END AS j FROM l),
+o AS (SELECT *, {_OBJECT_FIELDS} FROM h),
+q AS (SELECT stream, line_no, raw, t, blank, opens, closes, CASE WHEN j IS NOT NULL THEN ts ELSE f.ts END AS ts, CASE WHEN j IS NOT NULL THEN lv ELSE f.lv END AS lv, CASE WHEN j IS NOT NULL THEN co ELSE f.co END AS co,
+  CASE WHEN j IS NOT NULL THEN msg ELSE f.msg END AS msg, j IS NOT NULL AS object FROM o),
+k AS (SELECT *, {_instant("ts")} AS ms, {_level("lv")} AS level FROM q),
+m AS (SELECT *, CASE WHEN ms IS NOT NULL AND msg IS NOT NULL AND (object OR level IS NOT NULL) THEN 1 WHEN opens THEN 2 ELSE 0 END AS kind FROM k),
+w AS (SELECT *, max(CASE WHEN kind > 0 THEN line_no END) OVER a AS owner, max(CASE WHEN closes THEN line_no END) OVER (PARTITION BY stream ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed FROM m
+  WINDOW a AS (PARTITION BY stream ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT w.stream, w.owner, string_agg(w.t, chr(10) ORDER BY w.line_no) AS body, list(w.t ORDER BY w.line_no) AS parts FROM w JOIN m b ON b.stream = w.stream AND b.line_no = w.owner AND b.kind = 2
+  WHERE coalesce(w.closed, -1) < w.owner GROUP BY 1, 2),
+y AS (SELECT stream, owner, body, list_filter(list_transform(parts[2:], lambda p: regexp_extract(p, '^(\\s*)"((?:[^"\\\\]|\\\\.)*)"\\s*:\\s*(.*?),?\\s*$', ['pad', 'key', 'value'])), lambda p: p.key <> '') AS members FROM x),
+z AS (SELECT stream, owner, CASE WHEN json_valid(body) THEN CASE WHEN json_type(body) = 'OBJECT' THEN body::JSON END
+  ELSE ('{{' || coalesce(array_to_string(list_transform(list_reverse(list_filter(members, lambda p: p.pad = members[1].pad AND json_valid(p.value))), lambda p: '"' || p.key || '": ' || p.value), ','), '') || '}}')::JSON END AS j FROM y),
+v AS (SELECT stream, owner, {_OBJECT_FIELDS} FROM z),
+e AS (SELECT stream, line_no, ms AS ts_ms, level, co AS component, msg FROM m WHERE kind = 1
+  UNION ALL SELECT stream, owner, {_instant("ts")}, {_level("lv")}, co, msg FROM v WHERE msg IS NOT NULL AND {_instant("ts")} IS NOT NULL),
+s AS (SELECT m.stream, m.line_no, m.blank, max(e.line_no) OVER (PARTITION BY m.stream ORDER BY m.line_no ROWS UNBOUNDED PRECEDING) AS entry FROM m LEFT JOIN e ON e.stream = m.stream AND e.line_no = m.line_no)
+SELECT e.stream, e.line_no AS first_line_no, max(s.line_no) FILTER (NOT blank) AS last_line_no, ts_ms, level, nullif(trim(component), '') AS component, trim(msg, E' \\t\\n\\r') AS msg
+FROM e JOIN s ON s.stream = e.stream AND s.entry = e.line_no GROUP BY ALL"""
