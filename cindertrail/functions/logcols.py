@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindertrail.operators.parallel import scan
+
 #: Levels in order with their severity numbers.
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 SEVERITY_NUMBERS = {"TRACE": 1, "DEBUG": 5, "INFO": 9, "WARN": 13, "ERROR": 17, "FATAL": 21}
@@ -49,6 +51,16 @@ def searchable_text() -> Column:
     return F.concat(*[x for p in parts for x in (p, F.lit(" "))][:-1])
 
 
+def render_dataset(events: DataFrame) -> DataFrame:
+    """id, start, line: the events as one text, a searchable line each and line ends between, as rows.
+
+    ``start`` is the offset of the line in the text, so that a place in it is found again by the
+    last start at or before it; the text itself is never put together.
+    """
+    lines = events.select("id", searchable_text().alias("line")).withColumn("width", F.length("line") + 1)
+    return scan(lines, ["id"], "width", inclusive=False).select("id", F.col("scan").alias("start"), "line")
+
+
 def normalize_message(message: Column) -> Column:
     """Template of a message: tokens that vary become <*>, other tokens keep letters, digits, . _ -.
 

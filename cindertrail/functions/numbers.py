@@ -108,20 +108,11 @@ class PerfectHash:
         return bool(cells) and cells[self._slot(ab, x, len(cells))] == x
 
 
-class SplitMix:
-    """64-bit generator of the simulator's streams."""
-
-    MASK = 2**64 - 1
-
-    def __init__(self, seed: int):
-        self.state = seed & self.MASK
-
-    def next(self) -> int:
-        self.state = (self.state + 0x9E3779B97F4A7C15) & self.MASK
-        z = self.state
-        z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & self.MASK
-        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & self.MASK
-        return z ^ z >> 31
-
-    def uniform(self) -> float:
-        return (self.next() >> 11) / (1 << 53)
+def split_mix(seed: int, steps: int = 1) -> int:
+    """The ``steps``-th number of the 64-bit mixing generator, as a signed long."""
+    mask = 2**64 - 1
+    z = (seed + steps * 0x9E3779B97F4A7C15) & mask
+    z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & mask
+    z = ((z ^ z >> 27) * 0x94D049BB133111EB) & mask
+    z ^= z >> 31
+    return z - 2**64 if z >= 2**63 else z

@@ -55,6 +55,7 @@ suffixes = column_function(textalgos.suffix_array, "array<int>")
 suffix_lcp = column_function(lambda t: textalgos.lcp_array(t, textalgos.suffix_array(t)), "array<int>")
 edit_script = column_function(textalgos.edit_script, "array<string>")
 prime = column_function(nums.is_prime, "boolean")
+mixed = column_function(nums.split_mix, "long")
 text_key = column_function(nums.text_key, "long")
 
 

@@ -117,6 +117,7 @@ QUERIES = {
     "vertex_cover": lambda s, d: E.vertex_covers(day_edges(s, d), "day"),
     "complement_graph": lambda s, d: E.complement_graphs(day_edges(s, d), "day"),
     "cover_reductions": lambda s, d: E.cover_reductions(day_edges(s, d), "day"),
+    "split_mix": lambda s, d: table(s, d, "supplier").select("s_suppkey", E.mixed("s_suppkey").alias("value")),
     "modular_powers": lambda s, d: table(s, d, "supplier").select("s_suppkey", E.modular_powers("s_suppkey", 65537, 1_000_000_007).alias("power")),
     "tree_subset_sums": lambda s, d: E.tree_subset_sums(supplier_trees(s, d).withColumn("value", 1 + F.col("weight") % 7), "nation"),
     "set_cover": lambda s, d: E.set_covers(host_endpoints(s, d).select("service", F.col("source").alias("set"), F.col("target").alias("item")), "service"),

@@ -246,4 +246,9 @@ d AS (SELECT brand, 0::BIGINT AS i, list_transform(range(0, states), lambda t: s
     THEN struct_pack(w := s[t - gain + 1].w + i.w, v := s[t - gain + 1].v + i.v, c := s[t - gain + 1].c + 1) ELSE s[t + 1] END) FROM d JOIN i ON i.brand = d.brand AND i.i = d.i + 1 JOIN q ON q.brand = d.brand),
 z AS (SELECT d.brand, list_filter(s, lambda x: x.w IS NOT NULL)[-1] AS x FROM d JOIN q USING (brand) WHERE d.i = n)
 SELECT brand, x.v AS value, x.w AS weight, cast(x.c AS INTEGER) AS items FROM z""",
+    "split_mix": """
+WITH a AS (SELECT s_suppkey, (s_suppkey::UHUGEINT + 11400714819323198485) % 18446744073709551616 AS z FROM supplier),
+b AS (SELECT s_suppkey, (xor(z::UBIGINT, z::UBIGINT >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616 AS z FROM a),
+c AS (SELECT s_suppkey, (xor(z::UBIGINT, z::UBIGINT >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616 AS z FROM b), d AS (SELECT s_suppkey, xor(z::UBIGINT, z::UBIGINT >> 31)::HUGEINT AS z FROM c)
+SELECT s_suppkey, cast(CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END AS BIGINT) AS value FROM d""",
 }

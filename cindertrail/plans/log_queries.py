@@ -15,7 +15,7 @@ from cindertrail.operators import parallel as P
 from cindertrail.search import engine as S
 from cindertrail.search.query import parse
 from cindertrail.session import table
-from cindertrail.sources import demo, simulation
+from cindertrail.sources import demo, samples, simulation
 from cindertrail.streaming.detector import batch_readings
 
 FROM_MS, TO_MS = 1_646_870_400_000, 1_646_956_800_000  # 10 March 2022 in UTC
@@ -89,6 +89,8 @@ QUERIES = {
     "fuzzy_lines": lambda s, d: S.fuzzy_lines(logs(s, d), "reply sent with 100 bytes", 2),
     "token_search": lambda s, d: S.token_search(logs(s, d), ["peer", "channel", "billing"]).select("id"),
     "searchable_text": lambda s, d: logs(s, d).select("id", L.searchable_text().alias("text"), L.severity_number(F.col("level")).alias("severity")),
+    "render_dataset": lambda s, d: L.render_dataset(logs(s, d)),
+    "sample_lines": lambda s, d: samples.sample_lines(s, 2000, malformed=True),
     "service_dependencies": lambda s, d: G.trail_edges(logs(s, d)),
     "node_degrees": lambda s, d: G.nodes(logs(s, d)),
     "top_nodes": lambda s, d: G.top_nodes(logs(s, d)),

@@ -306,3 +306,20 @@ d AS (SELECT DISTINCT service, 0::BIGINT AS i, 0::BIGINT AS bucket, 0::BIGINT AS
     SELECT b.service, b.i, b.bucket, b.events, b.errors, coalesce(list_avg(d.recent), 0) AS baseline, d.recent, d.volume, d.level,
       list_transform(range(60), lambda k: d.hist[k + 1] + coalesce(b.m[k], 0)) AS hist FROM d JOIN b ON b.service = d.service AND b.i = d.i + 1)))
 SELECT service AS key, bucket, events, errors, baseline, burst, p95 AS p95_ms, slow AS latency_signal, loud AS volume_signal FROM d WHERE i > 0"""
+
+SQL["render_dataset"] = f"SELECT id, coalesce(sum(length(t) + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, t AS line FROM (SELECT id, {TEXT} AS t FROM log_events)"
+
+_L = [_unit("'42'", f"'{salt}'", "id") for salt in range(10)]
+
+
+def _pick(u: str, of: tuple[str, ...]) -> str:
+    return f"{list(of)}[1 + cast(floor({u} * {len(of)}) AS INTEGER)]"
+
+
+SQL["sample_lines"] = f"""
+WITH r AS (SELECT id, floor({_L[9]} / 0.04::DOUBLE) AS way FROM range(2000) r(id)),
+f AS (SELECT id, way, [CASE WHEN way = 0 THEN 'not-a-time' ELSE strftime(make_timestamp((1789257600000 + id) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END,
+  CASE WHEN way = 2 THEN 'ALERT' ELSE {_pick(_L[1], ("INFO", "INFO", "DEBUG", "WARN", "ERROR"))} END, {_pick(_L[2], ("gateway", "accounts", "catalog", "billing", "orders", "stock", "store-db", "mail"))},
+  '192.0.2.' || cast(floor({_L[3]} * 254 + 1) AS INTEGER), {_pick(_L[4], ("GET", "POST", "PUT"))}, '/v1/items', {_pick(_L[5], ("200", "404", "500"))}, cast(cast(floor({_L[6]} * 900) AS INTEGER) AS VARCHAR), 'req-' || id,
+  CASE WHEN {_L[7]} < 0.2 THEN '-' ELSE 'user-' || cast(floor({_L[8]} * 500) AS INTEGER) END, 'handled request ' || id || CASE WHEN way = 3 THEN ' | again' ELSE '' END] AS x FROM r)
+SELECT id + 1 AS line_no, array_to_string(CASE WHEN way = 1 THEN x[1:4] ELSE x END, ' | ') AS line FROM f"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -60,6 +62,30 @@ def engine(query_type: str, algorithm: str) -> Callable:
         raise LookupError(f"no engine for {query_type}/{algorithm}") from None
 
 
+@dataclass(frozen=True)
+class Answer:
+    """What an engine gave, with what it was asked and how long it took."""
+
+    query_type: str
+    algorithm: str
+    input_size: int
+    result: object
+    seconds: float
+    notes: tuple[str, ...] = ()
+
+
+def answer(query_type: str, algorithm: str, *args, notes: tuple[str, ...] = (), **kw) -> Answer:
+    """Run an engine and put its result in an envelope; the input size is that of the first argument, if it has one.
+
+    A DataFrame as result is a plan: the time is that of making it.
+    """
+    run = engine(query_type, algorithm)
+    size = len(args[0]) if args and hasattr(args[0], "__len__") else 0
+    t = time.perf_counter()
+    result = run(*args, **kw)
+    return Answer(query_type.upper(), algorithm.upper(), size, result, time.perf_counter() - t, notes)
+
+
 def register_functions(spark: SparkSession) -> None:
     """Scalar engines as SQL functions: ct_positions, ct_damerau, ct_is_prime, ct_edit_script."""
     def pair(fn, returns):

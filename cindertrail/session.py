@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,17 @@ def get_session(app: str = "cindertrail", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, which run its Python functions."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), os.path.basename(root)), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)  # the driver serves it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +66,7 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
 
     Cuts the lineage with replicated storage: a lost executor costs a re-read, never a
     recomputation of a result another stage has already seen. The table lives until the
-    application ends.
+    ``scratch`` it was written in is left, or else the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cindertrail/{label}-{uuid.uuid4().hex}"
@@ -63,6 +75,18 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are removed at the end; results must have been read or saved by then."""
+    kept = list(_paths)
+    try:
+        yield
+    finally:
+        fresh = [p for p in _paths if p not in kept]
+        _forget(fresh)
+        _paths[:] = [p for p in _paths if p not in fresh]
+
+
 _paths: list[tuple[SparkSession, str]] = []
 
 
@@ -73,7 +97,12 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def _forget_all() -> None:
-    for spark, path in _paths:
+    _forget(_paths)
+    _paths.clear()
+
+
+def _forget(paths: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in paths:
         if path.startswith("file:/"):  # also once the session has been stopped
             shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
             continue
@@ -82,4 +111,3 @@ def _forget_all() -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the session may already be gone
             pass
-    _paths.clear()

@@ -54,6 +54,14 @@ def load(spark: SparkSession, path: str, name: str | None = None, require_events
     return Loaded((name or "").strip() or DEFAULT_NAME, good.select("id", *[c for c in good.columns if c != "id"]), bad, counts)
 
 
+def ingest(spark: SparkSession, path: str, name: str | None = None, max_bytes: int = 64 << 20) -> Loaded:
+    """A file given by a user: refused if it is empty, larger than ``max_bytes`` (0: any size), or holds no event."""
+    size = spark.read.format("binaryFile").load(path).select(F.sum("length")).first()[0] or 0
+    if size == 0 or 0 < max_bytes < size:
+        raise ValueError("the file is empty" if size == 0 else f"files of at most {max_bytes} bytes")
+    return load(spark, path, name, require_events=True)
+
+
 def install(loaded: Loaded, view: str = VIEW) -> None:
     """Make the events the current dataset, replacing any former one at once."""
     loaded.events.createOrReplaceTempView(view)

@@ -55,13 +55,16 @@ class Detector:
 
 
 def _fold(batches: Iterator[pd.DataFrame], open_: dict[int, list]) -> None:
+    """Add a micro-batch to the open buckets, counted by bucket and latency bin first."""
     for b in batches:
-        for bucket, error, rt in zip(b["bucket"], b["error"], b["response_ms"]):
+        rt = pd.to_numeric(b["response_ms"], errors="coerce").fillna(0)
+        cells = pd.DataFrame({"bucket": b["bucket"], "error": b["error"].astype(bool), "bin": (rt // BIN_MS).clip(upper=BINS - 1).where(rt > 0, -1).astype(int)})
+        for (bucket, i), (n, bad) in cells.groupby(["bucket", "bin"])["error"].agg(["size", "sum"]).iterrows():
             cell = open_.setdefault(int(bucket), [0, 0, [0] * BINS])
-            cell[0] += 1
-            cell[1] += bool(error)
-            if rt is not None and not pd.isna(rt) and rt > 0:
-                cell[2][min(BINS - 1, int(rt) // BIN_MS)] += 1
+            cell[0] += int(n)
+            cell[1] += int(bad)
+            if i >= 0:
+                cell[2][i] += int(n)
 
 
 def _prepared(events: DataFrame, key: str) -> DataFrame:

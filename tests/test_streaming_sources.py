@@ -91,3 +91,43 @@ def test_stream_readings_equal_batch(spark, logs, tmp_path):
     detector.to_memory(detector.stream_readings(stream, lateness="10 minutes"), "readings_out", str(tmp_path / "cp"))
     got = {tuple(r) for r in spark.table("readings_out").collect()}
     assert got == {tuple(r) for r in detector.batch_readings(logs(rows)).collect()}
+
+
+def test_sample_files_parse(spark, tmp_path):
+    from cindertrail.sources import samples
+
+    samples.write_sample(samples.sample_lines(spark, 400, malformed=True), f"file://{tmp_path}/bad.txt")
+    got = logfiles.ingest(spark, f"file://{tmp_path}/bad.txt")
+    counts = got.counts.first()
+    assert counts.total == 400 and 0.08 < counts.failure / 400 < 0.25
+    assert {r.reason for r in got.failures.collect()} == {"timestamp", "columns", "level"}
+    samples.write_sample(samples.sample_lines(spark, 300, hops=3), f"file://{tmp_path}/good.txt")
+    good = logfiles.load(spark, f"file://{tmp_path}/good.txt")
+    assert good.counts.first().failure == 0 and good.events.groupBy("request_id").count().where("count = 3").count() == 100
+
+
+def test_ingest_refuses_empty_large_and_useless_files(spark, tmp_path):
+    for name, text in (("empty", ""), ("useless", "x\ny\n"), ("large", "x" * 2000)):
+        (tmp_path / name).write_text(text)
+    for name, most in (("empty", 0), ("useless", 0), ("large", 1000)):
+        with pytest.raises(ValueError):
+            logfiles.ingest(spark, f"file://{tmp_path}/{name}", max_bytes=most)
+
+
+def test_scratch_removes_its_tables(spark):
+    import os
+
+    from cindertrail import session
+
+    with session.scratch():
+        table = session.materialise(spark.range(5))
+        path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert table.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_answers_name_what_was_asked():
+    from cindertrail.registry import answer
+
+    got = answer("pattern_search", "naive", "abab", "ab", notes=("demo",))
+    assert (got.query_type, got.algorithm, got.input_size, got.result, got.notes) == ("PATTERN_SEARCH", "NAIVE", 4, [0, 2], ("demo",)) and got.seconds >= 0
