@@ -149,6 +149,33 @@ c AS (SELECT day, mask, sum(CASE WHEN (mask >> u) & 1 = 1 AND (mask >> w) & 1 =
 s AS (SELECT day, arg_min(mask, (cut, bit_count(mask))) AS mask, cast(min(cut) AS BIGINT) AS capacity FROM c GROUP BY day)
 SELECT day, capacity, (SELECT string_agg(service, ',' ORDER BY service) FROM v WHERE (mask >> i) & 1 = 1) AS source_side,
   (SELECT coalesce(string_agg(source || '>' || target, ',' ORDER BY source, target), '') FROM b WHERE b.day = s.day AND (mask >> u) & 1 = 1 AND (mask >> w) & 1 = 0) AS crossing FROM s"""
+
+
+def _cheapest_flows(services: int = 10) -> str:
+    """Cheapest augmenting paths, one a step; among equal costs the fewest arcs (a hundredth part), so that no path turns in a circle.
+
+    Arcs 2k and 2k + 1 are edge k and its way back. Distances take as many rounds as a path has arcs.
+    """
+    rounds = "SELECT *, list_transform(range(0, n), lambda v: CASE WHEN v = s THEN 0::BIGINT END) AS d FROM r"
+    for _ in range(services - 1):
+        rounds = f"SELECT * REPLACE (list_transform(range(0, n), lambda v: list_min(list_prepend(d[v + 1], list_transform(list_filter(range(0, len(room)), lambda a: head[a + 1] = v AND room[a + 1] > 0), lambda a: d[tail[a + 1] + 1] + price[a + 1])))) AS d) FROM ({rounds})"
+    trace, names = f"SELECT *, t AS x0 FROM ({rounds}) WHERE d[t + 1] IS NOT NULL", []
+    for i in range(1, services):
+        tight = f"list_filter(range(0, len(room)), lambda a: head[a + 1] = x{i - 1} AND room[a + 1] > 0 AND d[tail[a + 1] + 1] + price[a + 1] = d[x{i - 1} + 1])[1]"
+        trace = f"SELECT *, tail[a{i} + 1] AS x{i} FROM (SELECT *, CASE WHEN x{i - 1} <> s THEN {tight} END AS a{i} FROM ({trace}))"
+        names.append(f"a{i}")
+    return f"""
+WITH RECURSIVE e AS ({_DAY_EDGES}), sp AS (SELECT service, cast(floor(avg(response_ms)) AS BIGINT) AS cost FROM log_events WHERE response_ms BETWEEN 1 AND 100000 AND service IS NOT NULL GROUP BY 1),
+v AS (SELECT service, row_number() OVER (ORDER BY service) - 1 AS i FROM service_nodes),
+g AS (SELECT day, a.i AS u, z.i AS w, weight, cost, row_number() OVER (PARTITION BY day ORDER BY source, target) AS k FROM e JOIN sp ON sp.service = target JOIN v a ON a.service = source JOIN v z ON z.service = target),
+r AS (SELECT day, (SELECT count(*) FROM v) AS n, (SELECT i FROM v WHERE service = 'edge-proxy') AS s, (SELECT i FROM v WHERE service = 'ledger-db') AS t, flatten(list([u, w] ORDER BY k)) AS tail, flatten(list([w, u] ORDER BY k)) AS head,
+    flatten(list([cost * 100 + 1, 1 - cost * 100] ORDER BY k)) AS price, flatten(list([weight, 0::BIGINT] ORDER BY k)) AS room, 0::BIGINT AS flow, 0::BIGINT AS paid FROM g GROUP BY day
+  UNION ALL SELECT day, n, s, t, tail, head, price, list_transform(range(0, len(room)), lambda a: room[a + 1] - CASE WHEN list_contains(way, a) THEN b ELSE 0 END + CASE WHEN list_contains(way, xor(a, 1)) THEN b ELSE 0 END), flow + b, paid + b * cost
+  FROM (SELECT *, list_min(list_transform(way, lambda a: room[a + 1])) AS b, cast(list_sum(list_transform(way, lambda a: price[a + 1] - 1)) // 100 AS BIGINT) AS cost FROM (
+    SELECT *, list_filter([{", ".join(names)}], lambda a: a IS NOT NULL) AS way FROM ({trace}))))
+SELECT day, max(flow) AS max_flow, arg_max(paid, flow) AS cost FROM r GROUP BY day"""
+
+
 _TREE_PATHS = f"""
 WITH RECURSIVE s AS ({_SUPPLIERS}), e AS (
   SELECT nation, node AS a, (node - 1) // 2 AS b, weight FROM s WHERE node > 0 UNION ALL SELECT nation, (node - 1) // 2, node, weight FROM s WHERE node > 0),
@@ -251,4 +278,5 @@ WITH a AS (SELECT s_suppkey, (s_suppkey::UHUGEINT + 11400714819323198485) % 1844
 b AS (SELECT s_suppkey, (xor(z::UBIGINT, z::UBIGINT >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616 AS z FROM a),
 c AS (SELECT s_suppkey, (xor(z::UBIGINT, z::UBIGINT >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616 AS z FROM b), d AS (SELECT s_suppkey, xor(z::UBIGINT, z::UBIGINT >> 31)::HUGEINT AS z FROM c)
 SELECT s_suppkey, cast(CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END AS BIGINT) AS value FROM d""",
+    "min_cost_flow": _cheapest_flows(),
 }

@@ -12,7 +12,6 @@ ELSEWHERE = {
     "p4_templates": "test_loglines.py: template counts depend on the order of growth; every line is counted",
     "flow_edges": "its balance is checked by flow_balance; which of several largest flows is free",
     "matching_pairs": "its counts are checked by bipartite_matching; which of several largest matchings is free",
-    "min_cost_flow": "test_engines.py: against brute force",
 }
 
 
