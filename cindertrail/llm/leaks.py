@@ -174,18 +174,27 @@ def leaks(documents: DataFrame, items: DataFrame, name_max_items: int = 8, size:
     return spans.select(doc_id, item_id, "windows", (F.col("first_word") - 1).alias("first_word"), (F.col("last") + (size - 2)).alias("last_word"))
 
 
-def pattern_of(row: list | None) -> list[int] | None:
-    """Which places hold the same word: for each the first place of its word."""
-    first: dict[str, int] = {}
-    return None if row is None else [first.setdefault(w, i) for i, w in enumerate(row)]
+def word_codes(text: Column, own: bool = True) -> Column:
+    """The words of a text as numbers: hashes, or, unless ``own``, for each the first place of its word in the text."""
 
+    def codes(t: str | None) -> list[int]:
+        w = words_of(t)
+        first: dict[str, int] = {}
+        if own:
+            return np.array([_hash(x.encode("utf-8", "surrogatepass")) for x in w], dtype=np.uint64).view(np.int64).tolist()
+        return [first.setdefault(x, i) for i, x in enumerate(w)]
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([codes(t) for t in texts], dtype=object)
+
+    return run(text)
 
-def pattern(row: Column) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([pattern_of(r) for r in rows], dtype=object)
 
-    return run(row)
+def one_to_one(a: Column, b: Column) -> Column:
+    """Whether the elements of two lists of one length map one to one onto each other, place by place."""
+    pairs = F.size(F.array_distinct(F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))))
+    return (pairs == F.size(F.array_distinct(a))) & (pairs == F.size(F.array_distinct(b)))
 
 
 def _members(evals: DataFrame, item_id: str) -> DataFrame:
@@ -211,8 +220,9 @@ def variants(
     held word for word among them), ``exact`` how many items of the class the document holds word
     for word, ``windows`` the windows of the runs, ``share`` the part of the question's windows in
     the longest run. A single window counts; questions often share a clause, and ``share`` tells
-    such a passage from the whole question. ``item_classes`` names the members; documents are never paired with them one by one: whether slots map one to one
-    depends only on which places hold the same word, so items alike in this are checked once.
+    such a passage from the whole question. ``item_classes`` names the members; documents are never
+    paired with them one by one: whether slots map one to one depends only on which places hold
+    the same word, so items alike in this are checked once.
     """
     docs, evals = template_matches(documents, items, name_max_items, size, doc_id, item_id)
     docs = materialise(docs, "windows")
@@ -224,13 +234,13 @@ def variants(
     hits = hits.withColumn("island", F.col("item_pos") - F.row_number().over(line))
     runs = hits.groupBy(doc_id, "class_id", "shift", "island").agg(F.count("*").alias("windows"), F.min("item_pos").alias("from_pos"), F.max("item_pos").alias("to_pos"))
     runs = materialise(runs, "runs")
-    doc_words = documents.join(runs.select(doc_id).distinct(), doc_id).select(doc_id, words("text").alias("dw"))
+    doc_words = documents.join(runs.select(doc_id).distinct(), doc_id).select(doc_id, word_codes(F.col("text")).alias("dw"))
     n = F.col("to_pos") - F.col("from_pos") + size
-    runs = runs.join(doc_words, doc_id).select(doc_id, "class_id", "windows", "from_pos", n.alias("n"), pattern(F.slice("dw", F.col("from_pos") + F.col("shift"), n)).alias("dp"))
-    texts = items.groupBy(item_id).agg(F.first("text").alias("text")).select(item_id, pattern(words("text")).alias("ip"))
+    runs = runs.join(doc_words, doc_id).select(doc_id, "class_id", "windows", "from_pos", n.alias("n"), F.slice("dw", F.col("from_pos") + F.col("shift"), n).alias("dp"))
+    texts = items.groupBy(item_id).agg(F.first("text").alias("text")).select(item_id, word_codes(F.col("text"), own=False).alias("ip"))
     alike = members.select(item_id, "class_id").join(texts, item_id).groupBy("class_id", "ip").agg(F.count("*").alias("items"))
     both = runs.join(alike, "class_id").select(doc_id, "class_id", "windows", "items", "ip", F.slice("ip", F.col("from_pos"), F.col("n")).alias("part"), "dp")
-    same = both.where(pattern(F.col("part").cast("array<string>")) == F.col("dp"))
+    same = both.where(one_to_one(F.col("part"), F.col("dp")))
     per = same.groupBy(doc_id, "class_id", "ip").agg(F.sum("windows").alias("windows"), F.max("windows").alias("run"), F.max("items").alias("items"))
     found = per.groupBy(doc_id, "class_id").agg(F.max("windows").cast("long").alias("windows"), F.max("run").alias("run"), F.sum("items").cast("long").alias("links"))
     found = found.join(long, "class_id").select(doc_id, "class_id", "windows", (F.col("run") / F.col("whole")).alias("share"), "links")
