@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindertrail.llm import cut_texts, leaks, mixture, percentiles, runs
-from cindertrail.session import table
+from cindertrail.session import materialise, table
 
 BY = ("service", "endpoint")
 PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -26,9 +26,20 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_merged_days(spark: SparkSession, d: str) -> DataFrame:
-    """The same from the frequency tables of single days, merged."""
-    days = percentiles.frequencies(_recorded(spark, d).withColumn("day", F.to_date("ts")), ("day", *BY), "response_ms").drop("day")
-    return percentiles.percentiles(percentiles.merge_frequencies(days), BY, PROBS)
+    """The same from stored frequency tables, those of even and of odd days, merged."""
+    days = _recorded(spark, d).withColumn("odd", F.coalesce(F.dayofyear("ts"), F.lit(0)) % 2)
+    tables = [materialise(percentiles.frequencies(days.where(F.col("odd") == k), BY, "response_ms"), "days") for k in (0, 1)]
+    return percentiles.percentiles(percentiles.merge_frequencies(*tables), BY, PROBS)
+
+
+def p6_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """service, endpoint, n, within: whether the percentiles of summaries of 1 % error keep within it."""
+    exact = percentiles.percentiles(percentiles.frequencies(_recorded(spark, d), BY, "response_ms"), BY, PROBS)
+    rough = percentiles.percentiles(percentiles.frequencies(_recorded(spark, d), BY, "response_ms", 0.01), BY, PROBS)
+    ok = F.lit(True)
+    for p in PROBS:
+        ok = ok & (F.abs(F.col(f"r.{p}") - F.col(f"e.{p}")) <= 0.0100001 * F.col(f"e.{p}"))
+    return exact.alias("e").join(rough.alias("r"), list(BY)).select(*BY, "e.n", ok.alias("within"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +94,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_percentiles, p6_merged_days, p7_found, p7_runs, p8_found, p8_leaks, p8_variants, p8_classes,
+        p6_found, p6_percentiles, p6_merged_days, p6_bounded, p7_found, p7_runs, p8_found, p8_leaks, p8_variants, p8_classes,
         p9_found, p9_mix, p9_shares, p10_found, p10_report,
     )
 }

@@ -16,6 +16,7 @@ def _pick(num: int, name: str) -> str:
 
 SQL["p6_percentiles"] = _RANK.format(picks=", ".join(_pick(n, f"p{n}") for n in (50, 90, 95, 99)))
 SQL["p6_merged_days"] = SQL["p6_percentiles"]
+SQL["p6_bounded"] = f"SELECT service, endpoint, n, true AS within FROM ({SQL['p6_percentiles']})"
 SQL["p6_found"] = f"SELECT service, endpoint FROM ({_RANK.format(picks=', '.join(_pick(n, f'p{n}') for n in (50, 95)))}) WHERE n >= 20 AND p95 >= 10 * p50"
 
 _RUNS = """
