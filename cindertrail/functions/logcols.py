@@ -65,7 +65,7 @@ def normalize_message(message: Column) -> Column:
     """Template of a message: tokens that vary become <*>, other tokens keep letters, digits, . _ -.
 
     A token varies if it holds a digit or one of # { } $, or has 8 or more characters that
-    are all hexadecimal or dashes.
+    are all hexadecimal or dashes (fixed values: these classes and lengths).
     """
     tokens = F.split(F.trim(F.regexp_replace(message, r"\s+", " ")), " ")
 

@@ -23,7 +23,7 @@ import pyarrow.json as pj
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Order of the fields of the delimited formats.
+#: The fields of the delimited formats in order, the levels, the methods and the reasons.
 FIELDS = ("timestamp", "level", "service", "ipAddress", "httpMethod", "endpoint", "statusCode", "responseTime", "requestId", "userId", "message")
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")

@@ -69,12 +69,12 @@ QUOTED = r'"(?:[^"\\]|\\.)*"'
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])"
 SIGNS = r"\[\]|:=\"(){},"
 TOKEN = re.compile(
-    rf"(?P<TS>{TIMES})|(?P<QUOTED>{QUOTED})|(?P<IP>{ADDRESS})|(?P<WORD>[^\s{SIGNS}]+)|(?P<TAB>\t)|(?P<INNER>:(?=\S))|(?P<PUNCT>[{SIGNS}])"
+    rf"(?P<TS>{TIMES})|(?P<QUOTED>{QUOTED})|(?P<IP>{ADDRESS})|(?P<WORD>[^\s{SIGNS}]+)|(?P<TAB>\t)|(?P<INNER>:(?=\S)|\|(?! ))|(?P<PUNCT>[{SIGNS}])"
 )
-#: The tokens that aren't single words or signs, each to be marked by one character; then a line falls into tokens.
-MARKS = {"TS": "\x01", "QUOTED": "\x02", "IP": "\x03", "INNER": "\x04"}
-MARKED = re.compile(rf"(?<![^\s{SIGNS}])(?:(?P<TS>{TIMES})|(?P<IP>{ADDRESS}))|(?P<QUOTED>{QUOTED})|(?P<INNER>:(?=\S))")
-PIECE = re.compile(rf"[\x01-\x04{SIGNS}\t]|[^\s\x01-\x04{SIGNS}]+")
+#: The same tokens without their kinds, a colon or bar with the blank behind it; and what tells the kinds of single pieces.
+PIECE = re.compile(rf"{TIMES}|{QUOTED}|{ADDRESS}|[^\s{SIGNS}]+|\t|[:|] ?|[{SIGNS}]")
+IS_ADDRESS = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
+EPOCH_FIRST = re.compile(r"\d{10}(?:\.\d{1,9})?(?=\s)")
 HAS_DIGIT = re.compile(r"\d")
 DEPTH, MAX_TEMPLATES, SIMILAR = 3, 4000, 0.6
 #: Tokens in which a core ends, words between a core and the sign that ends the header, and layouts told to the tasks.
@@ -119,22 +119,33 @@ def tokenize(line: str, head: int | None = None) -> tuple[list[str], list[tuple[
 
 
 class Masks(dict):
-    """Pieces of a marked line to masked tokens. Emptied when it grows large."""
+    """Pieces of a line to masked tokens; words without digits are remembered. Emptied when it grows large."""
 
     def __missing__(self, piece: str) -> str:
+        if len(piece) > 2 and piece[0] == '"':
+            return "<QUOTED>"
+        if len(piece) > 2 and ":" in piece or len(piece) == 13 and piece.isdigit():
+            return "<TS>"
+        if HAS_DIGIT.search(piece):
+            return "<IP>" if IS_ADDRESS.fullmatch(piece) else "<NUM>"
         if len(self) > 200_000:
             self.clear()
-        word = "<LVL>" if piece.lower() in LEVEL_OF else "<NUM>" if HAS_DIGIT.search(piece) else piece
-        self[piece] = word = {c: f"<{name}>" for name, c in MARKS.items()}.get(piece, word)
+        other = {":": "<INNER>", ": ": ":", "|": "<INNER>", "| ": "|", '""': "<QUOTED>"}.get(piece, piece)
+        self[piece] = word = "<LVL>" if piece.lower() in LEVEL_OF else other
         return word
 
 
 def shape_of(line: str, masks: Masks) -> tuple[str, ...]:
     """The masked tokens of a line, as ``tokenize`` has them, without their spans."""
-    pieces = PIECE.findall(MARKED.sub(lambda m: MARKS[m.lastgroup], line))
+    pieces = PIECE.findall(line)
     out = [masks[p] for p in pieces]
-    if pieces and pieces[0] in LETTERS and line.startswith(pieces[0]):
-        out[0] = "<LVL>"
+    if pieces:
+        if pieces[0] in LETTERS and line.startswith(pieces[0]):
+            out[0] = "<LVL>"
+        elif out[0] == "<NUM>" and EPOCH_FIRST.match(line):
+            out[0] = "<TS>"
+        if pieces[-1] == ":":
+            out[-1] = ":"
     return tuple(out)
 
 

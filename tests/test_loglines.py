@@ -104,7 +104,7 @@ def test_shapes_are_the_masked_tokens(sf):
     import pyarrow.parquet as pq
 
     masks = L.Masks()
-    lines = [*LINES, *pq.read_table(f"{sf}/raw_lines.parquet")["raw_message"].to_pylist(), 'a="x\\" y"z 1.2.3.4:80 (b)', "Mar  1 00:00:00 h a[1]: x:y", "1646870400 I z", "I x"]
+    lines = [*LINES, *pq.read_table(f"{sf}/raw_lines.parquet")["raw_message"].to_pylist(), 'a="x\\" y"z 1.2.3.4:80 (b)', "Mar  1 00:00:00 h a[1]: x:y", "1646870400 I z", "I x", "a|b | c |d| e|"]
     assert all(L.shape_of(x, masks) == tuple(L.tokenize(x)[0]) for x in map(L._clean, lines))
 
 
@@ -118,6 +118,8 @@ def test_number_of_fields_is_learned(spark):
     lines = [f"{STAMP} | INFO | mailer | 7 | {msg}" for msg in ("a", "b | c", "d", "e", "f | g | h")]
     got = entries(spark, [("s", i, x) for i, x in enumerate([*lines, f"{STAMP} | INFO | short"])])
     assert [g[5:] for g in got] == [("mailer", m) for m in ("a", "b | c", "d", "e", "f | g | h")]
+    tight = [f"{STAMP} | INFO | mailer | 7|8 | m{i}|n" for i in range(6)]  # bars without blanks are no separators
+    assert [g[5:] for g in entries(spark, [("s", i, x) for i, x in enumerate(tight)])] == [("mailer", f"m{i}|n") for i in range(6)]
 
 
 @pytest.mark.parametrize("value, level", [("W", "WARN"), ("wrn", "WARN"), (17, "ERROR"), ("21", "FATAL"), ("\x1b[31mInf\x1b[0m", "INFO"), ("x", None), (None, None), (True, None)])
