@@ -42,8 +42,9 @@ def row_digest(df: DataFrame, ignore: Iterable[str] = ()) -> list[Column]:
 
 
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
-    """``df`` with the columns of a one-row DataFrame as scalar subqueries (null if it is empty)."""
-    return df.withColumns({c: row.select(c).scalar() for c in row.columns})
+    """``df`` with the columns of a one-row DataFrame, read by one scalar subquery (null if it is empty)."""
+    whole = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumns({c: whole[c] for c in row.columns})
 
 
 def unit(*parts: Column | int | str) -> Column:
